@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontam, mixing, secrets
+from . import chat, decontam, mixing, ranker, secrets, warc
 from .common import table
 
 
@@ -17,7 +17,10 @@ def op1_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mix": op1_mix,
     "op2_secrets": secrets.query,
+    "op3_warc": warc.query,
+    "op4_chat": chat.query,
     "op9_decontaminate": decontam.query,
+    "op10_quality": ranker.query,
 }
 
-ORACLES: dict[str, str] = {"op1_mix": mixing.ORACLE, "op9_decontaminate": decontam.ORACLE}
+ORACLES: dict[str, str] = {"op1_mix": mixing.ORACLE, "op3_warc": warc.ORACLE, "op4_chat": chat.ORACLE, "op9_decontaminate": decontam.ORACLE}
