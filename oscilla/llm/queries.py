@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, decontam, minhash, mixing, ranker, secrets, warc
+from . import chat, decontam, hmm, metric, minhash, mixing, ranker, secrets, warc
 from .common import table
 
 
@@ -19,6 +19,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_secrets": secrets.query,
     "op3_warc": warc.query,
     "op4_chat": chat.query,
+    "op5_hmm": hmm.query,
+    "op6_vectors": metric.query,
     "op7_minhash": minhash.query,
     "op9_decontaminate": decontam.query,
     "op10_quality": ranker.query,
