@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, decontam, hmm, metric, minhash, mixing, ranker, secrets, warc
+from . import chat, decontam, hmm, metric, minhash, mixing, ranker, repeats, secrets, warc
 from .common import table
 
 
@@ -22,6 +22,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_hmm": hmm.query,
     "op6_vectors": metric.query,
     "op7_minhash": minhash.query,
+    "op8_repeats": repeats.query,
     "op9_decontaminate": decontam.query,
     "op10_quality": ranker.query,
 }
