@@ -212,7 +212,7 @@ def near_vectors(vectors: DataFrame, least: float = LEAST, cell_rows: int = CELL
     links = found.filter("links is not null").groupBy("id").agg((F.sum("links") - 1).alias("n_links"))
     named = rows.filter("ok").groupBy("vec_id").agg(F.min(F.struct("kind", "h1", "h2")).alias("x"), F.max(F.struct("kind", "h1", "h2")).alias("y")).filter("x <> y")
     repeated = rows.filter("ok").join(named.select("vec_id"), "vec_id").join(classes.select("kind", "h1", "h2", "id"), ["kind", "h1", "h2"]).select(F.col("vec_id").alias("a"), F.col("id").alias("b"))
-    components = connected_components(None, found.filter("to is not null").select(F.col("id").alias("a"), F.col("to").alias("b")).union(repeated))
+    components = connected_components(found.filter("to is not null").select(F.col("id").alias("a"), F.col("to").alias("b")).union(repeated))
     by_class = classes.select("kind", "h1", "h2", "id").join(links, "id", "left").join(components, "id", "left")
     by_class = staged(by_class.select("kind", "h1", "h2", F.coalesce("n_links", F.lit(0)).alias("n_links"), F.coalesce("component", "id").alias("component")), "metric-classes-out")
     out = rows.select("vec_id", "kind", "h1", "h2").join(by_class, ["kind", "h1", "h2"], "left")

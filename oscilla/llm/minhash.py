@@ -14,8 +14,9 @@ Documents with equal sets are one class from the start. Classes that share a key
 are not paired all with all: each is first paired with the smallest of its key
 (a star), the pairs are confirmed on the full sets, and components are formed.
 Only where a key still spans several components are its members paired across
-these, if their signatures differ in ERRORS components at most, and confirmed.
-Pairs within a component can't change it, so no link between components is lost.
+these, unless sketches of their sets' parities rule the pair out for certain, and
+confirmed. Pairs within a component can't change it, so no link between
+components is lost.
 Sets are only made for classes that are in a pair.
 
 Nulls: a null text has no words; it links with nothing, like any text without
@@ -42,6 +43,7 @@ COMPONENTS = 36
 BITS = 16
 CHUNKS = 9
 ERRORS = 17
+SKETCH = 16
 BLOCK_BYTES = 1_000_000
 
 _RNG = np.random.default_rng(4)
@@ -93,6 +95,16 @@ def signature(shingles: np.ndarray) -> np.ndarray:
     return (mixed(least[:, 0]) & np.uint64((1 << BITS) - 1)).astype(np.uint16)
 
 
+def sketch(shingles: np.ndarray) -> np.ndarray:
+    """SKETCH words of parities: each shingle turns one bit over.
+
+    Two sketches differ in no more bits than their sets in elements, so pairs whose
+    sketches differ in more than similar sets can are ruled out for certain.
+    """
+    odd = np.bincount((mixed(shingles) >> np.uint64(33)).astype(np.int64) % (64 * SKETCH), minlength=64 * SKETCH) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
 def lowered(batch: pa.RecordBatch) -> list[bytes]:
     return [t.encode("utf-8", "surrogatepass").lower() for t in texts(batch)]
 
@@ -142,22 +154,43 @@ def keyed(classes: DataFrame) -> DataFrame:
 
 
 def sets_of(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
-    """(id, shingles) for the wanted ids (id, high, low), from the documents' texts."""
-    few = small(wanted)
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(few, F.col("doc_id") == F.col("id"))
+    """(id, shingles, n, x0 ...: the sketch) for the wanted ids (id, high, low), from the documents' texts."""
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(small(wanted), F.col("doc_id") == F.col("id"))
+    names = [f"x{k}" for k in range(SKETCH)]
+
+    def digest(s: np.ndarray) -> tuple[int, int]:
+        d = hashlib.blake2b(s.tobytes(), digest_size=16).digest()
+        return int.from_bytes(d[:8], signed=True), int.from_bytes(d[8:], signed=True)
 
     def make():
-        def each(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        def each(batch: pa.RecordBatch) -> pa.RecordBatch:
             sets = list(shingle_sets(lowered(batch), width))
-            own = [h == int.from_bytes(d[:8], signed=True) and l == int.from_bytes(d[8:], signed=True) for h, l, d in zip(batch.column("high").to_pylist(), batch.column("low").to_pylist(), (hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets), strict=True)]
+            own = [digest(s) == x for s, x in zip(sets, zip(batch.column("high").to_pylist(), batch.column("low").to_pylist(), strict=True), strict=True)]
             flat = np.concatenate([np.zeros(0, np.uint64), *sets]).view(np.int64)
             at = np.cumsum([0, *map(len, sets)]).astype(np.int32)
-            out = pa.RecordBatch.from_arrays([batch.column("id"), pa.ListArray.from_arrays(pa.array(at), pa.array(flat))], names=["id", "shingles"])
-            return out.filter(pa.array(own, pa.bool_()))
+            bits = np.array([sketch(s) for s in sets], np.int64).reshape(-1, SKETCH)
+            made = [batch.column("id"), pa.ListArray.from_arrays(pa.array(at), pa.array(flat)), pa.array(np.diff(at).astype(np.int64)), *(pa.array(bits[:, k].copy()) for k in range(SKETCH))]
+            return pa.RecordBatch.from_arrays(made, names=["id", "shingles", "n", *names]).filter(pa.array(own, pa.bool_()))
 
         return each
 
-    return arrow_map(rows.select("id", "high", "low", "text"), make, "id bigint, shingles array<bigint>").dropDuplicates(["id"])
+    schema = "id bigint, shingles array<bigint>, n bigint, " + ", ".join(f"{x} bigint" for x in names)
+    return arrow_map(rows.select("id", "high", "low", "text"), make, schema).dropDuplicates(["id"])
+
+
+def across_components(open_: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """(a, b, ca, cb): pairs of a key in different components that their sketches don't rule out.
+
+    open_: key, id, component. Of similar sets, at most (100 - percent) / (100 + percent)
+    of the elements that both have in sum are in one of them only.
+    """
+    names = [f"x{k}" for k in range(SKETCH)]
+    rows = open_.join(sets.select("id", "n", *names), "id")
+    left = rows.select("key", F.col("id").alias("a"), F.col("component").alias("ca"), F.col("n").alias("na"), *names)
+    right = rows.select(F.col("key").alias("k"), F.col("id").alias("b"), F.col("component").alias("cb"), F.col("n").alias("nb"), *(F.col(x).alias(f"y{x[1:]}") for x in names))
+    apart = sum(F.bit_count(F.col(x).bitwiseXOR(F.col(f"y{x[1:]}"))) for x in names)
+    near = apart * (100 + percent) <= (F.col("na") + F.col("nb")) * (100 - percent)
+    return left.join(right, (F.col("key") == F.col("k")) & (F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & near).select("a", "b", "ca", "cb").distinct()
 
 
 def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -170,12 +203,6 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return pairs.join(right, "b").join(left, "a").filter(close).filter(both * 100 >= union * percent).select("a", "b")
 
 
-def differing(x: str, y: str):
-    """How many of two signatures' components differ, from their hexadecimal forms."""
-    digits = BITS // 4
-    return sum((F.substring(x, 1 + digits * k, digits) != F.substring(y, 1 + digits * k, digits)).cast("int") for k in range(COMPONENTS))
-
-
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles, component_id of every row of docs (doc_id, text)."""
     rows = staged(described(docs, width), "minhash-rows")
@@ -194,20 +221,17 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     links = staged(confirmed(pairs, sets, percent), "minhash-links")
     # rows that repeat a doc_id with another text hold their classes together
     again = named.groupBy("doc_id").agg(F.min(F.struct("high", "low")).alias("x"), F.max(F.struct("high", "low")).alias("y")).filter("x <> y").select("doc_id")
-    same = named.join(again, "doc_id").join(classes.select("high", "low", "id"), ["high", "low"]).select(F.col("doc_id").alias("a"), F.col("id").alias("b"))
-    first = staged(connected_components(None, links.union(same)), "minhash-components")
-    final = first
+    if not again.isEmpty():
+        links = links.union(named.join(again, "doc_id").join(classes.select("high", "low", "id"), ["high", "low"]).select(F.col("doc_id").alias("a"), F.col("id").alias("b")))
+    first = final = connected_components(links)
     # keys that span several components: pairs across them
-    placed = members.select("key", "id").join(first, "id", "left").select("key", "id", F.coalesce("component", "id").alias("component"))
+    placed = members.select("key", "id").join(small(first), "id", "left").select("key", "id", F.coalesce("component", "id").alias("component"))
     torn = placed.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).filter("x < y").select("key")
-    open_ = staged(placed.join(torn, "key").join(classes.select("id", F.hex("signature").alias("sign")), "id"), "minhash-open")
-    left = open_.select("key", F.col("id").alias("a"), F.col("component").alias("ca"), F.col("sign").alias("x"))
-    right = open_.select("key", F.col("id").alias("b"), F.col("component").alias("cb"), F.col("sign").alias("y"))
-    across = left.join(right, (left.key == right.key) & (F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & (differing("x", "y") <= ERRORS)).select("a", "b", "ca", "cb").distinct()
-    across = staged(across.join(pairs, ["a", "b"], "left_anti"), "minhash-across")
+    open_ = placed.join(torn, "key")
+    across = staged(across_components(open_, sets, percent).join(pairs, ["a", "b"], "left_anti"), "minhash-across")
     if not across.isEmpty():
         more = confirmed(across.select("a", "b"), sets, percent).join(across, ["a", "b"]).select(F.col("ca").alias("a"), F.col("cb").alias("b"))
-        merged = staged(connected_components(None, more), "minhash-merged").select(F.col("id").alias("old"), F.col("component").alias("new"))
+        merged = connected_components(more).select(F.col("id").alias("old"), F.col("component").alias("new"))
         alone = merged.join(first.select(F.col("id").alias("old")), "old", "left_anti")
         known = first.unionByName(alone.select(F.col("old").alias("id"), F.col("old").alias("component")))
         final = known.join(small(merged), F.col("component") == F.col("old"), "left").select("id", F.coalesce("new", "component").alias("component"))
