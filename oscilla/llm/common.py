@@ -128,6 +128,28 @@ def _one_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from pa.table({"id": ids, "component": least}).to_batches(max_chunksize=10_000)
 
 
+def repeated_names(rows: DataFrame, name: str, by: list[str]) -> DataFrame:
+    """The names that stand in rows of several classes (by)."""
+    found = rows.groupBy(name).agg(F.min(F.struct(*by)).alias("_x"), F.max(F.struct(*by)).alias("_y"))
+    return found.filter("_x <> _y").select(name)
+
+
+def classes_of_names(rows: DataFrame, classes: DataFrame, name: str, by: list[str]) -> DataFrame:
+    """Edges (a, b) that hold the classes (by, id) of a repeated name together."""
+    again = staged(repeated_names(rows, name, by), "repeated")
+    if again.isEmpty():
+        return rows.sparkSession.createDataFrame([], "a bigint, b bigint")
+    ids = staged(rows.join(again, name).join(classes.select(*by, "id"), by).select(name, "id").distinct(), "repeated-ids")
+    return ids.join(ids.groupBy(name).agg(F.min("id").alias("_first")), name).select(F.col("_first").alias("a"), F.col("id").alias("b"))
+
+
+def named_components(classes: DataFrame, components: DataFrame) -> DataFrame:
+    """classes (id, name, ...) that are in components, with component: the smallest name of their component."""
+    linked = staged(classes.join(components, "id"), "linked").withColumnRenamed("component", "_of")
+    least = linked.groupBy("_of").agg(F.min("name").alias("component"))
+    return linked.join(least, "_of").drop("_of")
+
+
 def connected_components(edges: DataFrame, local_edges: int = LOCAL_EDGES, rounds: int = 60) -> DataFrame:
     """(id, component) for every id that occurs in edges (a, b: long); component is the smallest id reachable.
 

@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import arrow_map, connected_components, small, staged, table, tune
+from .common import arrow_map, classes_of_names, connected_components, named_components, small, staged, table, tune
 
 LEAST = 0.98
 CELL_ROWS = 4096
@@ -102,7 +102,7 @@ def cells_of(u: np.ndarray, pivots: np.ndarray, radius: float) -> tuple[np.ndarr
     home = d.argmin(1)
     near = d <= d.min(1, keepdims=True) + 2 * radius + SLACK
     between = np.sqrt(np.maximum(2 - 2 * pivots @ pivots.T, 0))
-    np.fill_diagonal(between, 1)
+    between[between == 0] = np.inf  # of equal pivots the planes say nothing
     own = squared[np.arange(len(u)), home]
     beyond = (squared - own[:, None]) / (2 * between[home])
     near &= beyond <= radius + SLACK
@@ -190,7 +190,8 @@ def near_vectors(vectors: DataFrame, least: float = LEAST, cell_rows: int = CELL
     tune(vectors.sparkSession)
     rows = prepared(vectors)
     same = rows.filter("ok").groupBy("kind", "h1", "h2")
-    classes = staged(same.agg(F.min("vec_id").alias("id"), F.count(F.lit(1)).alias("n"), F.min_by("embedding", "vec_id").alias("embedding")), "metric-classes")
+    classes = same.agg(F.min("vec_id").alias("name"), F.count(F.lit(1)).alias("n"), F.min_by("embedding", "vec_id").alias("embedding"))
+    classes = staged(classes.withColumn("id", F.monotonically_increasing_id()), "metric-classes")  # fixed by being written
     radius = float(np.sqrt(2 - 2 * least))
     placed = staged(assigned(classes, drawn_pivots(classes, cell_rows, max_pivots, least), radius), "metric-placed")
 
@@ -210,11 +211,12 @@ def near_vectors(vectors: DataFrame, least: float = LEAST, cell_rows: int = CELL
     found = staged(pairs.groupBy("kind", "cell", "hb", "eb").applyInArrow(each, "id bigint, links bigint, to bigint"), "metric-found")
     # what a class counts has itself in it, n of it: each of its rows has n - 1 of these as partners
     links = found.filter("links is not null").groupBy("id").agg((F.sum("links") - 1).alias("n_links"))
-    named = rows.filter("ok").groupBy("vec_id").agg(F.min(F.struct("kind", "h1", "h2")).alias("x"), F.max(F.struct("kind", "h1", "h2")).alias("y")).filter("x <> y")
-    repeated = rows.filter("ok").join(named.select("vec_id"), "vec_id").join(classes.select("kind", "h1", "h2", "id"), ["kind", "h1", "h2"]).select(F.col("vec_id").alias("a"), F.col("id").alias("b"))
-    components = connected_components(found.filter("to is not null").select(F.col("id").alias("a"), F.col("to").alias("b")).union(repeated))
-    by_class = classes.select("kind", "h1", "h2", "id").join(links, "id", "left").join(components, "id", "left")
-    by_class = staged(by_class.select("kind", "h1", "h2", F.coalesce("n_links", F.lit(0)).alias("n_links"), F.coalesce("component", "id").alias("component")), "metric-classes-out")
+    by = ["kind", "h1", "h2"]
+    edges = found.filter("to is not null").select(F.col("id").alias("a"), F.col("to").alias("b"))
+    components = connected_components(edges.union(classes_of_names(rows.filter("ok"), classes, "vec_id", by)))
+    linked = named_components(classes.select("id", "name"), components).select("id", "component")
+    by_class = classes.select(*by, "id", "name").join(links, "id", "left").join(linked, "id", "left")
+    by_class = staged(by_class.select(*by, F.coalesce("n_links", F.lit(0)).alias("n_links"), F.coalesce("component", "name").alias("component")), "metric-classes-out")
     out = rows.select("vec_id", "kind", "h1", "h2").join(by_class, ["kind", "h1", "h2"], "left")
     return out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component", "vec_id").alias("component_id"))
 

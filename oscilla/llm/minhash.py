@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import arrow_map, connected_components, small, staged, table, texts, tune
+from .common import arrow_map, classes_of_names, connected_components, named_components, small, staged, table, texts, tune
 from .hashing import mixed, prefixes, substrings
 
 COMPONENTS = 36
@@ -154,8 +154,8 @@ def keyed(classes: DataFrame) -> DataFrame:
 
 
 def sets_of(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
-    """(id, shingles, n, x0 ...: the sketch) for the wanted ids (id, high, low), from the documents' texts."""
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(small(wanted), F.col("doc_id") == F.col("id"))
+    """(id, shingles, n, x0 ...: the sketch) for the wanted classes (id, name, high, low), from the documents' texts."""
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(small(wanted), F.col("doc_id") == F.col("name"))
     names = [f"x{k}" for k in range(SKETCH)]
 
     def digest(s: np.ndarray) -> tuple[int, int]:
@@ -207,22 +207,17 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     """doc_id, n_shingles, component_id of every row of docs (doc_id, text)."""
     rows = staged(described(docs, width), "minhash-rows")
     named = rows.filter("n_shingles > 0 and doc_id is not null")
-    classes = staged(
-        named.groupBy("high", "low").agg(F.min("doc_id").alias("id"), F.min_by("signature", "doc_id").alias("signature"), F.count(F.lit(1)).alias("n")),
-        "minhash-classes",
-    )
+    classes = named.groupBy("high", "low").agg(F.min("doc_id").alias("name"), F.min_by("signature", "doc_id").alias("signature"), F.count(F.lit(1)).alias("n"))
+    classes = staged(classes.withColumn("id", F.monotonically_increasing_id()), "minhash-classes")  # fixed by being written
     keys = keyed(classes)
     shared = keys.groupBy("key").agg(F.min("id").alias("hub"), F.max("id").alias("last")).filter("hub < last").select("key", "hub")
     members = staged(keys.join(shared, "key"), "minhash-members")
     pairs = staged(members.filter("id <> hub").select(F.col("hub").alias("a"), F.col("id").alias("b")).distinct(), "minhash-pairs")
-    named_classes = classes.select("id", "high", "low")
+    named_classes = classes.select("id", "name", "high", "low")
     wanted = staged(members.select("id").distinct().join(named_classes, "id"), "minhash-wanted")
     sets = staged(sets_of(docs, wanted, width), "minhash-sets")
     links = staged(confirmed(pairs, sets, percent), "minhash-links")
-    # rows that repeat a doc_id with another text hold their classes together
-    again = named.groupBy("doc_id").agg(F.min(F.struct("high", "low")).alias("x"), F.max(F.struct("high", "low")).alias("y")).filter("x <> y").select("doc_id")
-    if not again.isEmpty():
-        links = links.union(named.join(again, "doc_id").join(classes.select("high", "low", "id"), ["high", "low"]).select(F.col("doc_id").alias("a"), F.col("id").alias("b")))
+    links = links.union(classes_of_names(named, classes, "doc_id", ["high", "low"]))
     first = final = connected_components(links)
     # keys that span several components: pairs across them
     placed = members.select("key", "id").join(small(first), "id", "left").select("key", "id", F.coalesce("component", "id").alias("component"))
@@ -235,8 +230,9 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
         alone = merged.join(first.select(F.col("id").alias("old")), "old", "left_anti")
         known = first.unionByName(alone.select(F.col("old").alias("id"), F.col("old").alias("component")))
         final = known.join(small(merged), F.col("component") == F.col("old"), "left").select("id", F.coalesce("new", "component").alias("component"))
-    found = classes.join(final, "id", "left").select("high", "low", "n", "id", F.coalesce("component", "id").alias("component"))
-    found = staged(found.filter("n > 1 or component <> id").select("high", "low", "component"), "minhash-found")
+    linked = named_components(classes.select("id", "name", "high", "low"), final).select("id", "high", "low", "component")
+    alone = classes.filter("n > 1").join(final, "id", "left_anti").select("high", "low", F.col("name").alias("component"))
+    found = staged(linked.select("high", "low", "component").union(alone), "minhash-found")
     out = rows.join(small(found.withColumnsRenamed({"high": "h", "low": "l"})), (F.col("high") == F.col("h")) & (F.col("low") == F.col("l")) & F.col("doc_id").isNotNull() & (F.col("n_shingles") > 0), "left")
     return out.select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
 
