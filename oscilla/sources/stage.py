@@ -72,3 +72,31 @@ def write_features(df: DataFrame, path: str) -> bool:
         return False
     df.write.mode("overwrite").partitionBy("demod").parquet(path)
     return True
+
+
+def _mat_paths(spark: SparkSession, root: str) -> DataFrame:
+    """path and relative path of every .mat file below root; contents aren't read."""
+    return matfile.scan(spark, root).select("path", layouts.relative_to(F.regexp_replace("path", "^file:", ""), root.removeprefix("file:")).alias("relative"))
+
+
+def resolved_files(spark: SparkSession, root: str) -> DataFrame:
+    """Filepath, Label, Load of the files below root for which both are known."""
+    return layouts.resolved(_mat_paths(spark, root), "path")
+
+
+def typed_manifest(spark: SparkSession, root: str) -> DataFrame:
+    """filepath, filename, type, size, position, load and class label by the folders below root."""
+    parts = layouts.by_type_folders("relative")
+    rows = _mat_paths(spark, root).select(F.col("path").alias("filepath"), F.element_at(F.split("path", "/"), -1).alias("filename"), *(c.alias(k) for k, c in parts.items()))
+    return rows.withColumn("class_label", layouts.class_label(F.col("fault_type"), F.col("fault_size"), F.col("position")))
+
+
+def feature_stage(spark: SparkSession, files: DataFrame, root: str, output: str, demod: str = "hilbert", force_rebuild: bool = False) -> DataFrame:
+    """The feature table of resolved files, kept by demodulation; files without the channel or unreadable ones have no rows."""
+    from ..operators.feature_tables import of_recordings
+
+    def build() -> DataFrame:
+        signals = matfile.channel_of(matfile.recordings(spark, root, "_DE_time"), "_DE_time", "contains")
+        return of_recordings(files.join(signals, F.col("Filepath") == F.col("path")).drop("path"), demod=demod)
+
+    return stage_table(spark, f"{output}/features-{demod}", build, force_rebuild)

@@ -104,3 +104,16 @@ EDGE_CASES = (
     ("0hp/B_028.mat", FS, 1797, "VONG_BI_NTN"),
     ("1hp/IR_014.mat", FS, 1650, "RPM_LECH"),
 )
+
+
+def write_edge_cases(root: str, seconds: float = 10.0) -> tuple[str, ...]:
+    """Writes the four planted defects below root and returns the codes to expect; nothing is deleted."""
+    import os
+
+    for path, fs, rpm, _ in EDGE_CASES:
+        target = PurePosixPath(root) / path
+        os.makedirs(target.parent, exist_ok=True)
+        seed = int.from_bytes(hashlib.md5(path.encode()).digest()[:4])
+        with open(target, "wb") as file:
+            file.write(matfile.encoded({"X999_DE_time": signal(fs, seconds, rpm, None, 0.3, seed), "X999RPM": np.array([[rpm]])}))
+    return tuple(code for *_, code in EDGE_CASES)

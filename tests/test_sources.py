@@ -48,12 +48,9 @@ def test_synthetic_manifest(spark, tmp_path):
 
 
 def test_planted_defects_are_found(spark, tmp_path):
-    for path, fs, rpm, _ in synthetic.EDGE_CASES:
-        target = tmp_path / "edge" / path
-        target.parent.mkdir(parents=True, exist_ok=True)
-        target.write_bytes(matfile.encoded({"X999_DE_time": synthetic.signal(fs, 10.0, rpm, None, 0.3, 1), "X999RPM": np.array([[rpm]])}))
+    expected = synthetic.write_edge_cases(str(tmp_path / "edge"))
     checked = quality.flagged(stage.build_manifest(spark, str(tmp_path / "edge")).drop("warnings", "has_warning"))
-    found = quality.expected_codes_found(checked, tuple(c for *_, c in synthetic.EDGE_CASES))
+    found = quality.expected_codes_found(checked, expected)
     assert {r.code: r.found for r in found.collect()} == {c: True for *_, c in synthetic.EDGE_CASES}
     one = {r.file_path.split("/edge/")[1]: r.warnings for r in checked.collect()}
     assert one == {p: c for p, _, _, c in synthetic.EDGE_CASES}
@@ -107,3 +104,20 @@ def test_feature_stream(spark, tmp_path):
     stream = streaming.feature_stream(streaming.arriving(spark, str(tmp_path / "in"), 1))
     streaming.write(stream, str(tmp_path / "out"), str(tmp_path / "state")).awaitTermination(120)
     assert spark.read.parquet(str(tmp_path / "out")).count() == 6
+
+
+def test_typed_and_resolved_files_and_their_features(spark, tmp_path):
+    x = np.random.default_rng(8).standard_normal(2048)
+    for path in ("IR/007/105_0.mat", "OR/007/@6/130@6_1.mat", "Normal/97_Normal_0.mat", "junk/1.mat"):
+        target = tmp_path / "raw" / path
+        target.parent.mkdir(parents=True, exist_ok=True)
+        target.write_bytes(b"junk" if "130" in path else matfile.encoded({"X1_DE_time": x}))
+    root = str(tmp_path / "raw")
+    typed = {r.filename: (r.class_label, r.position, r.load_hp) for r in stage.typed_manifest(spark, root).collect()}
+    assert typed == {"105_0.mat": ("IR_007", "None", 0), "130@6_1.mat": ("OR_007_@6", "@6", 1), "97_Normal_0.mat": ("Normal", "None", 0), "1.mat": (typed["1.mat"][0], "None", None)}
+    files = stage.resolved_files(spark, root)
+    assert sorted((r.Label, r.Load) for r in files.collect()) == [(0, 0), (1, 0), (2, 1)]
+    for demod in ("hilbert", "none"):
+        table = stage.feature_stage(spark, files, root, str(tmp_path / "out"), demod)
+        assert table.count() == 6 and table.filter("Label = 2").count() == 0
+    assert table.agg(F.max("Env_Amp_BPFI")).first()[0] == 0
