@@ -29,6 +29,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, LongType, StructField, StructType
 
 from .common import arrow_map, staged, table, texts, tune
 
@@ -127,7 +128,8 @@ def scan(docs: DataFrame, benchmark: DataFrame, width: int = WINDOW, limit: int
     spark = docs.sparkSession
     tune(spark)
     kept = docs.select(*keep)
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema) + ", n_words bigint, runs array<bigint>, items array<bigint>"
+    numbers = ArrayType(LongType())
+    schema = StructType([*kept.schema.fields, StructField("n_words", LongType()), StructField("runs", numbers), StructField("items", numbers)])
     state = kept.select("*", F.lit(0).cast("long").alias("n_words"), F.array().cast("array<bigint>").alias("runs"), F.array().cast("array<bigint>").alias("items"))
     blocks = shards(benchmark, limit)
     block = next(blocks, [])
@@ -158,6 +160,24 @@ def _scanner(items, width: int, n_kept: int):
     return each
 
 
+def located(docs: DataFrame, benchmark: DataFrame, **settings) -> DataFrame:
+    """doc_id, items, spans (start, end in code points of the original text) of the documents with hits."""
+
+    def make():
+        def each(batch: pa.RecordBatch) -> pa.RecordBatch:
+            spans = []
+            for text, runs in zip(texts(batch), batch.column("runs").to_pylist(), strict=True):
+                found = original_spans(text, list(zip(runs[::2], runs[1::2], strict=True)))
+                spans.append([{"start": a, "end": b} for a, b in found])
+            made = pa.array(spans, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])))
+            return pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("items"), made], names=["doc_id", "items", "spans"])
+
+        return each
+
+    hit = scan(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), benchmark, **settings).filter(F.size("runs") > 0)
+    return arrow_map(hit.select("doc_id", "text", "runs", "items"), make, "doc_id bigint, items array<bigint>, spans array<struct<start: bigint, end: bigint>>")
+
+
 def clean(docs: DataFrame, benchmark: DataFrame, **settings) -> DataFrame:
     """The documents without any hit, with their own columns."""
     row = docs.select(F.struct("*").alias("row"), "text")

@@ -91,9 +91,15 @@ def mix_plan(docs: DataFrame, weights=WEIGHTS, ratio=RATIO, max_epochs=MAX_EPOCH
 
 
 def mix_sources(docs: DataFrame, **settings) -> DataFrame:
-    """The mix itself: every column of docs, each document as often as it is taken, with ``copy`` (from 1)."""
+    """The mix itself: every column of docs, each document as often as it is taken, with ``copy`` (from 1).
+
+    Where docs has a column copy, the number's name gets underscores until it is new.
+    """
+    number = "copy"
+    while number in docs.columns:
+        number += "_"
     plan = mix_plan(docs, **settings).filter("copies > 0")
-    return plan.select("row.*", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))).alias("copy"))
+    return plan.select("row.*", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))).alias(number))
 
 
 def op1(docs: DataFrame) -> DataFrame:

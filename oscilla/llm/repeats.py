@@ -38,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Staged, arrow_map, small, staged, table, texts, tune
+from .common import arrow_map, small, staged, table, texts, tune
 from .hashing import mixed, prefixes, substrings
 from .minhash import blocks
 
@@ -284,14 +284,26 @@ def cut(rows: DataFrame) -> DataFrame:
     return arrow_map(rows.select("key", "spans", "text"), make, "key bigint, n_removed bigint, n_spans bigint, kept string")
 
 
-def without_repeats(docs: DataFrame, size: int = SIZE) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of every row of docs (doc_id, text)."""
+def found_repeats(docs: DataFrame, size: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """parsed rows, the texts that occur more than once as a whole, and the spans of the others."""
     tune(docs.sparkSession)
-    everything = Staged(parsed(docs, size), "repeats-parsed")
-    rows = everything.df
+    rows = staged(parsed(docs, size), "repeats-parsed")
     many = rows.filter(F.col("n_bytes") >= size).groupBy("h1", "h2").agg(F.min("key").alias("head"), F.count(F.lit(1)).alias("n")).filter("n > 1")
     copies = staged(many.select("h1", "h2", "head"), "repeats-copies")
-    spans = removed_spans(docs, rows, copies, size)
+    return rows, copies, removed_spans(docs, rows, copies, size)
+
+
+def repeated_spans(docs: DataFrame, size: int = SIZE) -> DataFrame:
+    """doc_id, spans (start, end in bytes; they may overlap) of the documents with repeated strings."""
+    rows, copies, spans = found_repeats(docs, size)
+    whole = F.array(F.struct(F.lit(0).cast("long").alias("start"), F.col("n_bytes").alias("end")))
+    out = rows.select("key", "doc_id", "h1", "h2", "n_bytes").join(small(copies), ["h1", "h2"], "left").join(spans, "key", "left")
+    return out.select("doc_id", F.when(F.col("head").isNotNull(), whole).otherwise(F.col("spans")).alias("spans")).filter("spans is not null")
+
+
+def without_repeats(docs: DataFrame, size: int = SIZE) -> DataFrame:
+    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of every row of docs (doc_id, text)."""
+    rows, copies, spans = found_repeats(docs, size)
     changed = staged(cut(texts_of(docs, spans.join(rows.select("key", "h1", "h2"), "key"))), "repeats-cut")
     copy = F.col("head").isNotNull()
     out = rows.select("key", "doc_id", "h1", "h2", "n_bytes", "sha256").join(small(copies), ["h1", "h2"], "left").join(small(changed), "key", "left")

@@ -7,7 +7,7 @@ sys.path.insert(0, str(Path(__file__).resolve().parent))
 
 DOCS = "doc_id bigint, text string, lang string, source string, n_chars bigint"
 #: Columns whose names the operators use themselves.
-CLASH = "size, key, id, row, score, copy, n, h1, runs, path, label, spans, component, taken"
+CLASH = "size, key, id, row, score, copy, n, h1, runs, path, label, spans, component, taken, a.b, two words"
 
 
 @pytest.fixture(scope="session")

@@ -75,6 +75,12 @@ def test_original_offsets():
     assert (n, runs, ids) == (5, [(1, 4)], {1}) and decontam.original_spans(text, runs) == [(5, 17)] and text[5:17] == "w0, W1 -- w2"
 
 
+def test_located_in_the_original(spark, docs):
+    text = "Ünder 😀 Short,  ONE! and short one"
+    got = decontam.located(docs([(1, text), (2, "nothing"), (3, None)]), items(spark, ITEMS)).collect()
+    assert [(r.doc_id, r["items"], [text[s.start : s.end] for s in r.spans]) for r in got] == [(1, [3], ["Short,  ONE", "short one"])]
+
+
 def test_long_text(spark, docs):
     text = "filler " * 300_000 + " ".join(BASE)
     assert rows_of(decontam.op9(docs([(1, text)]), items(spark, ITEMS[:2])))[1][:2] == (300_030, 18)

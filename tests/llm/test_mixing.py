@@ -67,6 +67,12 @@ def test_mix_repeats_rows_and_keeps_columns(docs):
     assert all(counts.get(k, 0) * 10 == taken[k][3] for k in range(40))
 
 
+def test_mix_of_clashing_columns(docs):
+    df = docs([(1, "a b"), (2, "c d e")])
+    got = mixing.mix_sources(df)
+    assert got.columns == [*df.columns, "copy_"] and got.count() == got.filter("copy = 1").count()
+
+
 def test_native_plan(docs):
     plan = mixing.op1(docs([(1, "a b")]))._jdf.queryExecution().executedPlan().toString()
     assert not re.search("Python|Pandas|Arrow", plan)

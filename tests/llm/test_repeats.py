@@ -66,6 +66,15 @@ def test_repeats_within_one_long_text(docs):
     assert [tuple(r) for r in repeats.without_repeats(docs(rows)).collect()] == want(rows)
 
 
+def test_spans_cover_what_is_removed(docs):
+    rows = corpus(5)
+    full = {k: v[1] for k, *v in want(rows) if k is not None and k != 5}
+    got = {}
+    for r in repeats.repeated_spans(docs(rows)).collect():
+        got[r.doc_id] = len({b for s in r.spans for b in range(s.start, s.end)})
+    assert {k: got.get(k, 0) for k in full} == full
+
+
 def test_every_window_has_one_anchor():
     rng = random.Random(6)
     raw = [text(rng, n).encode() for n in (0, 50, 199, 200, 201, 5000)] + [b"z" * 1000]
