@@ -28,10 +28,16 @@ def share(flag: Column, total: Column | None = None) -> Column:
     return 100.0 * F.count_if(flag) / F.greatest(F.count(F.lit(1)), F.lit(1))
 
 
-def boxplot(df: DataFrame, by: str, value: str) -> DataFrame:
-    """Quartiles (interpolated), whiskers (the furthest values within 1.5 quartile ranges) and mean by group."""
+def boxplot(df: DataFrame, by: str, value: str, accuracy: int | None = None) -> DataFrame:
+    """Quartiles (interpolated), whiskers (the furthest values within 1.5 quartile ranges) and mean by group.
+
+    Exact quartiles keep a group's distinct values in memory. With accuracy, they
+    come from a sketch of bounded size instead, with a rank error of 1 / accuracy.
+    """
     clean = df.filter(F.col(value).isNotNull() & ~F.isnan(value) & F.col(by).isNotNull())
-    q = clean.groupBy(by).agg(F.percentile(value, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("q"), F.avg(value).alias("mean"), F.count(F.lit(1)).alias("n"))
+    shares = F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))
+    quartiles = F.percentile(value, shares) if accuracy is None else F.percentile_approx(value, [0.25, 0.5, 0.75], accuracy)
+    q = clean.groupBy(by).agg(quartiles.alias("q"), F.avg(value).alias("mean"), F.count(F.lit(1)).alias("n"))
     q = q.select(by, "n", "mean", F.col("q")[0].alias("q1"), F.col("q")[1].alias("median"), F.col("q")[2].alias("q3"))
     reach = (F.col("q3") - F.col("q1")) * 1.5
     v = F.col(value)

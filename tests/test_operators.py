@@ -25,6 +25,13 @@ def test_imbalance_and_empty_shares(spark):
     assert spark.range(0).agg(summary.share(F.col("id") > 0)).first()[0] == 0
 
 
+def test_boxplot_by_sketch_is_near(spark):
+    rows = spark.range(10_000).select((F.col("id") % 2).alias("g"), F.col("id").cast("double").alias("v")).unionByName(spark.createDataFrame([(0, None), (0, float("nan"))], "g bigint, v double"))
+    exact, near = (summary.boxplot(rows, "g", "v", a).orderBy("g").collect() for a in (None, 10_000))
+    assert [r.n for r in exact] == [r.n for r in near] == [5000, 5000]
+    assert all(abs(a[k] - b[k]) <= 4 for a, b in zip(exact, near, strict=True) for k in ("q1", "median", "q3", "low", "high"))
+
+
 def test_jaccard_of_empty_sets_is_null(spark):
     sets = spark.createDataFrame([(1, ["a", "b"]), (2, ["b", "c"]), (3, [])], "k int, m array<string>")
     got = {(r.left, r.right): r.jaccard for r in summary.jaccard_pairs(sets, "k", "m").collect()}
