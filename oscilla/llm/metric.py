@@ -228,3 +228,25 @@ def op6(vectors: DataFrame) -> DataFrame:
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op6(table(spark, sf_dir, "embeddings"))
+
+
+ORACLE = r"""
+WITH RECURSIVE v AS (
+  SELECT row_number() OVER () AS rid, vec_id, label, embedding::DOUBLE[] AS x FROM embeddings
+), u AS (
+  SELECT *, sqrt(list_dot_product(x, x)) AS size FROM v
+  WHERE vec_id IS NOT NULL AND label IS NOT NULL AND x IS NOT NULL AND len(x) > 0 AND len(list_filter(x, lambda e: e IS NULL OR NOT isfinite(e))) = 0
+), e AS (
+  SELECT a.rid, a.vec_id AS a, b.vec_id AS b FROM u a JOIN u b ON a.label = b.label AND len(a.x) = len(b.x) AND a.rid <> b.rid
+  WHERE a.size > 0 AND b.size > 0 AND list_dot_product(a.x, b.x) / (a.size * b.size) >= 0.98
+), n AS (
+  SELECT rid, count(*)::BIGINT AS n_links FROM e GROUP BY rid
+), reach AS (
+  SELECT DISTINCT vec_id AS id, vec_id AS other FROM v WHERE vec_id IS NOT NULL
+  UNION SELECT e.a, reach.other FROM reach JOIN e ON e.b = reach.id
+), k AS (
+  SELECT id, min(other) AS component_id FROM reach GROUP BY id
+)
+SELECT v.vec_id, coalesce(n_links, 0)::BIGINT AS n_links, component_id, coalesce(v.vec_id = component_id, true) AS kept
+FROM v LEFT JOIN n USING (rid) LEFT JOIN k ON v.vec_id = k.id
+"""

@@ -252,3 +252,30 @@ def op7(docs: DataFrame) -> DataFrame:
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op7(table(spark, sf_dir, "documents"))
+
+
+ORACLE = r"""
+WITH RECURSIVE d AS (
+  SELECT row_number() OVER () AS rid, doc_id,
+         regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w
+  FROM documents
+), s AS (
+  SELECT DISTINCT rid, doc_id, array_to_string(w[i:i + 3], ' ') AS s FROM (SELECT rid, doc_id, w, unnest(range(1, greatest(len(w) - 3, 1) + 1)) AS i FROM d WHERE len(w) > 0)
+), n AS (
+  SELECT rid, count(*)::BIGINT AS n FROM s GROUP BY rid
+), p AS (
+  SELECT a.rid AS ra, b.rid AS rb, a.doc_id AS a, b.doc_id AS b, count(*) AS shared
+  FROM s a JOIN s b ON a.s = b.s AND a.rid < b.rid WHERE a.doc_id IS NOT NULL AND b.doc_id IS NOT NULL GROUP BY ALL
+), l AS (
+  SELECT a, b FROM p JOIN n x ON x.rid = ra JOIN n y ON y.rid = rb WHERE 100 * shared >= 80 * (x.n + y.n - shared)
+), e AS (
+  SELECT a, b FROM l UNION SELECT b, a FROM l
+), reach AS (
+  SELECT DISTINCT doc_id AS id, doc_id AS other FROM d WHERE doc_id IS NOT NULL
+  UNION SELECT e.a, reach.other FROM reach JOIN e ON e.b = reach.id
+), k AS (
+  SELECT id, min(other) AS component_id FROM reach GROUP BY id
+)
+SELECT d.doc_id, coalesce(n, 0)::BIGINT AS n_shingles, component_id, coalesce(d.doc_id = component_id, true) AS kept
+FROM d LEFT JOIN n USING (rid) LEFT JOIN k ON d.doc_id = k.id
+"""

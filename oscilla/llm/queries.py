@@ -27,4 +27,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_quality": ranker.query,
 }
 
-ORACLES: dict[str, str] = {"op1_mix": mixing.ORACLE, "op3_warc": warc.ORACLE, "op4_chat": chat.ORACLE, "op9_decontaminate": decontam.ORACLE}
+ORACLES: dict[str, str] = {
+    "op1_mix": mixing.ORACLE,
+    "op3_warc": warc.ORACLE,
+    "op4_chat": chat.ORACLE,
+    "op6_vectors": metric.ORACLE,
+    "op7_minhash": minhash.ORACLE,
+    "op8_repeats": repeats.ORACLE,
+    "op9_decontaminate": decontam.ORACLE,
+}

@@ -318,3 +318,27 @@ def without_repeats(docs: DataFrame, size: int = SIZE) -> DataFrame:
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return without_repeats(table(spark, sf_dir, "documents"))
+
+
+ORACLE = r"""
+WITH d AS (
+  SELECT row_number() OVER () AS rid, doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents
+), w AS (
+  SELECT rid, i, md5(substr(h, 2 * i::BIGINT + 1, 400)) AS m FROM (SELECT rid, h, unnest(range(0, greatest(length(h) // 2 - 199, 0))) AS i FROM d)
+), r AS (
+  SELECT rid, i FROM w SEMI JOIN (SELECT m FROM w GROUP BY m HAVING count(*) > 1) t ON w.m = t.m
+), g AS (
+  SELECT rid, i, sum(fresh) OVER (PARTITION BY rid ORDER BY i) AS run
+  FROM (SELECT rid, i, CASE WHEN i <= lag(i) OVER (PARTITION BY rid ORDER BY i) + 200 THEN 0 ELSE 1 END AS fresh FROM r)
+), s AS (
+  SELECT rid, run, min(i) AS a, max(i) + 200 AS b FROM g GROUP BY ALL
+), k AS (
+  SELECT rid, count(*)::BIGINT AS n_spans, sum(b - a)::BIGINT AS n_removed, max(b) AS done FROM s GROUP BY rid
+), p AS (
+  SELECT rid, string_agg(substr(h, (2 * before + 1)::BIGINT, (2 * (a - before))::BIGINT), '' ORDER BY a) AS ahead
+  FROM (SELECT s.*, coalesce(lag(b) OVER (PARTITION BY s.rid ORDER BY a), 0) AS before, h FROM s JOIN d USING (rid)) GROUP BY rid
+)
+SELECT doc_id, (length(h) // 2)::BIGINT AS n_bytes, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(n_spans, 0)::BIGINT AS n_spans,
+       sha256(unhex(coalesce(ahead, '') || substr(h, (2 * coalesce(done, 0) + 1)::BIGINT))) AS kept_sha256
+FROM d LEFT JOIN k USING (rid) LEFT JOIN p USING (rid)
+"""

@@ -13,7 +13,7 @@ SF = "/root/testdata/sf0.001"
 @pytest.mark.parametrize("name", sorted(queries.ORACLES))
 def test_same_as_sql(spark, name):
     duck = duckdb.connect()
-    for table in ("documents", "pages", "benchmark", "conversations"):
+    for table in ("documents", "embeddings", "pages", "benchmark", "conversations"):
         duck.sql(f"CREATE VIEW {table} AS SELECT * FROM '{SF}/{table}.parquet'")
     got, want = queries.QUERIES[name](spark, SF), duck.sql(queries.ORACLES[name])
     plain = lambda v: None if isinstance(v, float) and math.isnan(v) else v
