@@ -11,8 +11,9 @@ one of them has at most ERRORS // CHUNKS = 1 error, and so the pair agrees in on
 of the chunk's variants that leave out one component. Every variant is a key.
 
 Documents with equal sets are one class from the start. Classes that share a key
-are not paired all with all: each is first paired with the smallest of its key
-(a star), the pairs are confirmed on the full sets, and components are formed.
+are not paired all with all: each is first paired with the hub of its key (a
+star), the member that shares most keys with most others, the pairs are confirmed
+on the full sets, and components are formed.
 Only where a key still spans several components are its members paired across
 these, unless sketches of their sets' parities rule the pair out for certain, and
 confirmed. Pairs within a component can't change it, so no link between
@@ -210,9 +211,15 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     classes = named.groupBy("high", "low").agg(F.min("doc_id").alias("name"), F.min_by("signature", "doc_id").alias("signature"), F.count(F.lit(1)).alias("n"))
     classes = staged(classes.withColumn("id", F.monotonically_increasing_id()), "minhash-classes")  # fixed by being written
     keys = keyed(classes)
-    shared = keys.groupBy("key").agg(F.min("id").alias("hub"), F.max("id").alias("last")).filter("hub < last").select("key", "hub")
+    counted = keys.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("x"), F.max("id").alias("y")).filter("x < y")
+    shared = staged(counted.select("key", "n"), "minhash-keys")
     members = staged(keys.join(shared, "key"), "minhash-members")
-    pairs = staged(members.filter("id <> hub").select(F.col("hub").alias("a"), F.col("id").alias("b")).distinct(), "minhash-pairs")
+    # the hub of a key is the member that shares most keys with most others: of copies, the least altered
+    weights = members.groupBy("id").agg(F.sum("n").alias("weight"))
+    members = staged(members.select("key", "id").join(weights, "id"), "minhash-weighted")
+    hubs = staged(members.groupBy("key").agg(F.max(F.struct("weight", "id")).alias("m")).select("key", F.col("m.id").alias("hub")), "minhash-hubs")
+    stars = members.join(hubs, "key").filter("id <> hub")
+    pairs = staged(stars.select(F.least("id", "hub").alias("a"), F.greatest("id", "hub").alias("b")).distinct(), "minhash-pairs")
     named_classes = classes.select("id", "name", "high", "low")
     wanted = staged(members.select("id").distinct().join(named_classes, "id"), "minhash-wanted")
     sets = staged(sets_of(docs, wanted, width), "minhash-sets")
@@ -221,7 +228,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     first = final = connected_components(links)
     # keys that span several components: pairs across them
     placed = members.select("key", "id").join(small(first), "id", "left").select("key", "id", F.coalesce("component", "id").alias("component"))
-    torn = placed.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).filter("x < y").select("key")
+    torn = staged(placed.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).filter("x < y").select("key"), "minhash-torn")
     open_ = placed.join(torn, "key")
     across = staged(across_components(open_, sets, percent).join(pairs, ["a", "b"], "left_anti"), "minhash-across")
     if not across.isEmpty():
