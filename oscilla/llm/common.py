@@ -25,8 +25,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def tune(spark: SparkSession) -> None:
-    """Smaller Arrow batches: texts may be long, and two workers share an executor."""
+    """Smaller Arrow batches, by rows and by bytes: texts may be long, and workers share an executor."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(8 << 20))
 
 
 _own_root: dict[str, str] = {}
