@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 def shuffled(key: str | Column, seed: int = 42) -> Column:
     key = F.col(key) if isinstance(key, str) else key
-    return F.md5(F.concat(F.lit(f"{seed}|"), key.cast("string")))
+    return F.md5(F.concat(F.lit(f"{seed}|"), F.coalesce(key.cast("string"), F.lit(""))))
 
 
 def _first(df: DataFrame, key: str, count_of, seed: int) -> DataFrame:

@@ -17,6 +17,8 @@ def test_exact_test_sizes_and_no_leak(spark):
     assert splits.leaking_files(splits.by_file(rows, "f"), "f").count() == 0
     assert splits.by_file(rows.filter("f = 1"), "f").filter("split = 'test'").count() == 77  # at least one file is test
     assert splits.random_rows(rows.filter("false"), "id").count() == 0
+    holed = rows.select(F.when(F.col("id") > 9, F.col("id")).alias("id"), "y")
+    assert splits.random_rows(holed, "id").count() == splits.stratified_rows(holed, "y", "id").count() == 1001
 
 
 def test_imbalance_and_empty_shares(spark):
