@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import os
+import tempfile
+import zipfile
+from pathlib import Path
+
 from pyspark.sql import SparkSession
 
 SETTINGS = {
@@ -26,3 +31,21 @@ def local_session(app: str = "oscilla", cores: str = "8", partitions: int = 8, m
     )
     spark.sparkContext.setLogLevel("ERROR")
     return spark
+
+
+_shipped: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Sends this package to the executors, once an application, unless their path has it anyway."""
+    root = Path(__file__).resolve().parents[1]
+    known = {Path(p).resolve() for p in [os.getcwd(), *os.environ.get("PYTHONPATH", "").split(os.pathsep)] if p}
+    app = spark.sparkContext.applicationId
+    if root in known or app in _shipped:
+        return
+    _shipped.add(app)
+    archive = Path(tempfile.mkdtemp(prefix="oscilla-")) / "oscilla.zip"
+    with zipfile.ZipFile(archive, "w", zipfile.ZIP_DEFLATED) as out:
+        for file in sorted((root / "oscilla").rglob("*.py")):
+            out.write(file, file.relative_to(root))
+    spark.sparkContext.addPyFile(str(archive))
