@@ -168,9 +168,11 @@ def connected_components(edges: DataFrame, local_edges: int = LOCAL_EDGES, round
     previous = None
     for _ in range(rounds):
         two_way = both(current.df)
-        least = two_way.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
+        # written, so that the join has an exchange on either side and a hub's rows can be split
+        least = staged(two_way.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m")), "least")
         large = two_way.filter("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
-        least = large.groupBy("a").agg(F.min("b").alias("m"))
+        large = staged(large, "large")
+        least = staged(large.groupBy("a").agg(F.min("b").alias("m")), "least")
         linked = large.join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b")
         after = Staged(linked.union(least.select("a", F.col("m").alias("b"))).distinct(), "edges")
         now = tuple(after.df.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
