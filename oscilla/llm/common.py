@@ -97,9 +97,14 @@ def arrow_map(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], Itera
     return df.mapInArrow(run, schema)
 
 
-def texts(batch: pa.RecordBatch, name: str = "text") -> list[str]:
+def text_column(batch: pa.RecordBatch) -> pa.Array:
+    """The texts of a batch: its column text, or that field of its column row."""
+    return batch.column("text") if "text" in batch.schema.names else batch.column("row").field("text")
+
+
+def texts(batch: pa.RecordBatch) -> list[str]:
     """The texts of a batch, null as empty."""
-    return [x or "" for x in batch.column(name).to_pylist()]
+    return [x or "" for x in text_column(batch).to_pylist()]
 
 
 #: Edges that one task may hold; larger graphs are reduced by distributed rounds.

@@ -180,8 +180,7 @@ def located(docs: DataFrame, benchmark: DataFrame, **settings) -> DataFrame:
 
 def clean(docs: DataFrame, benchmark: DataFrame, **settings) -> DataFrame:
     """The documents without any hit, with their own columns."""
-    row = docs.select(F.struct("*").alias("row"), "text")
-    return scan(row, benchmark, keep=("row", "text"), **settings).filter(F.size("runs") == 0).select("row.*")
+    return scan(docs.select(F.struct("*").alias("row")), benchmark, keep=("row",), **settings).filter(F.size("runs") == 0).select("row.*")
 
 
 def op9(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
