@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -47,9 +47,10 @@ def boxplot(df: DataFrame, by: str, value: str, accuracy: int | None = None) ->
 
 
 def representatives(df: DataFrame, by: str, load: str, preferred: int, order: str) -> DataFrame:
-    """One row a class: the first with the preferred load, else the first."""
-    first = Window.partitionBy(by).orderBy(F.coalesce(F.col(load) == preferred, F.lit(False)).desc(), order)
-    return df.filter(F.col(by).isNotNull()).withColumn("_n", F.row_number().over(first)).filter("_n = 1").drop("_n")
+    """One row a class: the first with the preferred load, else the first. An aggregate: classes aren't sorted."""
+    later = F.struct((~F.coalesce(F.col(load) == preferred, F.lit(False))).alias("other"), F.col(order).alias("order"))
+    rows = df.filter(F.col(by).isNotNull())
+    return rows.groupBy(by).agg(F.min_by(F.struct("*"), later).alias("row")).select("row.*")
 
 
 def pick_file(df: DataFrame, label: str, load: int, mils: int | None = None, order: str = "path") -> DataFrame:
