@@ -230,7 +230,7 @@ def hot_ends(phrases: DataFrame, size: int) -> DataFrame:
 
     once = phrases.dropDuplicates(["core", "phrase"])
     windows = arrow_map(once, make, "core bigint, window bigint, c bigint, key bigint, start bigint")
-    again = windows.groupBy("core", "window").agg(F.sum("c").alias("total")).filter("total > 1").select("core", "window")
+    again = staged(windows.groupBy("core", "window").agg(F.sum("c").alias("total")).filter("total > 1").select("core", "window"), "repeats-windows")
     return windows.filter("c = 1").join(again, ["core", "window"]).select("key", "start", (F.col("start") + size).alias("end"))
 
 
@@ -239,11 +239,12 @@ def removed_spans(docs: DataFrame, rows: DataFrame, copies: DataFrame, size: int
     kept = rows.join(small(copies), ["h1", "h2"], "left").filter(F.col("head").isNull() | (F.col("key") == F.col("head")))
     weight = F.when(F.col("head").isNull(), 1).otherwise(2).cast("long")
     each = kept.select("key", weight.alias("w"), F.explode(F.arrays_zip("core", "phrase", "lo", "hi")).alias("x")).select("key", "w", "x.*")
-    cores = each.groupBy("core").agg(F.sum("w").alias("n")).filter("n > 1").select("core")
+    # written, so that the join has an exchange on either side and a common core's rows can be split
+    cores = staged(each.groupBy("core").agg(F.sum("w").alias("n")).filter("n > 1").select("core"), "repeats-cores")
     candidates = staged(each.join(cores, "core"), "repeats-candidates")
     phrases = candidates.groupBy("core", "phrase").agg(F.sum("w").alias("c"), F.min(F.struct("key", "lo", "hi")).alias("at"))
     phrases = staged(phrases.select("core", "phrase", "c", "at.*"), "repeats-phrases")
-    open_ = phrases.groupBy("core").agg(F.count(F.lit(1)).alias("m"), F.min("c").alias("least")).filter("least = 1 and m > 1").select("core", "m")
+    open_ = staged(phrases.groupBy("core").agg(F.count(F.lit(1)).alias("m"), F.min("c").alias("least")).filter("least = 1 and m > 1").select("core", "m"), "repeats-open")
     wanted = phrases.join(open_, "core").groupBy("key").agg(F.collect_list(F.struct("core", "phrase", "lo", "hi", "c", "m")).alias("phrases"))
     wanted = staged(wanted.join(rows.select("key", "h1", "h2"), "key"), "repeats-wanted")
     data = staged(phrase_bytes(texts_of(docs, wanted), size), "repeats-data")
