@@ -61,14 +61,17 @@ def sliding_least(x: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(behind[:n], ahead[width - 1 : width - 1 + n])
 
 
-def anchors(raw: list[bytes], size: int = SIZE, reach: int = REACH) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-    """For each text: cores, phrases (hashes), first and last window of its anchors."""
+def anchors(raw: list[bytes], size: int = SIZE, reach: int = REACH) -> Iterator[tuple[np.ndarray, ...]]:
+    """For each text: cores, phrases (hashes), first and last window of its anchors, and 2 for runs of equal ones.
+
+    Where a text has a period, each anchor is like the one before; a run of them is given out as one.
+    """
     nothing = np.zeros(0, np.int64)
     for first, last in blocks(raw):
         part = raw[first:last]
         data = np.frombuffer(b"".join(part), np.uint8)
         if len(data) < size:
-            yield from ((nothing,) * 4 for _ in part)
+            yield from ((nothing,) * 5 for _ in part)
             continue
         sums = prefixes(data)
         at = np.arange(len(data) - TRIGGER + 1)
@@ -90,7 +93,12 @@ def anchors(raw: list[bytes], size: int = SIZE, reach: int = REACH) -> Iterator[
         phrase = mixed(mixed(substrings(sums, lo, hi + size)) + shape).view(np.int64)
         cut = np.searchsorted(lo, bounds)
         for k, (x, y) in enumerate(zip(cut[:-1], cut[1:], strict=True)):
-            yield core[x:y], phrase[x:y], lo[x:y] - bounds[k], hi[x:y] - bounds[k]
+            c, p = core[x:y], phrase[x:y]
+            fresh = np.ones(y - x, bool)
+            fresh[1:] = (c[1:] != c[:-1]) | (p[1:] != p[:-1])
+            begin = np.flatnonzero(fresh)
+            end = np.append(begin[1:], y - x) - 1 if y > x else begin
+            yield c[begin], p[begin], lo[x:y][begin] - bounds[k], hi[x:y][end] - bounds[k], 1 + (end > begin)
 
 
 def parsed(docs: DataFrame, size: int) -> DataFrame:
@@ -106,13 +114,13 @@ def parsed(docs: DataFrame, size: int) -> DataFrame:
 
         def each(batch: pa.RecordBatch) -> pa.RecordBatch:
             raw = [t.encode("utf-8", "surrogatepass") for t in texts(batch)]
-            found = list(zip(*anchors(raw, size), strict=True)) or [(), (), (), ()]
-            made = [pa.array(list(map(len, raw)), pa.int64()), pa.array([hashlib.sha256(x).hexdigest() for x in raw]), lists(found[0], np.int64), lists(found[1], np.int64), lists(found[2], np.int32), lists(found[3], np.int32)]
-            return pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("key", "doc_id", "h1", "h2")), *made], names=["key", "doc_id", "h1", "h2", "n_bytes", "sha256", "core", "phrase", "lo", "hi"])
+            found = list(zip(*anchors(raw, size), strict=True)) or [()] * 5
+            made = [pa.array(list(map(len, raw)), pa.int64()), pa.array([hashlib.sha256(x).hexdigest() for x in raw]), lists(found[0], np.int64), lists(found[1], np.int64), *(lists(found[k], np.int32) for k in (2, 3, 4))]
+            return pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("key", "doc_id", "h1", "h2")), *made], names=["key", "doc_id", "h1", "h2", "n_bytes", "sha256", "core", "phrase", "lo", "hi", "times"])
 
         return each
 
-    return arrow_map(rows, make, "key bigint, doc_id bigint, h1 bigint, h2 bigint, n_bytes bigint, sha256 string, core array<bigint>, phrase array<bigint>, lo array<int>, hi array<int>")
+    return arrow_map(rows, make, "key bigint, doc_id bigint, h1 bigint, h2 bigint, n_bytes bigint, sha256 string, core array<bigint>, phrase array<bigint>, lo array<int>, hi array<int>, times array<int>")
 
 
 def text_hashes():
@@ -238,17 +246,18 @@ def removed_spans(docs: DataFrame, rows: DataFrame, copies: DataFrame, size: int
     """(key, spans) of the texts that occur once as a whole and have repeated strings; spans may overlap."""
     kept = rows.join(small(copies), ["h1", "h2"], "left").filter(F.col("head").isNull() | (F.col("key") == F.col("head")))
     weight = F.when(F.col("head").isNull(), 1).otherwise(2).cast("long")
-    each = kept.select("key", weight.alias("w"), F.explode(F.arrays_zip("core", "phrase", "lo", "hi")).alias("x")).select("key", "w", "x.*")
+    each = kept.select("key", weight.alias("w"), F.explode(F.arrays_zip("core", "phrase", "lo", "hi", "times")).alias("x"))
+    each = each.select("key", "w", "x.core", "x.phrase", "x.lo", "x.hi", F.greatest("w", "x.times").alias("c"))
     # written, so that the join has an exchange on either side and a common core's rows can be split
-    cores = staged(each.groupBy("core").agg(F.sum("w").alias("n")).filter("n > 1").select("core"), "repeats-cores")
+    cores = staged(each.groupBy("core").agg(F.sum("c").alias("n")).filter("n > 1").select("core"), "repeats-cores")
     candidates = staged(each.join(cores, "core"), "repeats-candidates")
-    phrases = candidates.groupBy("core", "phrase").agg(F.sum("w").alias("c"), F.min(F.struct("key", "lo", "hi")).alias("at"))
+    phrases = candidates.groupBy("core", "phrase").agg(F.sum("c").alias("c"), F.min(F.struct("key", "lo", "hi")).alias("at"))
     phrases = staged(phrases.select("core", "phrase", "c", "at.*"), "repeats-phrases")
     open_ = staged(phrases.groupBy("core").agg(F.count(F.lit(1)).alias("m"), F.min("c").alias("least")).filter("least = 1 and m > 1").select("core", "m"), "repeats-open")
     wanted = phrases.join(open_, "core").groupBy("key").agg(F.collect_list(F.struct("core", "phrase", "lo", "hi", "c", "m")).alias("phrases"))
     wanted = staged(wanted.join(rows.select("key", "h1", "h2"), "key"), "repeats-wanted")
     data = staged(phrase_bytes(texts_of(docs, wanted), size), "repeats-data")
-    whole = candidates.filter("w = 1").join(phrases.filter("c > 1").select("core", "phrase"), ["core", "phrase"])
+    whole = candidates.filter("w = 1").drop("c").join(phrases.filter("c > 1").select("core", "phrase"), ["core", "phrase"])
     spans = whole.select("key", F.col("lo").cast("long").alias("start"), (F.col("hi") + size).cast("long").alias("end"))
     spans = spans.union(ends_of_passages(data.filter(F.col("m") <= HOT), size))
     hot = data.filter(F.col("m") > HOT)

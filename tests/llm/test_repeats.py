@@ -75,9 +75,16 @@ def test_spans_cover_what_is_removed(docs):
     assert {k: got.get(k, 0) for k in full} == full
 
 
+def test_periodic_texts_have_few_anchors(docs):
+    assert all(len(a[0]) < 5 for a in repeats.anchors([b"z" * 1_200_000, b"abc" * 100_000]))
+    rng = random.Random(8)
+    rows = [(1, "z" * 700), (2, text(rng, 100) + "z" * 260 + text(rng, 90)), (3, "ab" * 180), (4, text(rng, 50) + "ab" * 104), (5, "abc" * 70 + text(rng, 250) + "z" * 199)]
+    assert sorted((tuple(r) for r in repeats.without_repeats(docs(rows)).collect()), key=repr) == want(rows)
+
+
 def test_every_window_has_one_anchor():
     rng = random.Random(6)
     raw = [text(rng, n).encode() for n in (0, 50, 199, 200, 201, 5000)] + [b"z" * 1000]
-    for r, (_, _, lo, hi) in zip(raw, repeats.anchors(raw), strict=True):
+    for r, (_, _, lo, hi, _) in zip(raw, repeats.anchors(raw), strict=True):
         covered = [i for a, b in zip(lo, hi, strict=True) for i in range(a, b + 1)]
         assert covered == list(range(max(0, len(r) - 199)))
