@@ -13,23 +13,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from . import filters
-
-
-def on_rows(column: pa.Array, f: Callable[[np.ndarray], np.ndarray | None]) -> pa.Array:
-    """f on the signals of a column, stacked by length; f gives as many rows, or None for null."""
-    column = column.cast(pa.large_list(pa.float64()))
-    sizes = np.where(column.is_valid().to_numpy(zero_copy_only=False), column.value_lengths().fill_null(0).to_numpy(zero_copy_only=False), -1)
-    flat, at = column.values.to_numpy(zero_copy_only=False), np.asarray(column.offsets)[:-1]
-    out: list[np.ndarray | None] = [None] * len(column)
-    for size in np.unique(sizes[sizes > 0]):
-        rows = np.flatnonzero(sizes == size)
-        made = f(flat[at[rows][:, None] + np.arange(size)])
-        if made is not None:
-            for k, row in zip(rows, made, strict=True):
-                out[k] = row
-    for k in np.flatnonzero(sizes == 0):
-        out[k] = np.zeros(0)
-    return pa.array(out, pa.list_(pa.float64()))
+from .batches import on_rows
 
 
 def _udf(f: Callable[[np.ndarray], np.ndarray | None]) -> Callable[[Column], Column]:
@@ -113,18 +97,37 @@ def demodulated(signal: Column, fs: float, demod: str) -> Column:
     raise ValueError(f"unknown demodulation {demod}")
 
 
+def _envelope(x: np.ndarray, fs: float, demod: str) -> np.ndarray | None:
+    if demod == "none":
+        return None
+    if demod == "hilbert":
+        return _analytic(x)
+    if demod != "square_law":
+        raise ValueError(f"unknown demodulation {demod}")
+    y = _zero_phase(filters.bandpass(2000.0, 5000.0, fs, 2, True), x)
+    return None if y is None else _zero_phase(filters.lowpass(500.0, fs, 2), y * y)
+
+
+def _envelope_magnitude(x: np.ndarray, fs: float, demod: str) -> np.ndarray | None:
+    y = _envelope(x, fs, demod)
+    return None if y is None else _magnitude(y - y.mean(1, keepdims=True), True, 2)
+
+
 def envelope_spectrum(signal: Column, fs: float, demod: str = "hilbert") -> Column:
     """The windowed spectrum of the envelope less its mean, in one function."""
-
-    def both(x: np.ndarray) -> np.ndarray | None:
-        if demod == "hilbert":
-            y = _analytic(x)
-        else:
-            y = _zero_phase(filters.bandpass(2000.0, 5000.0, fs, 2, True), x)
-            y = None if y is None else _zero_phase(filters.lowpass(500.0, fs, 2), y * y)
-        return None if y is None else _magnitude(y - y.mean(1, keepdims=True), True, 2)
-
-    return F.lit(None).cast("array<double>") if demod == "none" else _udf(both)(signal)
+    return F.lit(None).cast("array<double>") if demod == "none" else _udf(lambda x: _envelope_magnitude(x, fs, demod))(signal)
+
+
+def spectral_amounts(x: np.ndarray, hz: np.ndarray, fs: float, edges: tuple[float, ...], tolerance: float, demod: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of rows x: energies of the half-open bands, and largest magnitudes within tolerance of each frequency
+    (rows x frequencies) in the windowed spectrum and in that of the envelope; 0 without a bin or an envelope."""
+    bins = np.arange(x.shape[1] // 2 + 1) * float(fs) / x.shape[1]
+    m = _magnitude(x, True, 2)
+    inside = (bins[:, None] >= np.array(edges[:-1])) & (bins[:, None] < np.array(edges[1:]))
+    near = np.abs(bins[None, None, :] - hz[:, :, None]) <= tolerance
+    largest = lambda v: np.where(near, v[:, None, :], 0.0).max(2)
+    e = _envelope_magnitude(x, fs, demod)
+    return (m * m) @ inside, largest(m), np.zeros_like(hz) if e is None else largest(e)
 
 
 def fir(signal: Column, taps: np.ndarray) -> Column:

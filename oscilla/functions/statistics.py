@@ -7,10 +7,13 @@ or empty signal has null skewness and kurtosis.
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..config import EPS
+from .batches import row_sizes, stacked
 
 _SUMS = ("m2", "m3", "m4", "absolute", "squares", "peak", "c_absolute", "c_peak")
 
@@ -53,6 +56,34 @@ def with_statistics(df: DataFrame, signal: str = "x", into: str = "stats") -> Da
     return summed.withColumn(into, F.struct(F.size(signal).cast("double").alias("n"), F.col("_mean").alias("mean"), "_sums.*")).drop("_mean", "_sums")
 
 
+def _sums(x: np.ndarray) -> list[np.ndarray]:
+    """n, mean and _SUMS of the rows of x."""
+    n, mean = np.full(len(x), float(x.shape[1])), x.mean(1)
+    c = x - mean[:, None]
+    c2 = c * c
+    return [n, mean, c2.sum(1), (c2 * c).sum(1), (c2 * c2).sum(1), np.abs(x).sum(1), (x * x).sum(1), np.abs(x).max(1), np.abs(c).sum(1), np.abs(c).max(1)]
+
+
+def _statistics(column: pa.Array) -> pa.Array:
+    names = ["n", "mean", *_SUMS]
+    out = np.zeros((len(names), len(column)))
+    sizes = row_sizes(column)
+    for rows, x in stacked(column, sizes):
+        out[:, rows] = _sums(x)
+    empty = sizes <= 0
+    fields = [pa.array(v, mask=empty if k == "mean" else sizes < 0) for k, v in zip(names, out, strict=True)]
+    return pa.StructArray.from_arrays(fields, names=names)
+
+
+_statistics.__annotations__ = {"column": pa.Array, "return": pa.Array}
+
+
+def with_fast_statistics(df: DataFrame, signal: str = "x", into: str = "stats") -> DataFrame:
+    """with_statistics by an Arrow function: for long windows, where interpreted array lambdas take most of the time."""
+    kind = "struct<" + ", ".join(f"{k}: double" for k in ("n", "mean", *_SUMS)) + ">"
+    return df.withColumn(into, F.arrow_udf(_statistics, kind)(F.col(signal)))
+
+
 def skewness(s: Column) -> Column:
     return F.try_divide(F.sqrt(s["n"]) * s["m3"], F.pow(s["m2"], 1.5))
 

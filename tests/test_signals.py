@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from oscilla.functions import filters, kinematics, spectral
-from oscilla.functions.statistics import recording_features, simple_features, windowed_features, with_statistics
+from oscilla.functions.statistics import recording_features, simple_features, windowed_features, with_fast_statistics, with_statistics
 from oscilla.operators import feature_tables, framing
 
 FS = 12_000
@@ -74,6 +74,41 @@ def test_statistics_of_special_signals(spark):
     assert rows.select(*(c.alias(k) for k, c in simple_features(F.col("stats")).items())).count() == 4
 
 
+def test_fast_statistics_are_the_same(spark):
+    rng = np.random.default_rng(2)
+    df = frame(spark, np.ones(64), np.zeros(64), [], None, *(rng.standard_normal(n) for n in (1, 5, 64, 64, 1000)))
+    for features in (windowed_features, simple_features, recording_features):
+        a, b = (make(df).select("id", *(c.alias(k) for k, c in features(F.col("stats")).items())).orderBy("id").collect() for make in (with_statistics, with_fast_statistics))
+        for x, y in zip(a, b, strict=True):
+            assert [v is None for v in x] == [v is None for v in y], (x, y)
+            assert [v for v in x if v is not None] == pytest.approx([v for v in y if v is not None])
+
+
+def test_tables_of_recordings_are_those_of_their_windows(spark):
+    rng = np.random.default_rng(4)
+    rows = [(k, k, rng.standard_normal(n).tolist() if n is not None else None) for k, n in enumerate((100, 64, 63, 65, 0, None, 1000))]
+    df = spark.createDataFrame(rows, "id int, Load int, signal array<double>")
+    for inclusive in (True, False):
+        slow = feature_tables.simple_table(framing.frames(df, "signal", 64, 0.5, inclusive).drop("signal"))
+        fast = feature_tables.simple_of_recordings(df, "signal", 64, 0.5, inclusive)
+        assert fast.columns == slow.columns
+        a, b = (sorted(map(tuple, t.collect())) for t in (slow, fast))
+        assert len(a) == len(b) and all(x[:3] == y[:3] and x[3:] == pytest.approx(y[3:]) for x, y in zip(a, b, strict=True))
+    for demod in ("hilbert", "square_law", "none"):
+        slow = feature_tables.full_table(framing.frames(df, "signal", 64, 0.5, True).drop("signal"), demod=demod, tolerance=100.0)
+        fast = feature_tables.of_recordings(df, "signal", 64, 0.5, demod, tolerance=100.0)
+        a, b = (sorted(map(tuple, t.collect())) for t in (slow, fast))
+        assert fast.columns == slow.columns and len(a) == len(b) > 30 and all(x[:3] == y[:3] and x[3:] == pytest.approx(y[3:]) for x, y in zip(a, b, strict=True))
+
+
+def test_full_table_of_special_windows(spark):
+    df = frame(spark, np.ones(64), [], None, np.arange(10)).withColumn("Load", F.lit(None).cast("int"))
+    rows = feature_tables.full_table(df, "x", demod="square_law").orderBy("id").collect()
+    assert rows[0].RMS == 0 and rows[0].Kurtosis is None and rows[0].Crest_Factor == 0 and rows[0].Env_Amp_BPFI == 0
+    assert rows[1].RMS is None and rows[2]["Energy_0.0_50.0Hz"] is None
+    assert rows[3].RMS == pytest.approx(np.std(np.arange(10))) and rows[3].Env_Amp_BSF == 0  # too short to filter
+
+
 def test_spectrum_and_envelope_of_a_tone(spark):
     k, n = 5, 64
     tone = np.cos(2 * np.pi * k * np.arange(n) / n)
