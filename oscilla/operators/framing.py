@@ -13,7 +13,9 @@ def step_of(size: int, overlap: float) -> int:
 def frames(df: DataFrame, signal: str, size: int, overlap: float, inclusive: bool, into: str = "window") -> DataFrame:
     """A row a window, with start_idx. inclusive: the window that ends with the signal is one too.
 
-    Narrow: no shuffle. Signals that are too short, or null, have no windows.
+    Narrow: no shuffle. Signals that are too short, or null, have no windows. A row carries
+    the signal until its window is cut; for features of long recordings use
+    ``feature_tables.of_recordings``, which makes no such rows.
     """
     last = F.size(signal) - size - (0 if inclusive else 1)
     starts = F.when(last >= 0, F.sequence(F.lit(0), last, F.lit(step_of(size, overlap))))
