@@ -45,7 +45,7 @@ BITS = 16
 CHUNKS = 9
 ERRORS = 17
 SKETCH = 16
-BLOCK_BYTES = 1_000_000
+BLOCK_BYTES = 150_000
 
 _RNG = np.random.default_rng(4)
 _FACTORS = _RNG.integers(0, 2**63, COMPONENTS, dtype=np.uint64)[:, None] * np.uint64(2) + np.uint64(1)
