@@ -177,8 +177,10 @@ def boxplot_stats(spark, sf_dir):
 
 
 def representative_file(spark, sf_dir):
-    rows = manifest(spark, sf_dir).join(class_label(spark, sf_dir), "path_c")
-    return summary.representatives(rows, "class_label", "load_hp", 0, "k").select("class_label", "load_hp", "k")
+    parts = layouts.by_type_folders("path_c")
+    label = layouts.class_label(parts["fault_type"], parts["fault_size"], parts["position"])
+    rows = manifest(spark, sf_dir).select(label.alias("class_label"), "load_hp", "k")
+    return summary.representatives(rows, "class_label", "load_hp", 0, "k")
 
 
 def pick_file(spark, sf_dir):
