@@ -9,12 +9,12 @@ the model's probability of a text is the hidden Markov model's probability of
 its classes, by the scaled forward recursion over the whole text, times the
 words' shares, and it sums to one over all texts.
 
-Baum-Welch starts from a bounded sample (SAMPLE_ROWS texts by a hash of doc_id,
-SAMPLE_TOKENS tokens each, on the driver) and then makes PASSES passes over all
-training texts: every task adds up expected counts, these are summed by class,
-and the new parameters, whose size is fixed, go to the driver. For training,
-texts are cut into pieces of PIECE tokens, so that long ones don't hold up the
-recursion; scoring doesn't cut.
+Baum-Welch starts from random emissions around the counts of all training texts
+and makes passes over all of them, until one raises the log likelihood by no
+more than SETTLED of it: every task adds up expected counts, these are summed by
+class, and the new parameters, whose size is fixed, go to the driver. For
+training, texts are cut into pieces of PIECE tokens, so that long ones don't hold
+up the recursion; scoring doesn't cut.
 
 Counts of the KNOWN_WORDS most frequent tokens go to all tasks (a fixed bound);
 the others are looked up by a join with the table of all counts, which both the
@@ -45,10 +45,7 @@ CLASS_WORDS = 1 << 14
 KNOWN_WORDS = 1 << 19
 SUFFIXES = 128
 LONGEST_KNOWN = 64
-SAMPLE_ROWS = 1500
-SAMPLE_TOKENS = 400
-SAMPLE_ROUNDS = 25
-PASSES = 2
+SETTLED = 5e-4
 PIECE = 1024
 FLUSH = 400_000
 GROUP_TOKENS = 3_000_000
@@ -185,41 +182,45 @@ class TimeMajor:
 
 
 def forward(model: Model, laid: TimeMajor, keep: bool) -> tuple[np.ndarray | None, np.ndarray, np.ndarray]:
-    """Scaled forward probabilities (if kept), the scales, and the emissions, all step by step."""
-    emitted = model.emits[laid.codes]
-    scales = np.empty(len(laid.codes))
+    """Scaled forward probabilities (if kept), the scales, and the emissions, all step by step; a row a state."""
+    emitted = np.take(np.ascontiguousarray(model.emits.T), laid.codes, axis=1)
+    scales = np.empty(len(laid.codes), emitted.dtype)
     alphas = np.empty_like(emitted) if keep else None
+    moves = np.ascontiguousarray(model.moves.T)
     a = None
     for t, n in enumerate(laid.active.tolist()):
         here = slice(laid.at[t], laid.at[t] + n)
-        a = (np.broadcast_to(model.start, (n, len(model.start))) if t == 0 else a[:n] @ model.moves) * emitted[here]
-        c = a.sum(1)
+        a = (model.start[:, None] if t == 0 else moves @ a[:, :n]) * emitted[:, here]
+        c = a.sum(0)
         scales[here] = c
-        a = a / c[:, None]
+        a /= c
         if keep:
-            alphas[here] = a
+            alphas[:, here] = a
     return alphas, scales, emitted
 
 
 def expected(model: Model, laid: TimeMajor, start: np.ndarray, moves: np.ndarray, emits: np.ndarray) -> float:
     """Adds the expected counts of the sequences to start, moves and emits; returns their log likelihood."""
     alphas, scales, emitted = forward(model, laid, True)
+    emitted /= scales
     n0 = int(laid.active[0])
     gamma = alphas  # turned into posteriors in place, from the last step back
-    b = np.zeros((0, len(model.start)))
+    pairs = np.zeros(model.moves.shape)
+    b = emitted[:, :0]
     for t in range(len(laid.active) - 1, -1, -1):
-        n = int(laid.active[t])
-        here = slice(laid.at[t], laid.at[t] + n)
-        own = np.ones((n, len(model.start)))
-        if len(b):
-            moves += (alphas[here][: len(b)].T @ b) * model.moves
-            own[: len(b)] = b @ model.moves.T
-        gamma[here] *= own
-        b = own * emitted[here] / scales[here, None]
-    start += gamma[:n0].sum(0)
+        at, m = int(laid.at[t]), b.shape[1]
+        now = emitted[:, at : at + int(laid.active[t])]
+        if m:
+            own = model.moves @ b
+            pairs += alphas[:, at : at + m] @ b.T
+            gamma[:, at : at + m] *= own
+            now[:, :m] *= own
+        b = now
+    moves += pairs * model.moves
+    start += gamma[:, :n0].sum(1, dtype=float)
     for k in range(emits.shape[1]):
-        emits[:, k] += np.bincount(laid.codes, gamma[:, k], len(emits))
-    return float(np.log(scales).sum())
+        emits[:, k] += np.bincount(laid.codes, gamma[k], len(emits))
+    return float(np.log(scales).sum(dtype=float))
 
 
 def pieces(lengths: np.ndarray, size: int) -> np.ndarray:
@@ -268,19 +269,20 @@ def in_groups(batches: Iterator[pa.RecordBatch], limit: int = GROUP_TOKENS) -> I
         yield out()
 
 
-def baum_welch(encoded: DataFrame, model: Model, prior: np.ndarray) -> Model:
-    """One pass over all rows of encoded (ids)."""
+def baum_welch(encoded: DataFrame, model: Model, prior: np.ndarray) -> tuple[Model, float]:
+    """One pass over all rows of encoded (ids), in single precision: the new model, and the log likelihood under the old one."""
     states, rows = len(model.start), len(prior)
     sent = encoded.sparkSession.sparkContext.broadcast((model.start, model.moves, model.emits))
     names = [f"g{k}" for k in range(states)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = Model(*sent.value)
+        own = Model(*(x.astype(np.float32) for x in sent.value))
         start, moves, emits = np.zeros(states), np.zeros((states, states)), np.zeros((rows, states))
+        reached = np.zeros(states)  # the log likelihood, in the first place
         for _, codes, lengths in in_groups(batches):
             for _, laid in laid_out(codes, pieces(lengths, PIECE)):
-                expected(own, laid, start, moves, emits)
-        table_ = np.vstack([emits, moves, start])
+                reached[0] += expected(own, laid, start, moves, emits)
+        table_ = np.vstack([emits, moves, start, reached])
         used = np.flatnonzero(table_.any(1))
         for k in range(0, len(used), 10_000):
             part = used[k : k + 10_000]
@@ -288,27 +290,19 @@ def baum_welch(encoded: DataFrame, model: Model, prior: np.ndarray) -> Model:
 
     partial = encoded.select("ids").mapInArrow(run, "id bigint, " + ", ".join(f"{x} double" for x in names))
     got = partial.groupBy("id").agg(*(F.sum(x).alias(x) for x in names)).toArrow()
-    sums = np.zeros((rows + states + 1, states))
+    sums = np.zeros((rows + states + 2, states))
     sums[got["id"].to_numpy()] = np.stack([got[x].to_numpy() for x in names], 1) if got.num_rows else 0
-    return Model.of_counts(sums[-1], sums[rows : rows + states], sums[:rows], prior)
-
-
-def sampled_start(encoded: DataFrame, prior: np.ndarray) -> Model:
-    """Parameters from a bounded sample of the training texts."""
-    rows = encoded.select(F.xxhash64("doc_id").alias("h"), "key", F.slice("ids", 1, SAMPLE_TOKENS).alias("ids")).orderBy("h", "key").limit(SAMPLE_ROWS)
-    lists = [np.array(x, np.int64) for x in rows.toArrow()["ids"].to_pylist()]
-    model = Model.random(prior)
-    if not lists:
-        return model
-    codes, lengths = np.concatenate(lists), np.array(list(map(len, lists)))
-    blocks = [laid for _, laid in laid_out(codes, lengths, 1_000_000)]
-    states, n = len(model.start), len(prior)
-    for _ in range(SAMPLE_ROUNDS):
-        start, moves, emits = np.zeros(states), np.zeros((states, states)), np.zeros((n, states))
-        for laid in blocks:
-            expected(model, laid, start, moves, emits)
-        model = Model.of_counts(start, moves, emits, prior)
-    return model
+    return Model.of_counts(sums[-2], sums[rows : rows + states], sums[:rows], prior), float(sums[-1, 0])
+
+
+def trained(encoded: DataFrame, prior: np.ndarray) -> Model:
+    """Passes over all rows of encoded, from random emissions around prior until the likelihood settles."""
+    model, before = Model.random(prior), -np.inf
+    while True:
+        model, now = baum_welch(encoded, model, prior)
+        if not now - before > SETTLED * abs(now):
+            return model
+        before = now
 
 
 def likelihoods(encoded: DataFrame, model: Model) -> DataFrame:
@@ -339,10 +333,7 @@ def scored(docs: DataFrame) -> DataFrame:
     vocabulary = Vocabulary(counts)
     sent = spark.sparkContext.broadcast(vocabulary)
     encoded = staged(arrow_map(rows, lambda: encoder(sent.value), _ENCODED), "hmm-encoded")
-    training = encoded.filter("not held_out")
-    model = sampled_start(training, vocabulary.prior)
-    for _ in range(PASSES):
-        model = baum_welch(training, model, vocabulary.prior)
+    model = trained(encoded.filter("not held_out"), vocabulary.prior)
     rare = encoded.select("key", F.explode(F.arrays_zip("rare", "often")).alias("x")).select("key", F.col("x.rare").alias("token"), F.col("x.often").alias("times"))
     looked_up = rare.join(counts.select("token", "c"), "token", "left")
     c = F.coalesce("c", F.lit(0))

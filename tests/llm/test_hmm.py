@@ -121,3 +121,19 @@ def test_long_text(docs):
     rows = [*corpus(30), (50, "al1 al2 " * 60_000)]
     got = rows_of(hmm.scored(docs(rows)))[50]
     assert got[1] == 120_001 and math.isfinite(got[5])
+
+
+def test_training_sees_whole_texts_until_the_likelihood_settles(spark):
+    # what stands after the first words decides the states; a start from the first 400 words knows one language only
+    rng = np.random.default_rng(5)
+    seqs = [np.concatenate([np.zeros(400, int), rng.integers(1 + 20 * (k % 2), 21 + 20 * (k % 2), 400)]).tolist() for k in range(40)]
+    rows = spark.createDataFrame([(x,) for x in seqs], "ids array<int>").repartition(3)
+    prior = np.bincount(np.concatenate(seqs), minlength=41) + 0.1
+    prior = prior / prior.sum()
+    m = hmm.trained(rows, prior)
+    after, now = hmm.baum_welch(rows, m, prior)
+    _, later = hmm.baum_welch(rows, after, prior)
+    assert later - now <= 2 * hmm.SETTLED * abs(now)
+    assert now > 40 * 400 * math.log(1 / 22)
+    sums = np.zeros(8), np.zeros((8, 8)), np.zeros((41, 8))
+    assert now == pytest.approx(hmm.expected(m, hmm.TimeMajor(np.concatenate(seqs), np.full(40, 800)), *sums), rel=1e-5)
