@@ -54,7 +54,7 @@ _SEPARATOR = re.compile(r":=|=>|[:=]")
 _NAME = re.compile(r"""(?:(?P<q>["'`])(?P<quoted>[A-Za-z_][\w.\- ]{0,63})(?P=q)|(?<![\w.\-])(?P<bare>[A-Za-z_][\w.\-]{0,63}))[\x20\t]*$""", re.A)
 _TERM = re.compile(r"""[\x20\t]*(?:[A-Za-z]{0,2}"(?P<d>(?:[^"\\\n]|\\.)*)"|[A-Za-z]{0,2}'(?P<s>(?:[^'\\\n]|\\.)*)'|`(?P<b>[^`\n]*)`|(?P<name>[A-Za-z_][\w.]{0,63})(?![\w"'(\[]))""", re.A)
 _JOIN = re.compile(r"[\x20\t]*(?:\+|\.\.|\\?\n[\x20\t]*\+)")
-_VALUE = re.compile(r"[\x20\t]*([^\s\"'`,;#]{6,512})[\x20\t]*(?=$|[\r\n]|[\x20\t]#)", re.A)
+_VALUE = re.compile(r"[\x20\t]*([^\s\"'`,;#]{6,}+)[\x20\t]*(?=$|[\r\n]|[\x20\t]#)", re.A)
 _WORDS = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|[0-9]+")
 _LEAD = re.compile(r"^[\x20\t]*(?:export[\x20\t]+|set[\x20\t]+|-[\x20\t]+)?$")
 
@@ -125,9 +125,11 @@ def lexed_pairs(text: str) -> list[tuple[str, str, list[tuple[int, int]], bool]]
             term = _TERM.match(text, join.end())
         bare = False
         if not spans:
-            # a configuration line of its own: nothing else before the name or after the value
+            # a configuration line of its own: nothing else before the name or after the value; the value, of any length, is read once a line
+            if line < 0 < left or not _LEAD.match(text[left : left + name.start()]):
+                continue
             literal = _VALUE.match(text, right)
-            if not literal or line < 0 < left or not _LEAD.match(text[left : left + name.start()]):
+            if not literal:
                 continue
             value, spans, pos, bare = literal[1], [literal.span(1)], literal.end(), True
         if len(spans) > 64:

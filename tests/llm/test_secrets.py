@@ -77,3 +77,20 @@ def test_long_lines_are_read_in_linear_time():
 def test_long_text():
     text = "word " * 200_000 + "token=abcdefgh" + " = " * 1000
     assert len(secrets.base_spans(text)) == 1 and secrets.all_spans(text)[1]
+
+
+@pytest.mark.parametrize("size", [512, 513, 5000])
+@pytest.mark.parametrize("line", ["AUTH={}", "export PRIVATE_KEY={}  # rotated", "client-credential: {}\r"])
+def test_bare_values_of_any_length(docs, line, size):
+    value = ("Zk8pQ2vX9q/+" * size)[:size]
+    text = f"a = 1\n{line.format(value)}\nnext line"
+    assert lex(text) == [value]
+    assert secrets.redact(docs([(1, text)])).first().text == f"a = 1\n{line.format('[REDACTED]')}\nnext line"
+
+
+def test_long_bare_values_are_read_in_linear_time():
+    import time
+
+    began = time.monotonic()
+    secrets.all_spans("auth=" + "key=k9:" * 100_000 + ",\n" + "auth=" * 100_000 + "x")
+    assert time.monotonic() - began < 30
