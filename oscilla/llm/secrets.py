@@ -90,10 +90,32 @@ def value_score(value: str) -> float:
     return min(1.0, bits / 18)
 
 
-def lexed_pairs(text: str) -> list[tuple[str, str, list[tuple[int, int]], bool]]:
-    """(name, value, spans of the literals the value is made of, bare) of every assignment, constants propagated."""
+class Parts:
+    """The literals a value is made of: spans of its own, and the parts of the names it takes up, which are shared and not copied."""
+
+    __slots__ = ("names", "spans")
+
+    def __init__(self):
+        self.spans: list[tuple[int, int]] = []
+        self.names: dict[int, Parts] = {}
+
+
+def literals(roots: list[Parts]) -> set[tuple[int, int]]:
+    """The spans of all literals of roots; each part is visited once."""
+    found, seen, open_ = set(), set(), list(roots)
+    while open_:
+        part = open_.pop()
+        if id(part) not in seen:
+            seen.add(id(part))
+            found.update(part.spans)
+            open_.extend(part.names.values())
+    return found
+
+
+def lexed_pairs(text: str) -> list[tuple[str, str, Parts, bool]]:
+    """(name, value, parts, bare) of every assignment, constants propagated."""
     out = []
-    known: dict[str, tuple[str, list[tuple[int, int]]]] = {}
+    known: dict[str, tuple[str, Parts]] = {}
     done = 0
     for separator in _SEPARATOR.finditer(text):
         at, right = separator.span()
@@ -105,38 +127,38 @@ def lexed_pairs(text: str) -> list[tuple[str, str, list[tuple[int, int]], bool]]
         if not name:
             continue
         target = name["quoted"] or name["bare"]
-        value, spans, pos = "", [], right
+        value, parts, pos = "", Parts(), right
         term = _TERM.match(text, pos)
         while term:
             which = term.lastgroup
             if which == "name":
                 if term["name"] not in known:
-                    value, spans = "", []
+                    value, parts = "", Parts()
                     break
-                value += known[term["name"]][0]
-                spans = [*spans, *known[term["name"]][1]]
+                more, other = known[term["name"]]
+                value += more
+                parts.names[id(other)] = other
             else:
                 value += term[which]
-                spans.append(term.span(which))
+                parts.spans.append(term.span(which))
             pos = term.end()
             join = _JOIN.match(text, pos)
             if not join:
                 break
             term = _TERM.match(text, join.end())
         bare = False
-        if not spans:
+        if not parts.spans and not parts.names:
             # a configuration line of its own: nothing else before the name or after the value; the value, of any length, is read once a line
             if line < 0 < left or not _LEAD.match(text[left : left + name.start()]):
                 continue
             literal = _VALUE.match(text, right)
             if not literal:
                 continue
-            value, spans, pos, bare = literal[1], [literal.span(1)], literal.end(), True
-        if len(spans) > 64:
-            spans = spans[:1] + spans[-63:]
-        known[target] = (value[-4096:], spans)
-        known.setdefault(target.rpartition(".")[2], (value[-4096:], spans))
-        out.append((target, value, spans, bare))
+            value, pos, bare = literal[1], literal.end(), True
+            parts.spans.append(literal.span(1))
+        known[target] = (value[-4096:], parts)
+        known.setdefault(target.rpartition(".")[2], (value[-4096:], parts))
+        out.append((target, value, parts, bare))
         done = pos
     return out
 
@@ -144,14 +166,14 @@ def lexed_pairs(text: str) -> list[tuple[str, str, list[tuple[int, int]], bool]]
 def lexed_spans(text: str) -> list[tuple[int, int, int]]:
     if ":" not in text and "=" not in text:
         return []
-    found = set()
-    for name, value, spans, bare in lexed_pairs(text):
+    secret = []
+    for name, value, parts, bare in lexed_pairs(text):
         if bare and not (re.search("[0-9]", value) and re.search("[A-Za-z]", value)):
             continue
         sensitive = name_score(name)
         if sensitive and sensitive * value_score(value) >= SCORE:
-            found.update((a, 3, b) for a, b in spans if b - a >= 4)
-    return sorted(found)
+            secret.append(parts)
+    return sorted((a, 3, b) for a, b in literals(secret) if b - a >= 4)
 
 
 def all_spans(text: str) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int]]]:

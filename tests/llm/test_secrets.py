@@ -94,3 +94,24 @@ def test_long_bare_values_are_read_in_linear_time():
     began = time.monotonic()
     secrets.all_spans("auth=" + "key=k9:" * 100_000 + ",\n" + "auth=" * 100_000 + "x")
     assert time.monotonic() - began < 30
+
+
+def test_all_literals_of_a_value_are_found(docs):
+    pieces = [f"Zk8{k:05d}" for k in range(200)]
+    source = "private_key = " + "\n  + ".join(f"'{x}'" for x in pieces) + "\n"
+    assert lex(source) == pieces
+    by_names = "".join(f"p{k} = '{x}'\n" for k, x in enumerate(pieces)) + "private_key = " + " + ".join(f"p{k}" for k in range(200)) + "\n"
+    assert lex(by_names) == pieces
+    chained = f"p0 = '{pieces[0]}'\n" + "".join(f"p{k} = p{k - 1} + '{x}'\n" for k, x in enumerate(pieces) if k) + "auth_token = p199\n"
+    assert lex(chained) == pieces
+    left = secrets.redact(docs([(k, x) for k, x in enumerate((source, by_names, chained))])).collect()
+    assert not any(x in r.text for r in left for x in pieces)
+
+
+def test_shared_parts_are_read_in_linear_time():
+    import time
+
+    began = time.monotonic()
+    text = "k = 'Zk8pQ2vX9q'\n" + "k = k + k\n" * 2_000 + "".join(f"k = k + 'a{j:05d}'\n" for j in range(2_000)) + "private_key = k\n"
+    assert len(lex(text)) == 2_001
+    assert time.monotonic() - began < 30
