@@ -290,17 +290,17 @@ def _labelled(spark, sf_dir) -> tuple[DataFrame, list[str]]:
 
 def rf_importance(spark, sf_dir):
     df, columns = _labelled(spark, sf_dir)
-    return experiments.importances(spark, experiments.forest(df, columns, "Label", trees=20, depth=8), columns, 10)
+    return experiments.importances(spark, experiments.forest(df, columns, "Label"), columns, 10)
 
 
 def rf_split_comparison(spark, sf_dir):
     df, columns = _labelled(spark, sf_dir)
-    return experiments.compare_splits(df, columns, "Label", "vec_id", "file", trees=20, depth=8)
+    return experiments.compare_splits(df, columns, "Label", "vec_id", "file")
 
 
 def mlp_lolo(spark, sf_dir):
     df, columns = _labelled(spark, sf_dir)
-    plan = [("A3", f"load {k} left out", "all", lambda k=k: experiments.train_and_score_perceptron(df.filter(F.col("Load") != k), df.filter(F.col("Load") == k), columns, "Label", 4, "vec_id", rounds=20)) for k in (0, 1)]
+    plan = [("A3", f"load {k} left out", "all", lambda k=k: experiments.train_and_score_perceptron(df.filter(F.col("Load") != k), df.filter(F.col("Load") == k), columns, "Label", 4, "vec_id")) for k in range(4)]
     return experiments.run_experiments(spark, plan)
 
 

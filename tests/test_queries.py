@@ -44,3 +44,36 @@ def test_entry(spark):
     rows = entry.entry(spark).collect()
     assert rows and set(rows[0].asDict()) == {"label", "rms", "kurtosis", "skewness", "crest_factor", "peak"}
     assert entry.oracle_sql().keys() <= entry.queries().keys()
+
+
+def test_models_are_whole(spark, monkeypatch):
+    """Each load is left out once, and every fit has the operators' own rounds, trees and depth."""
+    import inspect
+
+    from oscilla.operators import experiments
+
+    rows = spark.range(40).selectExpr("id AS vec_id", "cast(id % 4 AS int) AS Load", "cast(id % 3 AS int) AS Label", "cast(id / 5 AS int) AS file", "rand(1) AS f")
+    monkeypatch.setattr(manifests, "_labelled", lambda *_: (rows, ["f"]))
+    fits = []
+
+    def seen(f, out):
+        def run(*args, **kw):
+            bound = inspect.signature(f).bind(*args, **kw)
+            bound.apply_defaults()
+            fits.append(bound.arguments)
+            return out
+
+        return run
+
+    scores = spark.sql("SELECT 1.0D AS accuracy, 1.0D AS f1_macro, 1L AS n")
+    monkeypatch.setattr(experiments, "train_and_score_perceptron", seen(experiments.train_and_score_perceptron, scores))
+    monkeypatch.setattr(experiments, "importances", lambda *_: scores)
+    monkeypatch.setattr(experiments, "forest", seen(experiments.forest, None))
+    monkeypatch.setattr(experiments, "compare_splits", seen(experiments.compare_splits, scores))
+    assert [r.name for r in QUERIES["mlp_lolo"](spark, SF).collect()] == [f"load {k} left out" for k in range(4)]
+    loads = lambda df: {r.Load for r in df.select("Load").distinct().collect()}
+    assert [(loads(x["test"]), loads(x["train"]), x["rounds"]) for x in fits] == [({k}, {0, 1, 2, 3} - {k}, 100) for k in range(4)]
+    fits.clear()
+    QUERIES["rf_importance"](spark, SF)
+    QUERIES["rf_split_comparison"](spark, SF)
+    assert [(x["trees"], x["depth"]) for x in fits] == [(100, 20)] * 2
