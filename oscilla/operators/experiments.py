@@ -1,4 +1,8 @@
-"""Metrics, scaling, models and the experiment runner on Spark ML."""
+"""Metrics, scaling, models and the experiment runner.
+
+Fits read their rows many times: pass them tables that are written (``staging.staged``)
+or cheap to read. What is split here is written first.
+"""
 
 from __future__ import annotations
 
@@ -10,7 +14,8 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import splits
+from ..staging import staged
+from . import networks, splits
 
 RESULT = "stage string, name string, features string, acc double, f1 double, n_train bigint, n_test bigint"
 
@@ -44,7 +49,7 @@ def _vectors(df: DataFrame, columns: list[str]) -> DataFrame:
 
 
 def forest(train: DataFrame, columns: list[str], label: str, seed: int = 42, trees: int = 100, depth: int = 20):
-    return RandomForestClassifier(labelCol=label, featuresCol="_features", numTrees=trees, maxDepth=depth, seed=seed).fit(_vectors(train, columns))
+    return RandomForestClassifier(labelCol=label, featuresCol="_features", numTrees=trees, maxDepth=depth, seed=seed, cacheNodeIds=True).fit(_vectors(train, columns))
 
 
 def importances(spark: SparkSession, model, columns: list[str], k: int | None = None) -> DataFrame:
@@ -66,24 +71,25 @@ def class_scores(model, df: DataFrame, columns: list[str]) -> DataFrame:
 
 
 def perceptron(train: DataFrame, columns: list[str], label: str, classes: int, hidden: tuple[int, ...] = (64, 32), seed: int = 42, rounds: int = 100):
-    """A multilayer perceptron with sigmoid layers, fit by L-BFGS; no dropout and no early stopping in this library."""
+    """A multilayer perceptron with sigmoid layers, fit by L-BFGS over all executors: for more rows than ``networks`` holds in a task."""
     layers = [len(columns), *hidden, classes]
     return MultilayerPerceptronClassifier(labelCol=label, featuresCol="_features", layers=layers, maxIter=rounds, seed=seed).fit(_vectors(train, columns))
 
 
 def train_and_score_perceptron(train: DataFrame, test: DataFrame, columns: list[str], label: str, classes: int, key: str, rounds: int = 100) -> DataFrame:
-    """15 percent of train held back by label, scaling learned on the rest, scores on test."""
-    held = splits.stratified_rows(train, label, key, 0.15)
-    rest = held.filter("split = 'train'").drop("split")
-    known = scaling(rest, columns)
-    model = perceptron(scaled(rest, known), columns, label, classes, rounds=rounds)
-    return score(model, scaled(test, known), columns, label)
+    """15 percent of train held back by label to stop the fit, scaling learned on the rest, scores on test."""
+    held = staged(splits.stratified_rows(train.select(key, label, *(F.col(f"`{c}`") for c in columns)), label, key, 0.15), "held-back")
+    known = scaling(held.filter("split = 'train'"), columns)
+    layers = networks.fit(scaled(held, known), columns, label, F.col("split") == "test", key, classes, rounds)
+    return accuracy_macro_f1(networks.predicted(scaled(test, known), layers, columns, label), "y", "prediction")
 
 
 def compare_splits(features: DataFrame, columns: list[str], label: str, key: str, file: str, seed: int = 42, trees: int = 100, depth: int = 20) -> DataFrame:
     """A forest on a random and on a file split: name, accuracy, f1_macro, n_train, n_test."""
+    features = staged(features.select(key, file, label, *(F.col(f"`{c}`") for c in columns)), "split-features")
     out = None
     for name, split in (("random", splits.random_rows(features, key, seed=seed)), ("file", splits.by_file(features, file, seed=seed))):
+        split = staged(split, f"split-{name}")
         train, test = split.filter("split = 'train'"), split.filter("split = 'test'")
         model = forest(train, columns, label, seed, trees, depth)
         row = score(model, test, columns, label).select(F.lit(name).alias("name"), "accuracy", "f1_macro", F.lit(train.count()).cast("long").alias("n_train"), F.col("n").alias("n_test"))

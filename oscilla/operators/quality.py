@@ -1,4 +1,4 @@
-"""Data-quality rules over a manifest; codes, not messages, are the result.
+"""Data-quality rules over a manifest; the result are codes, and messages with the values that broke a rule.
 
 A row without drive-end samples is skipped: no other rule looks at it. A missing
 load or label is reported for every such row.
@@ -25,6 +25,19 @@ CODES = (
     "THIEU_TAI",
 )
 
+#: What follows each code in its message, as printf formats.
+MESSAGES = (
+    "n_samples=%d -> %.1fs nếu 12kHz (bất thường), %.1fs nếu 48kHz (hợp lý).",
+    "n_samples=%d không khớp ~10s ở cả 12kHz (%.1fs) lẫn 48kHz (%.1fs).",
+    "RPM file (%.0f) lệch >20 so với danh định tải %dHP (%d).",
+    "đường kính %d mils dùng vòng bi NTN, KHÔNG dùng hình học SKF 6205 để tính BPFO/BPFI/BSF.",
+    "%d mils không rõ nguồn gốc.",
+    "nhãn OR nhưng không rõ vị trí lỗi.",
+    "vị trí '%s' khác phạm vi đã chốt ('Centered').",
+    "không parse được nhãn lỗi.",
+    "không parse được mức tải.",
+)
+
 
 def rules(n: str = "n_samples_DE", load: str = "load_hp", label: str = "label", mils: str = "fault_diameter_mils", position: str = "or_position", rpm: str = "rpm_from_file") -> dict[str, Column]:
     """Each code's predicate; null counts as not broken."""
@@ -44,12 +57,22 @@ def rules(n: str = "n_samples_DE", load: str = "load_hp", label: str = "label",
     return dict(zip(CODES, broken, strict=True))
 
 
+def messages(n: str = "n_samples_DE", load: str = "load_hp", mils: str = "fault_diameter_mils", position: str = "or_position", rpm: str = "rpm_from_file", **_: str) -> dict[str, Column]:
+    """Each code's message."""
+    seconds = [F.col(n) / F.lit(float(fs)) for fs in (FS, OTHER_FS)]
+    values = ([F.col(n), *seconds], [F.col(n), *seconds], [F.col(rpm), F.col(load), rpm_of(F.col(load), None)], [F.col(mils)], [F.col(mils)], [], [F.col(position)], [], [])
+    return {code: F.format_string(f"{code}: {text}", *v) if v else F.lit(f"{code}: {text}") for code, text, v in zip(CODES, MESSAGES, values, strict=True)}
+
+
 def flagged(manifest: DataFrame, **columns: str) -> DataFrame:
-    """manifest with codes (array), warnings (text) and has_warning."""
-    n = F.col(columns.get("n", "n_samples_DE"))
-    found = F.array_compact(F.array(*(F.when(broken, F.lit(code)) for code, broken in rules(**columns).items())))
-    codes = F.when(n.isNull(), F.array().cast("array<string>")).otherwise(found)
-    return manifest.withColumn("codes", codes).withColumn("warnings", F.array_join("codes", "; ")).withColumn("has_warning", F.col("warnings") != "")
+    """manifest with codes (array), warnings (the codes as text), messages (the full texts) and has_warning."""
+    n, said = F.col(columns.get("n", "n_samples_DE")), messages(**columns)
+    found = F.array_compact(F.array(*(F.when(broken, F.struct(F.lit(code).alias("code"), said[code].alias("message"))) for code, broken in rules(**columns).items())))
+    found = F.when(n.isNull(), F.lit(None)).otherwise(found)
+    nothing = F.array().cast("array<string>")
+    out = manifest.withColumn("_found", found).withColumn("codes", F.coalesce(F.col("_found.code"), nothing))
+    out = out.withColumn("warnings", F.array_join("codes", "; ")).withColumn("messages", F.array_join(F.coalesce(F.col("_found.message"), nothing), "; "))
+    return out.withColumn("has_warning", F.col("warnings") != "").drop("_found")
 
 
 def rule_counts(checked: DataFrame, spark: SparkSession) -> DataFrame:

@@ -54,7 +54,7 @@ def representatives(df: DataFrame, by: str, load: str, preferred: int, order: st
 
 
 def pick_file(df: DataFrame, label: str, load: int, mils: int | None = None, order: str = "path") -> DataFrame:
-    """The first matching row in path order; an error if none matches, once the result is read."""
+    """The first matching row in path order; an error at once if none matches, for which one job looks."""
     rows = df.filter((F.col("label") == label) & (F.col("load_hp") == load))
     if mils is not None:
         rows = rows.filter(F.col("fault_diameter_mils") == mils)

@@ -9,6 +9,7 @@ from ..config import DIAMETERS, FAULT_MULTIPLIERS, RPM_BY_LOAD
 from ..functions import kinematics
 from ..functions.statistics import rounded
 from ..operators import experiments, layouts, quality, splits, summary
+from ..staging import staged
 from .standins import MANIFEST, manifest, r6, recordings, samples, table
 
 _LOADS = "l AS (SELECT unnest([0, 1, 2, 3])::INTEGER AS load, unnest([1797, 1772, 1750, 1730])::INTEGER AS rpm)"
@@ -92,6 +93,11 @@ def dq_flags(spark, sf_dir):
     return _checked(spark, sf_dir).select("k", "warnings", "has_warning")
 
 
+def dq_messages(spark, sf_dir):
+    """The rules' full messages, with the values that broke them."""
+    return _checked(spark, sf_dir).select("k", "messages")
+
+
 def dq_rule_counts(spark, sf_dir):
     return quality.rule_counts(_checked(spark, sf_dir), spark)
 
@@ -139,8 +145,13 @@ def _flags(source: str) -> str:
         f"{at(48000)} AND NOT {at(12000)}", f"NOT {at(48000)} AND NOT {at(12000)}", f"abs(rpm_from_file - ({nominal})) > 20", "fault_diameter_mils IN (28, 40)",
         f"fault_diameter_mils NOT IN ({', '.join(map(str, DIAMETERS))})", "label = 'OR' AND or_position IS NULL", "label = 'OR' AND NOT contains(lower(or_position), 'centered')", "label IS NULL", "load_hp IS NULL",
     )
+    lasting = "n_samples_DE, n_samples_DE / 12000.0::DOUBLE, n_samples_DE / 48000.0::DOUBLE"
+    values = (lasting, lasting, f"rpm_from_file, load_hp, {nominal}", "fault_diameter_mils", "fault_diameter_mils", None, "or_position", None, None)
     codes = ", ".join(f"CASE WHEN {t} THEN '{c}' END" for c, t in zip(quality.CODES, tests, strict=True))
-    return f"q AS (SELECT *, CASE WHEN n_samples_DE IS NULL THEN [] ELSE list_filter([{codes}], lambda c: c IS NOT NULL) END AS codes FROM {source}), w AS (SELECT *, array_to_string(codes, '; ') AS warnings FROM q)"
+    said = (m.replace("'", "''") for m in quality.MESSAGES)
+    texts = ", ".join(f"CASE WHEN {t} THEN " + (f"printf('{c}: {m}', {v})" if v else f"'{c}: {m}'") + " END" for c, m, t, v in zip(quality.CODES, said, tests, values, strict=True))
+    kept = lambda x: f"CASE WHEN n_samples_DE IS NULL THEN [] ELSE list_filter([{x}], lambda c: c IS NOT NULL) END"
+    return f"q AS (SELECT *, {kept(codes)} AS codes, {kept(texts)} AS texts FROM {source}), w AS (SELECT *, array_to_string(codes, '; ') AS warnings, array_to_string(texts, '; ') AS messages FROM q)"
 
 
 # ---- summaries ---------------------------------------------------------------
@@ -209,10 +220,10 @@ def jaccard_pairs(spark, sf_dir):
 
 
 def set_sizes(spark, sf_dir):
-    """Users in both halves of the events, in either, and in the first only."""
-    rows = samples(spark, sf_dir)
-    a, b = rows.filter("event_id % 40 = 0").select("user_id"), rows.filter("event_id % 40 = 1").select("user_id")
-    named = [("both", a.intersect(b)), ("either", a.union(b).distinct()), ("first_only", a.exceptAll(b).distinct())]
+    """Users on both sides of the random split of all events, on either, and more often on the test side."""
+    rows = split_random(spark, sf_dir)
+    a, b = rows.filter("split = 'test'").select("user_id"), rows.filter("split = 'train'").select("user_id")
+    named = [("both", a.intersect(b)), ("either", a.union(b).distinct()), ("more_in_test", a.exceptAll(b).distinct())]
     out = [x.agg(F.lit(k).alias("kind"), F.count(F.lit(1)).alias("n")) for k, x in named]
     return out[0].union(out[1]).union(out[2])
 
@@ -285,7 +296,7 @@ def _labelled(spark, sf_dir) -> tuple[DataFrame, list[str]]:
     from .standins import segments
 
     rows = segments(spark, sf_dir).filter("label is not null").select("vec_id", (F.col("label") % 4).cast("int").alias("Label"), (F.col("vec_id") % 4).cast("int").alias("Load"), (F.col("vec_id") / 5).cast("int").alias("file"), "x")
-    return full_table(rows, "x", "Load", tolerance=100.0).na.fill(0.0), FEATURES
+    return staged(full_table(rows, "x", "Load", tolerance=100.0).na.fill(0.0), "labelled"), FEATURES
 
 
 def rf_importance(spark, sf_dir):
@@ -308,7 +319,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         fault_frequencies, order_table, fault_multipliers, harmonics, rpm_lookup_default, rpm_lookup_inner, parse_layout_hp, parse_layout_parts, parse_layout_eda,
-        class_label, file_id, dq_flags, dq_rule_counts, dq_rules_hit, dq_keyword_counts, dq_warned_rows, dq_edge_cases, pivot_label_load, class_counts, load_counts,
+        class_label, file_id, dq_flags, dq_messages, dq_rule_counts, dq_rules_hit, dq_keyword_counts, dq_warned_rows, dq_edge_cases, pivot_label_load, class_counts, load_counts,
         load_imbalance, warn_rate, distinct_files, boxplot_stats, representative_file, pick_file, topk, order_pivot, percent_table, jaccard_pairs, set_sizes,
         semi_files, anti_files, split_random, split_by_file, split_stratified_files, split_stratified_rows, lolo_folds, lolo_split, leakage_overlap,
         accuracy_macro_f1, standard_scale, rf_importance, rf_split_comparison, mlp_lolo,
@@ -350,6 +361,7 @@ ORACLES = {
     "class_label": f"WITH {MANIFEST}, {_TYPES} SELECT path_c, class_label FROM cl",
     "file_id": f"WITH {MANIFEST} SELECT k, concat_ws('_', coalesce(label, 'nan'), coalesce(load_hp::VARCHAR, 'nan'), coalesce(fault_diameter_mils::VARCHAR, 'nan'), coalesce(path_a, 'nan')) AS file_id FROM p",
     "dq_flags": f"{_FLAGS} SELECT k, warnings, warnings <> '' AS has_warning FROM w",
+    "dq_messages": f"{_FLAGS} SELECT k, messages FROM w",
     "dq_rule_counts": f"{_FLAGS}, {_COUNTS} SELECT * FROM n",
     "dq_rules_hit": f"{_FLAGS}, {_COUNTS} SELECT * FROM n WHERE n > 0",
     "dq_keyword_counts": f"{_FLAGS} SELECT " + ", ".join(f"coalesce(sum((length(warnings) - length(replace(warnings, '{c}', ''))) // length('{c}')), 0)::BIGINT AS \"{c}\"" for c in quality.CODES) + " FROM w",
@@ -370,7 +382,7 @@ ORACLES = {
     "order_pivot": "SELECT o_orderpriority, " + ", ".join(f"count(CASE WHEN o_orderstatus = '{s}' THEN o_orderkey END)::BIGINT AS status_{s}" for s in "FOP") + " FROM orders WHERE o_orderpriority IS NOT NULL AND o_orderstatus IS NOT NULL GROUP BY o_orderpriority",
     "percent_table": f"{_FLAGS} SELECT load_hp, round((count(*) FILTER (warnings <> ''))::DOUBLE / count(*) * 100, 2)::VARCHAR || '%' AS warned FROM w WHERE load_hp IS NOT NULL GROUP BY load_hp",
     "jaccard_pairs": f"WITH s AS (SELECT hour(ts)::INTEGER AS hour, list(DISTINCT event_type || ':' || (user_id % 20)) AS m FROM events WHERE value > 0 GROUP BY ALL) SELECT a.hour AS \"left\", b.hour AS \"right\", {r6('len(list_intersect(a.m, b.m))::DOUBLE / len(list_distinct(list_concat(a.m, b.m)))')} AS jaccard FROM s a JOIN s b ON a.hour < b.hour",
-    "set_sizes": "WITH a AS (SELECT user_id FROM events WHERE event_id % 40 = 0), b AS (SELECT user_id FROM events WHERE event_id % 40 = 1) SELECT 'both' AS kind, count(*)::BIGINT AS n FROM (SELECT * FROM a INTERSECT SELECT * FROM b) UNION ALL SELECT 'either', count(*)::BIGINT FROM (SELECT * FROM a UNION SELECT * FROM b) UNION ALL SELECT 'first_only', count(*)::BIGINT FROM (SELECT DISTINCT user_id FROM (SELECT * FROM a EXCEPT ALL SELECT * FROM b))",
+    "set_sizes": f"WITH s AS ({_SPLIT}), a AS (SELECT user_id FROM s WHERE split = 'test'), b AS (SELECT user_id FROM s WHERE split = 'train') SELECT 'both' AS kind, count(*)::BIGINT AS n FROM (SELECT * FROM a INTERSECT SELECT * FROM b) UNION ALL SELECT 'either', count(*)::BIGINT FROM (SELECT * FROM a UNION SELECT * FROM b) UNION ALL SELECT 'more_in_test', count(*)::BIGINT FROM (SELECT DISTINCT user_id FROM (SELECT * FROM a EXCEPT ALL SELECT * FROM b))",
     "semi_files": f"SELECT DISTINCT user_id FROM events WHERE user_id IN ({_USERS})",
     "anti_files": f"SELECT DISTINCT user_id FROM events e WHERE NOT EXISTS (SELECT 1 FROM ({_USERS}) o WHERE o.o_custkey = e.user_id)",
     "split_random": _SPLIT,

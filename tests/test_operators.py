@@ -82,3 +82,73 @@ def test_top_features_by_fold(spark, tmp_path):
 def test_rules_without_samples_are_skipped(spark):
     rows = spark.createDataFrame([(None, None, None, 28, None, None)], "n_samples_DE bigint, load_hp int, label string, fault_diameter_mils int, or_position string, rpm_from_file double")
     assert tuple(quality.flagged(rows).select("warnings", "has_warning").first()) == ("", False)
+
+
+def test_network_learns_stops_early_and_has_right_gradients():
+    import numpy as np
+
+    from oscilla.operators import networks
+
+    rng = np.random.default_rng(0)
+    x = rng.normal(size=(600, 2))
+    y = ((x[:, 0] * x[:, 1]) > 0).astype(int)  # not linear
+    made = networks.trained(x[:400], y[:400], x[400:500], y[400:500], 2)
+    assert (networks.probabilities(made, x[500:]).argmax(1) == y[500:]).mean() > 0.9
+    noise = rng.integers(0, 2, 500)
+    stopped = networks.trained(x[:300], noise[:300], x[300:500], noise[300:500], 2, rounds=100)
+    longer = networks.trained(x[:300], noise[:300], x[300:500], noise[300:500], 2, rounds=100, patience=1000)
+    assert networks.loss(stopped, x[300:500], noise[300:500]) < 0.8
+    assert networks.loss(longer, x[300:500], noise[300:500]) <= networks.loss(stopped, x[300:500], noise[300:500])
+    layers = networks.first_layers([2, 5, 3], rng)
+    labels, masks = rng.integers(0, 3, 7), [rng.integers(0, 2, (7, 5)) * 1.25]
+
+    def cost():
+        h = np.maximum(x[:7] @ layers[0][0] + layers[0][1], 0) * masks[0]
+        return -np.log(networks.probabilities(layers[1:], h)[np.arange(7), labels]).mean()
+
+    flat = [p for layer in layers for p in layer]
+    for p, g in zip(flat, networks.gradients(layers, x[:7], labels, masks), strict=True):
+        for at in np.ndindex(p.shape):
+            old, step = p[at], 1e-6
+            p[at] = old + step
+            up = cost()
+            p[at] = old - step
+            down = cost()
+            p[at] = old
+            assert abs((up - down) / (2 * step) - g[at]) < 1e-5
+
+
+def test_network_leaves_out_unusable_rows(spark):
+    from oscilla.operators import networks
+
+    rows = spark.createDataFrame([(k, float(k % 2), k % 2) for k in range(60)] + [(100, None, 0), (101, float("nan"), 1), (102, 1.0, None)], "id int, `a.b` double, y int")
+    layers = networks.fit(rows, ["a.b"], "y", F.col("id") > 49, "id", 2, rounds=60)
+    got = networks.predicted(rows.filter("id < 110"), layers, ["a.b"], "y")
+    assert got.count() == 61 and got.filter("y = prediction").count() == 60
+    with pytest.raises(ValueError):
+        networks.fit(rows, ["a.b"], "y", F.lit(False), "id", 2, limit=10)
+    assert networks.predicted(rows.filter("false"), networks.fit(rows.filter("false"), ["a.b"], "y", F.lit(False), "id", 2), ["a.b"], "y").count() == 0
+
+
+def test_scratch_tables_go(spark):
+    from pathlib import Path
+
+    from oscilla.staging import Staged, scratch, staged
+
+    with scratch(spark) as kept:
+        gone = Staged(spark.range(3), "gone")
+        here = Staged(gone.df, "here")
+        with scratch(spark) as inner:
+            inner.append(Staged(spark.range(4), "inner"))
+        kept.append(here)
+        path = Path(inner[0].path.removeprefix("file://"))
+        assert path.exists()
+    assert not path.exists() and not Path(gone.path.removeprefix("file://")).exists()
+    assert here.df.count() == 3 and staged(here.df, "again").count() == 3
+
+
+def test_messages_hold_the_values(spark):
+    rows = spark.createDataFrame([(480000, 0, "OR", 28, None, 1700.0)], "n_samples_DE bigint, load_hp int, label string, fault_diameter_mils int, or_position string, rpm_from_file double")
+    said = quality.flagged(rows).first().messages.split("; ")
+    assert [x.split(":")[0] for x in said] == quality.flagged(rows).first().codes
+    assert "n_samples=480000 -> 40.0s" in said[0] and "(1700)" in said[1] and "0HP (1797)" in said[1] and "28 mils" in said[2]

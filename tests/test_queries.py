@@ -77,3 +77,25 @@ def test_models_are_whole(spark, monkeypatch):
     QUERIES["rf_importance"](spark, SF)
     QUERIES["rf_split_comparison"](spark, SF)
     assert [(x["trees"], x["depth"]) for x in fits] == [(100, 20)] * 2
+
+
+def test_models_end_and_split_all_rows(spark, duck):
+    """The three model queries with their own settings; sizes as SQL counts them."""
+    import time
+
+    total, files = duck.sql("SELECT count(*), count(DISTINCT vec_id // 5) FROM embeddings WHERE label IS NOT NULL").fetchall()[0]
+    in_test = duck.sql(
+        "SELECT count(*) FROM embeddings JOIN (SELECT f, row_number() OVER (ORDER BY md5('42|' || f), f) AS r FROM (SELECT DISTINCT vec_id // 5 AS f FROM embeddings WHERE label IS NOT NULL)) ON f = vec_id // 5 "
+        f"WHERE label IS NOT NULL AND r <= greatest(floor({files} * 0.3), 1)"
+    ).fetchall()[0][0]
+    began = time.monotonic()
+    got = {r.name: r for r in QUERIES["rf_split_comparison"](spark, SF).collect()}
+    assert got["random"].n_test == total * 3 // 10 and got["random"].n_train == total - got["random"].n_test
+    assert got["file"].n_test == in_test and got["file"].n_train == total - in_test
+    by_load = dict(duck.sql("SELECT vec_id % 4, count(*) FROM embeddings WHERE label IS NOT NULL GROUP BY 1").fetchall())
+    runs = QUERIES["mlp_lolo"](spark, SF).collect()
+    assert [r.n_test for r in runs] == [by_load[k] for k in range(4)]
+    assert all(0 <= r.acc <= 1 and 0 <= r.f1 <= 1 for r in runs)
+    top = QUERIES["rf_importance"](spark, SF).collect()
+    assert len(top) == 10 and sum(r.importance for r in top) <= 1 + 1e-9
+    assert time.monotonic() - began < 200
