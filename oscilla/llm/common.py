@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import atexit
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -13,68 +10,35 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from ..staging import Staged, delete, scratch, shared_dir, staged
+
 #: Words as the contracts define them: runs of anything but space and \x09-\x0D.
 WORD_PATTERN = r"[^\x20\x09-\x0D]+"
 
+#: Largest Arrow batches.
+BATCH_ROWS = 2000
+BATCH_BYTES = 8 << 20
+
 #: Rows of a broadcast side; larger sides are joined by shuffle.
 BROADCAST_ROWS = 100_000
 
+__all__ = ["Staged", "arrow_map", "classes_of_names", "connected_components", "delete", "named_components", "scratch", "shared_dir", "small", "staged", "table", "text_column", "texts", "tune"]
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def tune(spark: SparkSession) -> None:
-    """Smaller Arrow batches, by rows and by bytes: texts may be long, and workers share an executor."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(8 << 20))
-
-
-_own_root: dict[str, str] = {}
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """This application's folder below spark.checkpoint.dir; local sessions without that setting get a temporary one."""
-    app = spark.sparkContext.applicationId
-    if app not in _own_root:
-        root = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-        if not root:
-            if not spark.sparkContext.master.startswith("local"):
-                raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-            root = f"file://{tempfile.mkdtemp(prefix='oscilla-')}"
-        _own_root[app] = f"{root.rstrip('/')}/{app}"
-        atexit.register(_drop, spark, _own_root[app])
-    return _own_root[app]
-
-
-def _drop(spark: SparkSession, path: str) -> None:
-    try:
-        delete(spark, path)
-    except Exception:  # the session may have ended before the interpreter does
-        return
+    """Arrow batches of no more than BATCH_ROWS and BATCH_BYTES: texts may be long, and workers share an executor.
 
-
-def delete(spark: SparkSession, path: str) -> None:
-    jvm = spark.sparkContext._jvm
-    where = jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
-
-
-class Staged:
-    """A table written to the shared folder: it cuts lineage and outlives executors."""
-
-    def __init__(self, df: DataFrame, name: str):
-        self.spark = df.sparkSession
-        self.path = f"{shared_dir(self.spark)}/{name}-{uuid.uuid4().hex[:12]}"
-        df.write.option("compression", "zstd").parquet(self.path)
-        self.df = self.spark.read.schema(df.schema).parquet(self.path)
-
-    def drop(self) -> None:
-        delete(self.spark, self.path)
-
-
-def staged(df: DataFrame, name: str) -> DataFrame:
-    return Staged(df, name).df
+    Tables are planned when they are read, which may be long after an operator has
+    returned, so the settings stay; smaller ones of the session's own are left alone.
+    """
+    for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS), ("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)):
+        now = spark.conf.get(key).removesuffix("b")
+        if not (now.isdigit() and 0 < int(now) <= most):
+            spark.conf.set(key, str(most))
 
 
 def small(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:

@@ -3,15 +3,11 @@
 The base patterns are matched leftmost and without overlaps, each kind by itself;
 matches that are too short are dropped afterwards, so what they cover stays used.
 
-The lexer then reads source and configuration syntax. At each ``=``, ``:=``,
-``=>`` or ``:`` it takes the name to the left (quoted or not, dotted or dashed)
-and the expression to the right: string literals and names joined by ``+`` or
-``..``, or, on a line of its own, one bare configuration value. Each name is
-bound to the literals that make up its value, so that literals reach a sensitive
-name through other names (``half = "..."``, ``token = half + rest``). A pair
-scores sensitivity of the target's name times plausibility of the value; from
-SCORE on, the literals' contents are secrets of kind ``lex``, unless a base
-span covers them.
+The lexer (``lexer``) reads names and the literals that make up their values, so that
+literals reach a sensitive name through other names (``half = "..."``,
+``token = half + rest``). A pair scores sensitivity of the target's name times
+plausibility of the value; from SCORE on, the literals' contents are secrets of kind
+``lex``, unless a base span covers them.
 
 Nulls: a null text is empty and has no spans. Repeated rows are scanned each.
 Extra columns are kept by ``redact`` and ignored by ``scan``.
@@ -20,9 +16,7 @@ Extra columns are kept by ``redact`` and ignored by ``scan``.
 from __future__ import annotations
 
 import hashlib
-import math
 import re
-from collections import Counter
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -30,6 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, StringType, StructField, StructType
 
 from .common import arrow_map, table, text_column, texts, tune
+from .lexer import ENOUGH_BITS, Value, assignments, literals
 
 KINDS = ("assign", "access", "hex", "lex")
 SCORE = 0.5
@@ -48,15 +43,10 @@ SENSITIVE = {
 }
 #: Words that say the value is about a secret rather than one.
 HARMLESS = {"count", "counts", "length", "size", "name", "type", "id", "file", "path", "url", "uri", "field", "column", "label", "expiry", "limit", "max", "min", "primary", "foreign", "sort", "public"}
-_PLACEHOLDER = re.compile(r"(?i)^(?:x+|\*+|\.+|<.*>|\$\{.*\}|\$\(.*\)|%.*%|\{\{.*\}\}|change.?me.*|your.*|example.*|dummy.*|placeholder.*|none|null|true|false|todo|test|redacted|\[redacted\])$")
+_PLACEHOLDER = re.compile(r"(?is)^(?:x+|\*+|\.+|<.*>|\$\{.*\}|\$\(.*\)|%.*%|\{\{.*\}\}|change.?me.*|your.*|example.*|dummy.*|placeholder.*|none|null|true|false|todo|test|redacted|\[redacted\])$")
 
-_SEPARATOR = re.compile(r":=|=>|[:=]")
-_NAME = re.compile(r"""(?:(?P<q>["'`])(?P<quoted>[A-Za-z_][\w.\- ]{0,63})(?P=q)|(?<![\w.\-])(?P<bare>[A-Za-z_][\w.\-]{0,63}))[\x20\t]*$""", re.A)
-_TERM = re.compile(r"""[\x20\t]*(?:[A-Za-z]{0,2}"(?P<d>(?:[^"\\\n]|\\.)*)"|[A-Za-z]{0,2}'(?P<s>(?:[^'\\\n]|\\.)*)'|`(?P<b>[^`\n]*)`|(?P<name>[A-Za-z_][\w.]{0,63})(?![\w"'(\[]))""", re.A)
-_JOIN = re.compile(r"[\x20\t]*(?:\+|\.\.|\\?\n[\x20\t]*\+)")
-_VALUE = re.compile(r"[\x20\t]*([^\s\"'`,;#]{6,}+)[\x20\t]*(?=$|[\r\n]|[\x20\t]#)", re.A)
+_DIGIT, _LETTER = re.compile("[0-9]"), re.compile("[A-Za-z]")
 _WORDS = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|[0-9]+")
-_LEAD = re.compile(r"^[\x20\t]*(?:export[\x20\t]+|set[\x20\t]+|-[\x20\t]+)?$")
 
 
 def base_spans(text: str) -> list[tuple[int, int, int]]:
@@ -81,106 +71,45 @@ def name_score(name: str) -> float:
     return 1 - rest
 
 
-def value_score(value: str) -> float:
+def value_score(value: Value) -> float:
     """Plausibility of a literal: its entropy against 18 bits; placeholders, short values and prose have none."""
-    if len(value) < 6 or _PLACEHOLDER.match(value) or value.count(" ") > 3:
+    if value.length < 6 or value.spaces > 3 or _PLACEHOLDER.match(value.ends()):
         return 0.0
-    n = len(value)
-    bits = -sum(c * math.log2(c / n) for c in Counter(value).values())
-    return min(1.0, bits / 18)
-
-
-class Parts:
-    """The literals a value is made of: spans of its own, and the parts of the names it takes up, which are shared and not copied."""
-
-    __slots__ = ("names", "spans")
-
-    def __init__(self):
-        self.spans: list[tuple[int, int]] = []
-        self.names: dict[int, Parts] = {}
-
-
-def literals(roots: list[Parts]) -> set[tuple[int, int]]:
-    """The spans of all literals of roots; each part is visited once."""
-    found, seen, open_ = set(), set(), list(roots)
-    while open_:
-        part = open_.pop()
-        if id(part) not in seen:
-            seen.add(id(part))
-            found.update(part.spans)
-            open_.extend(part.names.values())
-    return found
-
-
-def lexed_pairs(text: str) -> list[tuple[str, str, Parts, bool]]:
-    """(name, value, parts, bare) of every assignment, constants propagated."""
-    out = []
-    known: dict[str, tuple[str, Parts]] = {}
-    done = 0
-    for separator in _SEPARATOR.finditer(text):
-        at, right = separator.span()
-        if at < done or text[right : right + 1] in ("=", ":") or text[at - 1 : at] in ("=", "!", "<", ">", ":") or text.startswith("//", right):
-            continue
-        line = text.rfind("\n", max(0, at - 80), at)
-        left = line + 1 if line >= 0 else max(0, at - 80)
-        name = _NAME.search(text[left:at])
-        if not name:
-            continue
-        target = name["quoted"] or name["bare"]
-        value, parts, pos = "", Parts(), right
-        term = _TERM.match(text, pos)
-        while term:
-            which = term.lastgroup
-            if which == "name":
-                if term["name"] not in known:
-                    value, parts = "", Parts()
-                    break
-                more, other = known[term["name"]]
-                value += more
-                parts.names[id(other)] = other
-            else:
-                value += term[which]
-                parts.spans.append(term.span(which))
-            pos = term.end()
-            join = _JOIN.match(text, pos)
-            if not join:
-                break
-            term = _TERM.match(text, join.end())
-        bare = False
-        if not parts.spans and not parts.names:
-            # a configuration line of its own: nothing else before the name or after the value; the value, of any length, is read once a line
-            if line < 0 < left or not _LEAD.match(text[left : left + name.start()]):
-                continue
-            literal = _VALUE.match(text, right)
-            if not literal:
-                continue
-            value, pos, bare = literal[1], literal.end(), True
-            parts.spans.append(literal.span(1))
-        known[target] = (value[-4096:], parts)
-        known.setdefault(target.rpartition(".")[2], (value[-4096:], parts))
-        out.append((target, value, parts, bare))
-        done = pos
-    return out
+    return min(1.0, value.bits() / ENOUGH_BITS)
 
 
 def lexed_spans(text: str) -> list[tuple[int, int, int]]:
     if ":" not in text and "=" not in text:
         return []
     secret = []
-    for name, value, parts, bare in lexed_pairs(text):
-        if bare and not (re.search("[0-9]", value) and re.search("[A-Za-z]", value)):
-            continue
+    for name, value, parts, bare in assignments(text):
         sensitive = name_score(name)
-        if sensitive and sensitive * value_score(value) >= SCORE:
-            secret.append(parts)
+        if not sensitive or sensitive * value_score(value) < SCORE:
+            continue
+        if bare:
+            span = slice(*parts.spans[0])
+            if not (_DIGIT.search(text, span.start, span.stop) and _LETTER.search(text, span.start, span.stop)):
+                continue
+        secret.append(parts)
     return sorted((a, 3, b) for a, b in literals(secret) if b - a >= 4)
 
 
+def uncovered(spans: list[tuple[int, int, int]], base: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
+    """The spans that no single one of base covers; both in order."""
+    out, k, reach = [], 0, -1
+    for x in spans:
+        while k < len(base) and base[k][0] <= x[0]:
+            reach = max(reach, base[k][2])
+            k += 1
+        if reach < x[2]:
+            out.append(x)
+    return out
+
+
 def all_spans(text: str) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int]]]:
     """Base spans, and base and lexed spans together."""
     base = base_spans(text)
-    more = [x for x in lexed_spans(text) if not any(a <= x[0] and x[2] <= b for a, _, b in base)]
-    return base, sorted(base + more)
+    return base, sorted(base + uncovered(lexed_spans(text), base))
 
 
 def written(spans: list[tuple[int, int, int]]) -> str:

@@ -74,6 +74,117 @@ def test_long_lines_are_read_in_linear_time():
     assert time.monotonic() - began < 30
 
 
+@pytest.mark.parametrize("sized", [1, 65, 200, 3000])
+def test_names_indents_and_literals_of_any_length(sized):
+    name = "x" * sized + "_private_key"
+    value = "Zk8pQ2vX9q/+"
+    assert lex(f"{name} = '{value}'") == [value]
+    assert lex(f"a\n{' ' * sized}private_key: {value}\n") == [value]
+    assert lex(f"{name}{' ' * sized}=\t{' ' * sized}'{value * sized}'") == [value * sized]
+    assert lex("private_key = [" + ", ".join(f"'{value}{k}'" for k in range(sized)) + "]") == [f"{value}{k}" for k in range(sized)]
+    first, last = f"first = '{value}'\n", "private_key = first + filler\n"
+    assert lex(first + f"filler = '{'a' * 5000 * sized}'\n" + last)[0] == value
+
+
+@pytest.mark.parametrize(
+    "text",
+    [
+        "a=b " * 200_000, "a: " * 200_000, "'\"`" * 200_000, "x" * 500_000 + " = " * 10, "=\"\"\"" * 100_000, "a='\\" * 100_000, "a=[" * 100_000, "a=(" * 100_000 + ")" * 100_000,
+        " " * 300_000 + "a=b " * 50_000, "a:b[" * 100_000, "a: |\n" * 50_000, "x='a'\n" + "x=x+x\n" * 20_000, "x='a' 'b' " * 50_000, "a." * 200_000 + "=1", "a=#\n" * 50_000, "a=[#\n" * 50_000, "a.b=['c','d']\n" * 30_000,
+        '"a ' * 200_000, "a " * 200_000 + "=", "a=`" * 100_001, "k=[" + "'a'," * 100_000,
+    ],
+)
+def test_lexer_is_linear(text):
+    import time
+
+    began = time.monotonic()
+    secrets.all_spans(text)
+    assert time.monotonic() - began < 15
+
+
+def brute_base(text):
+    """The base spans by the contract's words, character by character."""
+    out = []
+    lower = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text)
+    value = set("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_.=-")
+
+    def run(at, allowed):
+        while at < len(text) and text[at] in allowed:
+            at += 1
+        return at
+
+    def assign(at):
+        for word in ("password", "passwd", "secret", "token", "api_key", "apikey"):
+            if lower.startswith(word, at):
+                k = at + len(word)
+                for quote in (1, 0):
+                    if quote and text[k : k + 1] not in ('"', "'"):
+                        continue
+                    i = run(k + quote, " ")
+                    if text[i : i + 1] in (":", "="):
+                        i = run(i + 1, " ")
+                        j = i + 1 if text[i : i + 1] in ('"', "'") and text[i : i + 1] else i
+                        end = run(j, value)
+                        if end > j:
+                            return j, end
+        return None
+
+    at = 0
+    while at < len(text):
+        found = assign(at)
+        if found:
+            if found[1] - found[0] >= 6:
+                out.append((at, 0, found[1]))
+            at = found[1]
+        else:
+            at += 1
+    upper = set("ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789")
+    at = 0
+    while at < len(text):
+        end = run(at + 4, upper) if text.startswith("AKIA", at) else at
+        if end > at + 4:
+            if end - at >= 20:
+                out.append((at, 1, end))
+            at = end
+        else:
+            at += 1
+    at = 0
+    while at < len(text):
+        end = run(at, set("0123456789abcdef"))
+        if end - at >= 24:
+            out.append((at, 2, end))
+        at = max(at + 1, end)
+    return sorted(out)
+
+
+def test_base_spans_of_random_texts_are_those_of_brute_force():
+    import random
+
+    rng = random.Random(7)
+    pieces = ["password", "PassWd", "secret", "TOKEN", "api_key", "apikey", "api", "AKIA", "A", "0123456789ab", "deadbeef", "=", ":", " ", "  ", '"', "'", "\t", "x", "Z9", "_", "é", "\n", "AKIAAKIA", "0" * 24]
+    hits = 0
+    for _ in range(6000):
+        text = "".join(rng.choices(pieces, k=rng.randint(0, 25)))
+        want = brute_base(text)
+        assert secrets.base_spans(text) == want, text
+        hits += bool(want)
+    assert hits > 1500
+
+
+def test_base_columns_agree_with_sql(spark):
+    """Counts of the base patterns over all documents, by DuckDB."""
+    import duckdb
+
+    sf = "/root/testdata/sf0.1"
+    kinds = (r"(?i:password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x20*[\"']?[A-Za-z0-9+/_.=-]+", "AKIA[A-Z0-9]+", "[0-9a-f]+")
+    lists = [f"regexp_extract_all(coalesce(text, ''), $r${k}$r$)" for k in kinds]
+    tail = r"regexp_extract(x, $r$[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)$$r$, 1)"
+    counted = [f"len(list_filter({lists[0]}, lambda x: len({tail}) >= 6))", f"len(list_filter({lists[1]}, lambda x: len(x) >= 20))", f"len(list_filter({lists[2]}, lambda x: len(x) >= 24))"]
+    want = {r[0]: r[1:] for r in duckdb.sql(f"SELECT doc_id, {', '.join(counted)} FROM '{sf}/documents.parquet'").fetchall()}
+    got = {r[0]: tuple(r)[1:4] for r in secrets.query(spark, sf).collect()}
+    assert got == want and sum(map(sum, want.values())) > 0
+
+
 def test_long_text():
     text = "word " * 200_000 + "token=abcdefgh" + " = " * 1000
     assert len(secrets.base_spans(text)) == 1 and secrets.all_spans(text)[1]
