@@ -85,6 +85,51 @@ def test_periodic_texts_have_few_anchors(docs):
 def test_every_window_has_one_anchor():
     rng = random.Random(6)
     raw = [text(rng, n).encode() for n in (0, 50, 199, 200, 201, 5000)] + [b"z" * 1000]
-    for r, (_, _, lo, hi, _) in zip(raw, repeats.anchors(raw), strict=True):
+    for r, (_, _, lo, hi, *_) in zip(raw, repeats.anchors(raw), strict=True):
         covered = [i for a, b in zip(lo, hi, strict=True) for i in range(a, b + 1)]
         assert covered == list(range(max(0, len(r) - 199)))
+
+
+def test_classes_of_suffixes_against_prefixes():
+    rng = random.Random(2)
+    strings = [bytes(rng.choice(b"ab\0") for _ in range(rng.randrange(9))) for _ in range(300)]
+    order = repeats.SuffixOrder(strings, 8)
+    assert [strings[k] for k in order.order] == sorted(strings)
+    for depth in range(1, 9):
+        classes = order.classes(depth)
+        for i in range(0, 300, 7):
+            for j in range(300):
+                if min(len(strings[i]), len(strings[j])) >= depth:
+                    assert (classes[i] == classes[j]) == (strings[i][:depth] == strings[j][:depth])
+
+
+def test_phrases_of_copied_texts_are_read_once(spark, docs, monkeypatch):
+    """One text many times, and one other that shares a passage: copies add no phrases."""
+    rng = random.Random(12)
+    passage = text(rng, 900)
+    hot, other = text(rng, 500) + passage + text(rng, 400), text(rng, 300) + passage
+    seen = []
+    real = repeats.phrase_bytes
+
+    def watched(*args):
+        found = real(*args)
+        seen.append((found.count(), found.select("core", "phrase").distinct().count()))
+        return found
+
+    monkeypatch.setattr(repeats, "phrase_bytes", watched)
+    for rows in ([(k, hot) for k in range(60)] + [(1000, other)], [(None, hot)] * 60 + [(1000, other)]):
+        got = repeats.without_repeats(docs(rows))
+        assert sorted((tuple(r) for r in got.collect()), key=repr) == want(rows)
+    assert seen[0][0] == seen[0][1] > 0
+    assert seen[1][0] <= seen[1][1] * spark.sparkContext.defaultParallelism
+
+
+def test_windows_of_hot_cores_are_runs_again(docs, monkeypatch):
+    monkeypatch.setattr(repeats, "HOT", 1)
+    made = []
+    real = repeats.hot_ends
+    monkeypatch.setattr(repeats, "hot_ends", lambda *a: made.append(real(*a).collect()) or real(*a))
+    rows = corpus(11)
+    assert sorted((tuple(r) for r in repeats.without_repeats(docs(rows)).collect()), key=repr) == want(rows)
+    spans = [tuple(r) for r in made[0]]
+    assert max(b - a for _, a, b in spans) > repeats.SIZE and len(spans) == len(set(spans))
