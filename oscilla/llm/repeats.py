@@ -54,7 +54,7 @@ HOT = 20_000
 #: Hashes of texts that may be broadcast to filter the texts before they are shuffled: one column of numbers.
 FILTER_ROWS = 2_000_000
 #: List entries of a broadcast side, about 50 bytes each.
-BROADCAST_ENTRIES = 500_000
+BROADCAST_ENTRIES = 50_000
 
 _LOW = np.uint64(0xFFFFFFFF)
 
