@@ -2,8 +2,8 @@
 
 Tokens are a text's words, A-Z lowered, and one end. All training texts are
 counted: partial counts in each task, summed by token. The CLASS_WORDS most
-frequent tokens are classes of their own, every other word (unknown ones too)
-belongs to one of SUFFIXES classes by a checksum of its last bytes; within its
+frequent tokens (of equal counts the first in byte order) are classes of their
+own, every other word (unknown ones too) belongs to one of SUFFIXES classes by a checksum of its last bytes; within its
 class a word has a share of its count plus 0.1, unknown words together 0.1. So
 the model's probability of a text is the hidden Markov model's probability of
 its classes, by the scaled forward recursion over the whole text, times the
@@ -14,10 +14,14 @@ and makes passes over all of them, until one raises the log likelihood by no
 more than SETTLED of it: every task adds up expected counts, these are summed by
 class, and the new parameters, whose size is fixed, go to the driver. For
 training, texts are cut into pieces of PIECE tokens, so that long ones don't hold
-up the recursion; scoring doesn't cut.
-
-Counts of the KNOWN_WORDS most frequent tokens go to all tasks (a fixed bound);
-the others are looked up by a join with the table of all counts, which both the
+up the recursion; a piece is read together with the MARGIN tokens on either side of
+it, which give it its context but are counted in their own piece, and only texts'
+first tokens count as starts. Scoring doesn't cut.
+
+Counts of the most frequent tokens go to all tasks: those from a least count on (to a
+64th of its power of two), which is found by an aggregate so that they are at most
+KNOWN_WORDS, and tokens of about equal counts are all in or all out. The others are
+looked up by a join with the table of all counts, which both the
 base score and the model's shares need, once for each token of a text.
 
 Nulls: a null text is empty and is its end token alone; a null doc_id hashes as
@@ -47,6 +51,7 @@ SUFFIXES = 128
 LONGEST_KNOWN = 64
 SETTLED = 5e-4
 PIECE = 1024
+MARGIN = 64
 FLUSH = 400_000
 GROUP_TOKENS = 3_000_000
 BLOCK_TOKENS = 400_000
@@ -92,7 +97,12 @@ class Vocabulary:
 
     def __init__(self, counts: DataFrame):
         self.total, self.distinct = (x or 0 for x in counts.agg(F.sum("c"), F.count(F.lit(1))).first())
-        top = counts.filter(F.octet_length("token") <= LONGEST_KNOWN).orderBy(F.desc("c"), "token").limit(KNOWN_WORDS).toArrow()
+        rows = counts.filter(F.octet_length("token") <= LONGEST_KNOWN).withColumn("step", F.floor(F.log2("c") * 64).cast("int"))
+        sizes = np.array(sorted(((r.step, r.n) for r in rows.groupBy("step").agg(F.count(F.lit(1)).alias("n")).collect()), reverse=True)).reshape(-1, 2)
+        fit = np.cumsum(sizes[:, 1]) <= KNOWN_WORDS
+        least = int(sizes[fit, 0].min()) if fit.any() else None
+        top = rows.filter(F.col("step") >= least if least is not None else F.lit(False)).select("token", "suffix", "c").toArrow()
+        top = top.sort_by([("c", "descending"), ("token", "ascending")])
         self.words = [x.encode() for x in top["token"].to_pylist()]
         self.counts = top["c"].to_numpy().astype(float)
         self.suffix = top["suffix"].to_numpy().astype(np.int64)
@@ -199,11 +209,18 @@ def forward(model: Model, laid: TimeMajor, keep: bool) -> tuple[np.ndarray | Non
     return alphas, scales, emitted
 
 
-def expected(model: Model, laid: TimeMajor, start: np.ndarray, moves: np.ndarray, emits: np.ndarray) -> float:
-    """Adds the expected counts of the sequences to start, moves and emits; returns their log likelihood."""
+def expected(model: Model, laid: TimeMajor, start: np.ndarray, moves: np.ndarray, emits: np.ndarray, own: np.ndarray | None = None) -> float:
+    """Adds the expected counts of the sequences to start, moves and emits; returns their log likelihood.
+
+    own marks the tokens that count (null: all); a move counts with the token it leads to.
+    """
     alphas, scales, emitted = forward(model, laid, True)
     emitted /= scales
     n0 = int(laid.active[0])
+    counts = None
+    if own is not None:
+        counts = np.empty(len(own), emitted.dtype)
+        counts[laid.place] = own
     gamma = alphas  # turned into posteriors in place, from the last step back
     pairs = np.zeros(model.moves.shape)
     b = emitted[:, :0]
@@ -211,30 +228,46 @@ def expected(model: Model, laid: TimeMajor, start: np.ndarray, moves: np.ndarray
         at, m = int(laid.at[t]), b.shape[1]
         now = emitted[:, at : at + int(laid.active[t])]
         if m:
-            own = model.moves @ b
-            pairs += alphas[:, at : at + m] @ b.T
-            gamma[:, at : at + m] *= own
-            now[:, :m] *= own
+            after = int(laid.at[t + 1])
+            back = model.moves @ b
+            pairs += alphas[:, at : at + m] @ (b if counts is None else b * counts[after : after + m]).T
+            gamma[:, at : at + m] *= back
+            now[:, :m] *= back
         b = now
+    if counts is not None:
+        gamma *= counts
     moves += pairs * model.moves
     start += gamma[:, :n0].sum(1, dtype=float)
     for k in range(emits.shape[1]):
         emits[:, k] += np.bincount(laid.codes, gamma[k], len(emits))
-    return float(np.log(scales).sum(dtype=float))
-
-
-def pieces(lengths: np.ndarray, size: int) -> np.ndarray:
-    """Lengths after cutting each into pieces of at most size."""
-    whole, rest = lengths // size, lengths % size
-    n = whole + (rest > 0)
-    out = np.full(n.sum(), size)
-    last = np.cumsum(n)[n > 0] - 1
-    out[last] = np.where(rest > 0, rest, size)[n > 0]
-    return out
-
-
-def laid_out(codes: np.ndarray, lengths: np.ndarray, limit: int = BLOCK_TOKENS) -> Iterator[tuple[np.ndarray, TimeMajor]]:
-    """The sequences in blocks of similar lengths: (their numbers, layout)."""
+    logs = np.log(scales)
+    return float((logs if counts is None else logs * counts).sum(dtype=float))
+
+
+def pieces(lengths: np.ndarray, size: int, margin: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Sequences of these lengths, one after the other, cut into pieces of at most size tokens with margin more on either side:
+    where each begins, its length, and from and to which of its tokens it is no margin."""
+    n = np.maximum(-(-lengths // size), 0)
+    which = np.repeat(np.arange(len(lengths)), n)
+    k = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+    own = k * size
+    end = np.minimum(own + size, lengths[which])
+    begin, stop = np.maximum(own - margin, 0), np.minimum(end + margin, lengths[which])
+    first = (np.cumsum(lengths) - lengths)[which]
+    return first + begin, stop - begin, own - begin, end - begin
+
+
+def in_pieces(codes: np.ndarray, lengths: np.ndarray, size: int, margin: int) -> tuple[np.ndarray, np.ndarray, np.ndarray | None]:
+    """codes and lengths of the pieces, and which of their tokens count (null: all, as nothing was cut)."""
+    if lengths.max(initial=0) <= size:
+        return codes, lengths, None
+    first, length, from_, to = pieces(lengths, size, margin)
+    step = np.arange(length.sum()) - np.repeat(np.cumsum(length) - length, length)
+    return codes[np.repeat(first, length) + step], length, (step >= np.repeat(from_, length)) & (step < np.repeat(to, length))
+
+
+def laid_out(codes: np.ndarray, lengths: np.ndarray, limit: int = BLOCK_TOKENS, own: np.ndarray | None = None) -> Iterator[tuple[np.ndarray, TimeMajor, np.ndarray | None]]:
+    """The sequences in blocks of similar lengths: (their numbers, layout, own of the block's tokens)."""
     order = np.argsort(lengths, kind="stable")
     first = np.cumsum(lengths) - lengths
     total, begin = np.cumsum(lengths[order]), 0
@@ -244,7 +277,7 @@ def laid_out(codes: np.ndarray, lengths: np.ndarray, limit: int = BLOCK_TOKENS)
         chosen = order[begin:end]
         size = lengths[chosen]
         index = np.repeat(first[chosen], size) + np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
-        yield chosen, TimeMajor(codes[index], size)
+        yield chosen, TimeMajor(codes[index], size), None if own is None or own[index].all() else own[index]
         begin = end
 
 
@@ -280,8 +313,9 @@ def baum_welch(encoded: DataFrame, model: Model, prior: np.ndarray) -> tuple[Mod
         start, moves, emits = np.zeros(states), np.zeros((states, states)), np.zeros((rows, states))
         reached = np.zeros(states)  # the log likelihood, in the first place
         for _, codes, lengths in in_groups(batches):
-            for _, laid in laid_out(codes, pieces(lengths, PIECE)):
-                reached[0] += expected(own, laid, start, moves, emits)
+            codes, lengths, counted_ = in_pieces(codes, lengths, PIECE, MARGIN)
+            for _, laid, part in laid_out(codes, lengths, own=counted_):
+                reached[0] += expected(own, laid, start, moves, emits, part)
         table_ = np.vstack([emits, moves, start, reached])
         used = np.flatnonzero(table_.any(1))
         for k in range(0, len(used), 10_000):
@@ -314,7 +348,7 @@ def likelihoods(encoded: DataFrame, model: Model) -> DataFrame:
         own = Model(*sent.value)
         for rows, codes, lengths in in_groups(batches):
             path = np.zeros(len(lengths))
-            for chosen, laid in laid_out(codes, lengths):
+            for chosen, laid, _ in laid_out(codes, lengths):
                 _, scales, _ = forward(own, laid, False)
                 path[chosen] = np.add.reduceat(np.log10(scales)[laid.place], laid.first)
             yield from rows.select(kept).append_column("path", pa.array(path)).to_batches(max_chunksize=10_000)

@@ -100,10 +100,10 @@ def test_training_raises_the_likelihood():
 
 
 def test_pieces_and_blocks():
-    assert hmm.pieces(np.array([5, 0, 8, 4]), 4).tolist() == [4, 1, 4, 4, 4]
+    assert [x.tolist() for x in hmm.pieces(np.array([5, 0, 8, 4]), 4, 1)] == [[0, 3, 5, 8, 13], [5, 2, 5, 5, 4], [0, 1, 0, 1, 0], [4, 2, 4, 5, 4]]
     codes, lengths = np.arange(21), np.array([5, 0, 8, 8])
     seen = {}
-    for chosen, laid in hmm.laid_out(codes, lengths, 8):
+    for chosen, laid, _ in hmm.laid_out(codes, lengths, 8):
         back = laid.codes[laid.place]
         for k, a in zip(chosen, laid.first, strict=True):
             seen[int(k)] = back[a : a + lengths[k]].tolist()
@@ -137,3 +137,74 @@ def test_training_sees_whole_texts_until_the_likelihood_settles(spark):
     assert now > 40 * 400 * math.log(1 / 22)
     sums = np.zeros(8), np.zeros((8, 8)), np.zeros((41, 8))
     assert now == pytest.approx(hmm.expected(m, hmm.TimeMajor(np.concatenate(seqs), np.full(40, 800)), *sums), rel=1e-5)
+
+
+def test_cut_texts_give_the_counts_of_whole_ones():
+    rng = np.random.default_rng(8)
+    m = model(3, 6)
+    lengths = np.array([700, 20, 0, 1300])
+    codes = rng.integers(0, 6, lengths.sum())
+
+    def counts(codes, lengths, own):
+        sums = np.zeros(3), np.zeros((3, 3)), np.zeros((6, 3))
+        reached = sum(hmm.expected(m, laid, *sums, part) for _, laid, part in hmm.laid_out(codes, lengths, 300, own))
+        return *sums, reached
+
+    whole = counts(codes, lengths, None)
+    cut = counts(*hmm.in_pieces(codes, lengths, 100, 40))
+    assert cut[0].sum() == pytest.approx(3) and cut[1].sum() == pytest.approx(lengths.sum() - 3) and cut[2].sum() == pytest.approx(lengths.sum())
+    assert all(np.allclose(a, b, rtol=1e-6, atol=1e-6) for a, b in zip(whole[:3], cut[:3], strict=True))
+    assert cut[3] == pytest.approx(whole[3], rel=1e-6)
+
+
+def test_score_is_that_of_a_plain_model(docs, monkeypatch):
+    """The whole score, classes, shares, rare and unknown words included, by dictionaries and plain loops."""
+    monkeypatch.setattr(hmm, "KNOWN_WORDS", 60)
+    monkeypatch.setattr(hmm, "CLASS_WORDS", 25)
+    made = []
+    real = hmm.trained
+    monkeypatch.setattr(hmm, "trained", lambda *a: made.append(real(*a)) or made[-1])
+    rows = corpus(120)
+    got = {r.doc_id: r for r in hmm.scored(docs(rows)).collect()}
+    m = made[0]
+    counts = Counter(t for k, x in rows if not held_out(k) for t in tokens(x))
+    steps = Counter(math.floor(math.log2(c) * 64) for c in counts.values())
+    known, size = set(), 0
+    for step in sorted(steps, reverse=True):
+        size += steps[step]
+        if size > 60:
+            break
+        known |= {t for t, c in counts.items() if math.floor(math.log2(c) * 64) == step}
+    own = sorted(known, key=lambda t: (-counts[t], t))[:25]
+    n = len(own)
+    suffix = lambda t: zlib.crc32(t[-3:]) % hmm.SUFFIXES
+    mass = [0.1] * hmm.SUFFIXES
+    for t, c in counts.items():
+        if t not in own:
+            mass[suffix(t)] += c + 0.1
+    assert m.emits.shape[0] == n + hmm.SUFFIXES and 0 < len(known) <= 60 < len(counts)
+    states = range(len(m.start))
+    for k, x in rows:
+        if k == 10:  # three texts
+            continue
+        w = tokens(x)
+        code = [own.index(t) if t in own else n + suffix(t) for t in w]
+        share = sum(math.log10((counts[t] + 0.1) / mass[suffix(t)]) for t in w if t not in own)
+        a = [m.start[i] * m.emits[code[0], i] for i in states]
+        for c in code[1:]:
+            a = [sum(a[i] * m.moves[i, j] for i in states) * m.emits[c, j] for j in states]
+        assert got[k].score == pytest.approx(math.log10(sum(a)) + share, rel=1e-6), k
+
+
+def test_the_model_is_better_than_its_base_on_documents(spark):
+    held = hmm.query(spark, "/root/testdata/sf0.01").filter("held_out").selectExpr("sum(score) AS s", "sum(base_score) AS b", "sum(n_tokens) AS n").first()
+    assert held.s > held.b
+
+
+def test_ties_in_the_vocabulary_cut_are_in_or_out_together(docs, monkeypatch):
+    monkeypatch.setattr(hmm, "KNOWN_WORDS", 5)
+    texts = docs([(k, "a b c d e f g h i j") for k in range(12)])
+    counts = hmm.counted(texts)
+    v = hmm.Vocabulary(counts)
+    assert v.words == [] and v.distinct == 11 and v.total == 12 * 11
+    assert [r.score for r in hmm.scored(texts).collect()] == pytest.approx([hmm.scored(texts).first().score] * 12)
