@@ -9,16 +9,21 @@ at most r beyond the plane half way between pi and pj; v is replicated to the
 cells for which both hold. So a cell holds every partner of the vectors at home
 in it, and cells are joined independently.
 
-Equal vectors are one class, counted and compared once. A cell is joined in
-blocks of BLOCK rows, home rows against all rows of the cell, one task's group a
-pair of blocks, so that neither a hot label nor a dense cluster has to fit in a
-task. A block pair doesn't give out its links: it counts them for each home
-class, and reduces them to a spanning forest (an edge a class at most), which is
-all that components need. In high dimensions without clusters the replication
-comes close to the number of pivots, as it must for any exact metric method.
-
-Pivots are at most MAX_PIVOTS, drawn by a hash of the id from the labels with
-more than CELL_ROWS classes, so what goes to every task is bounded.
+Equal vectors are one class, counted and compared once. A label is one cell at first,
+and is divided by at least two and up to PIVOTS pivots if it has more than FIRST_ROWS
+rows. Parts of more than CELL_ROWS rows are divided by pivots of their own, and so on, so the number of pivots grows with the rows while a task only
+holds those of one cell: a cell's rows are dealt to tasks by a hash, the pivots with
+each, so that what a task makes is bounded. Pivots come from a sample of the cell's rows
+(chosen by a hash of the id), far from each other. How many of them are used is reckoned
+on the sample: the pairs that the parts save are weighed against the copies of rows that
+they cost. In high dimensions without clusters little is gained, and labels have few
+pivots and parts none.
+
+A cell is joined in blocks of BLOCK rows, home rows against all rows of the cell, one
+task's group a pair of blocks, so that neither a hot label nor a dense cluster has to
+fit in a task. A block pair doesn't give out its links: it counts them for each home
+class, and reduces them to a spanning forest (an edge a class at most), which is all
+that components need.
 
 Nulls: rows whose label, vec_id or embedding is null, and vectors that are
 empty, zero or hold null or non-finite components link with nothing; their
@@ -28,23 +33,29 @@ by their id. Extra columns are ignored.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import arrow_map, classes_of_names, connected_components, named_components, small, staged, table, tune
+from .common import Staged, classes_of_names, connected_components, named_components, small, staged, table, tune
 
 LEAST = 0.98
-CELL_ROWS = 4096
-MAX_PIVOTS = 1024
+FIRST_ROWS = 32
+CELL_ROWS = 2048
+PIVOTS = 64
+SAMPLE = 1024
+#: What weighs a division: seconds of a core for a pair and for a pair's component, bytes a core shuffles and writes in a second.
+PAIR, PRODUCT = 1e-8, 1e-10
+SHUFFLED = 5e7
+#: Bytes that a task's group may make.
+GROUP_BYTES = 64_000_000
+LEVELS = 8
 BLOCK = 4096
 TILE = 1024
 SLACK = 1e-9
 
-_ROW = "kind string, cell int, home boolean, id bigint, n bigint, embedding array<double>"
+_ROW = "kind string, cell bigint, home boolean, id bigint, n bigint, embedding array<double>"
 
 
 def matrix(column: pa.Array) -> np.ndarray:
@@ -74,25 +85,25 @@ def prepared(vectors: DataFrame) -> DataFrame:
     return rows.select("vec_id", F.when(F.col("ok"), kind).alias("kind"), F.xxhash64(plain).alias("h1"), F.xxhash64(F.lit(7), plain).alias("h2"), "ok", "embedding")
 
 
-def drawn_pivots(classes: DataFrame, cell_rows: int, max_pivots: int, least: float) -> dict[str, np.ndarray]:
-    """Unit pivots by kind; kinds with few classes have none and are one cell."""
-    large = staged(classes.groupBy("kind").agg(F.count(F.lit(1)).alias("rows")).filter(F.col("rows") > cell_rows), "metric-kinds")
-    total = large.agg(F.sum("rows")).first()[0]
-    if not total:
-        return {}
-    share = min(1 / cell_rows, max_pivots / 2 / total)
-    chance = F.pmod(F.xxhash64("id", F.lit("pivot")), F.lit(1 << 40)) / float(1 << 40)
-    rows = classes.join(small(large.select("kind")), "kind", "left_semi").filter(chance < share)
-    out: dict[str, np.ndarray] = {}
-    apart = 2 * np.sqrt(2 - 2 * least)
-    for row in rows.select("kind", "id", "embedding").orderBy("kind", "id").limit(max_pivots).collect():
-        p = units(np.array([row.embedding]))
-        known = out.get(row.kind)
-        if known is None:
-            out[row.kind] = p
-        elif np.sqrt(np.maximum(2 - 2 * known @ p[0], 0)).min() > apart:  # pivots that are too close don't divide
-            out[row.kind] = np.vstack([known, p])
-    return out
+def chosen_pivots(u: np.ndarray, most: int, radius: float) -> np.ndarray:
+    """Rows of u far from each other: the first, then each time the one furthest from those chosen, while it is beyond 2 radius."""
+    chosen, nearest = [0], np.full(len(u), np.inf)
+    while len(chosen) < most:
+        nearest = np.minimum(nearest, np.sqrt(np.maximum(2 - 2 * u @ u[chosen[-1]], 0)))
+        far = int(nearest.argmax())
+        if nearest[far] <= 2 * radius:
+            break
+        chosen.append(far)
+    return u[chosen]
+
+
+def gain(u: np.ndarray, home: np.ndarray, pivots: np.ndarray, radius: float, rows: int, shuffled: float = SHUFFLED) -> tuple[float, float]:
+    """Seconds that these pivots save in a cell of rows rows, by its sample u, and the copies they make of a row."""
+    own, present = cells_of(u, pivots, radius)
+    pairs = (np.bincount(own[home], minlength=len(pivots)) * present.sum(0)).sum() / len(u) ** 2
+    copies = present.sum() / len(u)
+    before = home.mean()
+    return float((before - pairs) * rows**2 * (PAIR + PRODUCT * u.shape[1]) - rows * copies * u.shape[1] * 8 / shuffled), float(copies)
 
 
 def cells_of(u: np.ndarray, pivots: np.ndarray, radius: float) -> tuple[np.ndarray, np.ndarray]:
@@ -110,30 +121,70 @@ def cells_of(u: np.ndarray, pivots: np.ndarray, radius: float) -> tuple[np.ndarr
     return home, near
 
 
-def assigned(classes: DataFrame, pivots: dict[str, np.ndarray], radius: float) -> DataFrame:
+def divided(placed: Staged, radius: float, cell_rows: int, pivots: int, always: bool) -> tuple[Staged, int]:
+    """One level: the rows with those cells divided that are too large and (unless always) worth it, and the number of their pivots."""
+    rows = placed.df
+    spark = rows.sparkSession
+    sizes = rows.filter("open").groupBy("kind", "cell").agg(F.count(F.lit(1)).alias("rows")).filter(F.col("rows") > cell_rows)
+    sizes = Staged(sizes, "metric-large")
+    if sizes.df.isEmpty():
+        return placed, 0
+    shuffled = SHUFFLED
+    chance = F.pmod(F.xxhash64("id", F.lit("pivot")), F.lit(1 << 40)) / float(1 << 40)
+    sample = rows.filter("open").join(small(sizes.df), ["kind", "cell"]).filter(chance < F.lit(float(SAMPLE)) / F.col("rows"))
+
+    def choose(part: pa.Table) -> pa.Table:
+        part = part.sort_by("id")
+        u, home = units(matrix(part["embedding"].combine_chunks())), part["home"].to_numpy().astype(bool)
+        rows = part["rows"][0].as_py()
+        far = chosen_pivots(u, pivots, radius)
+        tried = [(*gain(u, home, far[:k], radius, rows, shuffled), k) for k in (2, 4, 8, 16, 32, 64, 128, 256) if k <= min(len(far), pivots)]
+        saved, copies, n = max(tried, default=(0.0, 0.0, 0))
+        if saved <= 0 and not always:
+            n = 0
+        found = far[:n]
+        return pa.table({"kind": pa.array([part["kind"][0].as_py()] * n, pa.string()), "cell": pa.array([part["cell"][0].as_py()] * n, pa.int64()), "pivot": pa.array(found.tolist(), pa.list_(pa.float64())), "bytes": pa.array([copies * u.shape[1] * 8] * n, pa.float64())})
+
+    drawn = sample.groupBy("kind", "cell").applyInArrow(choose, "kind string, cell bigint, pivot array<double>, bytes double")
+    drawn = Staged(drawn, "metric-pivots")
+    count = drawn.df.count()
+    split = sizes.df.join(drawn.df.groupBy("kind", "cell").agg(F.max("bytes").alias("bytes")), ["kind", "cell"])
+    split = staged(split.select("kind", "cell", F.ceil(F.col("rows") * F.col("bytes") / GROUP_BYTES).cast("int").alias("salts")), "metric-split")
+    if not count:
+        return placed, 0
+    dealt = rows.filter("open").join(small(split), ["kind", "cell"]).withColumn("salt", F.pmod(F.xxhash64("id"), F.col("salts")).cast("int")).drop("open", "salts")
+    spread = drawn.df.join(small(split), ["kind", "cell"]).withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1))).drop("salts", "bytes")
+
+    def assign(left: pa.Table, right: pa.Table) -> pa.Table:
+        if not left.num_rows:
+            return left.drop_columns(["salt"]).append_column("open", pa.array([], pa.bool_()))
+        p = matrix(right["pivot"].combine_chunks())
+        p = p[np.lexsort(p.T)]  # the same order in every task
+        own, present = cells_of(units(matrix(left["embedding"].combine_chunks())), p, radius)
+        was_home = left["home"].to_numpy().astype(bool)
+        which, part = np.nonzero(present)
+        out = left.take(pa.array(which))
+        cell = left["cell"].to_numpy()[which] * (pivots + 1) + part + 1
+        return pa.table({"kind": out["kind"], "cell": pa.array(cell), "home": pa.array((own[which] == part) & was_home[which]), "id": out["id"], "n": out["n"], "embedding": out["embedding"], "open": pa.array(np.ones(len(which), bool))})
+
+    parts = dealt.groupBy("kind", "cell", "salt").cogroup(spread.groupBy("kind", "cell", "salt")).applyInArrow(assign, f"{_ROW}, open boolean")
+    done = F.broadcast(split) if split.count() <= 100_000 else split
+    rest = rows.join(done.select("kind", "cell", F.lit(True).alias("split")), ["kind", "cell"], "left").filter("split is null").drop("split")
+    closed = rest.withColumn("open", F.lit(False))  # small enough, or not worth dividing
+    out = Staged(closed.select(*parts.columns).unionByName(parts), "metric-placed")
+    placed.drop()
+    return out, count
+
+
+def assigned(classes: DataFrame, radius: float, cell_rows: int, pivots: int) -> DataFrame:
     """Every class in its home cell and replicated to those it may have partners in."""
-    sent = classes.sparkSession.sparkContext.broadcast(pivots)
-
-    def make():
-        by_kind = sent.value
-
-        def each(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-            kinds = np.array(batch.column("kind").to_pylist(), object)
-            for kind in dict.fromkeys(kinds):
-                rows = batch.take(pa.array(np.flatnonzero(kinds == kind)))
-                if kind in by_kind:
-                    home, present = cells_of(units(matrix(rows.column("embedding"))), by_kind[kind], radius)
-                    which, cell = np.nonzero(present)
-                else:
-                    which = np.arange(rows.num_rows)
-                    home = cell = np.zeros(rows.num_rows, np.int64)
-                out = rows.take(pa.array(which))
-                made = [out.column("kind"), pa.array(cell.astype(np.int32)), pa.array(home[which] == cell), out.column("id"), out.column("n"), out.column("embedding")]
-                yield pa.RecordBatch.from_arrays(made, names=["kind", "cell", "home", "id", "n", "embedding"])
-
-        return each
-
-    return arrow_map(classes.select("kind", "id", "n", "embedding"), make, _ROW)
+    rows = classes.select("kind", F.lit(0).cast("long").alias("cell"), F.lit(True).alias("home"), "id", "n", "embedding", F.lit(True).alias("open"))
+    placed = Staged(rows, "metric-placed")
+    for level in range(LEVELS):
+        placed, count = divided(placed, radius, cell_rows if level else min(FIRST_ROWS, cell_rows), pivots, level == 0)
+        if not count:
+            break
+    return placed.df.drop("open")
 
 
 def linked(a: np.ndarray, b: np.ndarray, ua: np.ndarray, ub: np.ndarray, least: float) -> np.ndarray:
@@ -185,7 +236,7 @@ def block_pairs(rows: DataFrame, block: int) -> DataFrame:
     return dealt.select("kind", "cell", "id", "n", "embedding", F.explode(spots).alias("spot")).select("kind", "cell", "spot.*", "id", "n", "embedding")
 
 
-def near_vectors(vectors: DataFrame, least: float = LEAST, cell_rows: int = CELL_ROWS, max_pivots: int = MAX_PIVOTS, block: int = BLOCK) -> DataFrame:
+def near_vectors(vectors: DataFrame, least: float = LEAST, cell_rows: int = CELL_ROWS, pivots: int = PIVOTS, block: int = BLOCK) -> DataFrame:
     """vec_id, n_links, component_id of every row of vectors (vec_id, embedding, label)."""
     tune(vectors.sparkSession)
     rows = prepared(vectors)
@@ -193,7 +244,7 @@ def near_vectors(vectors: DataFrame, least: float = LEAST, cell_rows: int = CELL
     classes = same.agg(F.min("vec_id").alias("name"), F.count(F.lit(1)).alias("n"), F.min_by("embedding", "vec_id").alias("embedding"))
     classes = staged(classes.withColumn("id", F.monotonically_increasing_id()), "metric-classes")  # fixed by being written
     radius = float(np.sqrt(2 - 2 * least))
-    placed = staged(assigned(classes, drawn_pivots(classes, cell_rows, max_pivots, least), radius), "metric-placed")
+    placed = assigned(classes, radius, cell_rows, pivots)
 
     def each(part: pa.Table) -> pa.Table:
         ids, n, x = part["id"].to_numpy(), part["n"].to_numpy(), matrix(part["embedding"].combine_chunks())

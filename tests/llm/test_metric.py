@@ -30,8 +30,13 @@ def clusters(seed, n=500, dim=16):
     return x * rng.uniform(0.1, 10, n)[:, None], rng.integers(0, 2, n)
 
 
-@pytest.mark.parametrize("settings", [{}, {"cell_rows": 30, "block": 16}, {"cell_rows": 100, "block": 4096}])
-def test_against_brute_force(spark, settings):
+@pytest.mark.parametrize("settings", [{}, {"cell_rows": 30, "block": 16}, {"cell_rows": 100, "block": 4096}, {"cell_rows": 10, "pivots": 4}])
+def test_against_brute_force(spark, monkeypatch, settings):
+    monkeypatch.setattr(metric, "SHUFFLED", 1e12)  # any saving is worth it
+    monkeypatch.setattr(metric, "GROUP_BYTES", 20_000)  # several tasks a cell
+    levels = []
+    real = metric.divided
+    monkeypatch.setattr(metric, "divided", lambda *a: levels.append(real(*a)) or levels[-1])
     x, labels = clusters(1)
     x = np.vstack([x, x[:50]])  # equal vectors
     labels = np.concatenate([labels, labels[:50]])
@@ -39,6 +44,8 @@ def test_against_brute_force(spark, settings):
     full = want(x, labels)
     assert sum(v[0] for v in full.values()) > 1000
     assert rows_of(got) == {k: v[:2] for k, v in full.items()}
+    assert levels[0][1] >= 4  # both labels, at any settings
+    assert "pivots" not in settings or len(levels) > 2  # parts are divided again
 
 
 def test_pivots_replicate_less_than_all():
@@ -60,3 +67,28 @@ def test_unusable_vectors_link_with_nothing(spark):
     assert {(1, 2, 1, True), (2, 2, 1, False), (13, 2, 1, False), (2, 1, 1, False), (14, 1, 1, False), (12, 0, 12, True), (11, 0, 11, True), (None, 0, None, True)} <= by
     assert all((k, 0, k, True) in by for k in (3, 4, 5, 6, 7, 8, 9, 10))
     assert metric.op6(frame(spark, rows).filter("false")).count() == 0
+
+
+def test_query_divides_cells_at_its_own_settings(spark, monkeypatch):
+    """Labels as text; one larger than a cell, with clusters: the query's own path, pivots and all."""
+    rng = np.random.default_rng(6)
+    centres = rng.standard_normal((30, 64))
+    x = centres[rng.integers(0, 30, 5200)] + rng.standard_normal((5200, 64)) * rng.choice([0.02, 0.1], 5200)[:, None]
+    labels = np.where(np.arange(5200) % 13 == 0, 1, 0)
+    made = []
+    real = metric.divided
+    monkeypatch.setattr(metric, "divided", lambda *a: made.append(real(*a)) or made[-1])
+    names = ["2:64:a", "64:a"]
+    rows = spark.createDataFrame([(k, v.tolist(), names[c]) for k, (v, c) in enumerate(zip(x, labels, strict=True))], "vec_id bigint, embedding array<double>, label string")
+    assert rows_of(metric.op6(rows)) == want(x, labels)
+    assert made[0][1] >= 4
+    placed = made[-1][0].df
+    assert placed.groupBy("kind").agg({"id": "count"}).count() == 2 and placed.select("cell").distinct().count() >= 4
+    assert placed.count() < 8 * 5200
+
+
+def test_unlike_vectors_are_not_divided(spark):
+    rng = np.random.default_rng(7)
+    x = rng.standard_normal((2600, 64))
+    u = metric.units(x)
+    assert metric.gain(u[:1000], np.ones(1000, bool), metric.chosen_pivots(u[:1000], 16, 0.2), 0.2, 2600)[0] < 0
