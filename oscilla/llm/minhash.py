@@ -15,9 +15,13 @@ are not paired all with all: each is first paired with the hub of its key (a
 star), the member that shares most keys with most others, the pairs are confirmed
 on the full sets, and components are formed.
 Only where a key still spans several components are its members paired across
-these, unless sketches of their sets' parities rule the pair out for certain, and
-confirmed. Pairs within a component can't change it, so no link between
-components is lost.
+these: those outside its largest component with all. A key with more than SPLIT members
+outside is divided first: of a pair with at most ERRORS errors, some chunk other than
+the key's own has at most ERRORS // (CHUNKS - 1) = 2, so the pair agrees in one of the
+variants of another chunk that leave out two components, which together with the key is
+a key again. Sketches of the sets' parities then rule out for certain most pairs that
+are not similar, and the others are confirmed. Pairs within a component can't change
+it, so no link between components is lost.
 Sets are only made for classes that are in a pair.
 
 Nulls: a null text has no words; it links with nothing, like any text without
@@ -37,7 +41,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import arrow_map, classes_of_names, connected_components, named_components, small, staged, table, texts, tune
+from .common import BROADCAST_ROWS, Staged, arrow_map, classes_of_names, connected_components, named_components, scratch, small, staged, table, texts, tune
 from .hashing import mixed, prefixes, substrings
 
 COMPONENTS = 36
@@ -46,6 +50,10 @@ CHUNKS = 9
 ERRORS = 17
 SKETCH = 16
 BLOCK_BYTES = 150_000
+#: Members outside its largest component from which a key is divided.
+SPLIT = 64
+#: Ids that may be broadcast to filter texts before they are shuffled.
+FILTER_ROWS = 2_000_000
 
 _RNG = np.random.default_rng(4)
 _FACTORS = _RNG.integers(0, 2**63, COMPONENTS, dtype=np.uint64)[:, None] * np.uint64(2) + np.uint64(1)
@@ -131,32 +139,64 @@ def described(docs: DataFrame, width: int) -> DataFrame:
     return arrow_map(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), make, "doc_id bigint, n_shingles bigint, high bigint, low bigint, signature binary")
 
 
+def variants(parts: np.ndarray, chunk: int, left_out: tuple[int, ...]) -> np.ndarray:
+    """The key of a chunk of signatures (rows, CHUNKS, components a chunk) without some of its components."""
+    each = parts.shape[2]
+    total = np.full(len(parts), chunk * 1000 + sum((x + 1) * (each + 1) ** k for k, x in enumerate(left_out)), np.uint64)
+    for k in range(each):
+        if k not in left_out:
+            total = mixed(total * _PLACES[k] + parts[:, chunk, k])
+    return total
+
+
+def chunks_of(signatures: pa.Array) -> np.ndarray:
+    return np.frombuffer(b"".join(signatures.to_pylist()), np.uint16).reshape(-1, CHUNKS, COMPONENTS // CHUNKS).astype(np.uint64)
+
+
 def keyed(classes: DataFrame) -> DataFrame:
     """(key, id): the variants of all chunks of every class's signature."""
-    each_chunk = COMPONENTS // CHUNKS
 
     def make():
         def each(batch: pa.RecordBatch) -> pa.RecordBatch:
-            ids = batch.column("id").to_numpy(zero_copy_only=False)
-            parts = np.frombuffer(b"".join(batch.column("signature").to_pylist()), np.uint16).reshape(-1, CHUNKS, each_chunk).astype(np.uint64)
-            keys = []
-            for chunk in range(CHUNKS):
-                for left_out in range(each_chunk):
-                    total = np.full(len(ids), chunk * each_chunk + left_out + 1, np.uint64)
-                    for k in range(each_chunk):
-                        if k != left_out:
-                            total = mixed(total * _PLACES[k] + parts[:, chunk, k])
-                    keys.append(total.view(np.int64))
-            return pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys) if keys else np.zeros(0, np.int64)), pa.array(np.tile(ids, len(keys)))], names=["key", "id"])
+            ids, parts = batch.column("id").to_numpy(zero_copy_only=False), chunks_of(batch.column("signature"))
+            keys = [variants(parts, c, (x,)).view(np.int64) for c in range(CHUNKS) for x in range(COMPONENTS // CHUNKS)]
+            return pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys)), pa.array(np.tile(ids, len(keys)))], names=["key", "id"])
 
         return each
 
     return arrow_map(classes.select("id", "signature"), make, "key bigint, id bigint")
 
 
+def divided(members: DataFrame) -> DataFrame:
+    """(key, id, component): members (key, id, component, signature) by their key and the variants of every other chunk."""
+
+    def make():
+        def each(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+            parts, n = chunks_of(batch.column("signature")), COMPONENTS // CHUNKS
+            key = batch.column("key").to_numpy(zero_copy_only=False).view(np.uint64)
+            salt = mixed(key)
+            for c in range(CHUNKS):
+                own = np.zeros(len(key), bool)
+                for x in range(n):
+                    own |= variants(parts, c, (x,)) == key
+                rest = np.flatnonzero(~own)
+                out = batch.take(pa.array(rest))
+                for x in range(n):
+                    for y in range(x + 1, n):
+                        made = mixed(variants(parts[rest], c, (x, y)) ^ salt[rest]).view(np.int64)
+                        yield pa.RecordBatch.from_arrays([pa.array(made), out.column("id"), out.column("component")], names=["key", "id", "component"])
+
+        return each
+
+    return arrow_map(members.select("key", "id", "component", "signature"), make, "key bigint, id bigint, component bigint")
+
+
 def sets_of(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
     """(id, shingles, n, x0 ...: the sketch) for the wanted classes (id, name, high, low), from the documents' texts."""
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(small(wanted), F.col("doc_id") == F.col("name"))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    if BROADCAST_ROWS < wanted.count() <= FILTER_ROWS:
+        rows = rows.join(F.broadcast(wanted.select("name")), F.col("doc_id") == F.col("name"), "left_semi")
+    rows = rows.join(small(wanted), F.col("doc_id") == F.col("name"))
     names = [f"x{k}" for k in range(SKETCH)]
 
     def digest(s: np.ndarray) -> tuple[int, int]:
@@ -179,19 +219,33 @@ def sets_of(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
     return arrow_map(rows.select("id", "high", "low", "text"), make, schema).dropDuplicates(["id"])
 
 
+def outside(members: DataFrame) -> DataFrame:
+    """members (key, id, component) of keys with several components, with main, their largest, and rest, the members outside it."""
+    sizes = members.groupBy("key", "component").agg(F.count(F.lit(1)).alias("n"))
+    keys = sizes.groupBy("key").agg(F.max(F.struct("n", "component")).alias("m"), F.sum("n").alias("all"))
+    keys = keys.select("key", F.col("m.component").alias("main"), (F.col("all") - F.col("m.n")).alias("rest")).filter("rest > 0")
+    return members.join(staged(keys, "minhash-torn-keys"), "key")
+
+
 def across_components(open_: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """(a, b, ca, cb): pairs of a key in different components that their sketches don't rule out.
+    """(a, b, ca, cb): pairs of a key in different components that their sketches don't rule out; a < b.
 
-    open_: key, id, component. Of similar sets, at most (100 - percent) / (100 + percent)
-    of the elements that both have in sum are in one of them only.
+    open_: key, id, component, main. Only members outside the key's main component are
+    paired, with all, so a large component costs a row a member for each of them. Of
+    similar sets, at most (100 - percent) / (100 + percent) of the elements that both have
+    in sum are in one of them only.
     """
     names = [f"x{k}" for k in range(SKETCH)]
-    rows = open_.join(sets.select("id", "n", *names), "id")
-    left = rows.select("key", F.col("id").alias("a"), F.col("component").alias("ca"), F.col("n").alias("na"), *names)
-    right = rows.select(F.col("key").alias("k"), F.col("id").alias("b"), F.col("component").alias("cb"), F.col("n").alias("nb"), *(F.col(x).alias(f"y{x[1:]}") for x in names))
+    rows = staged(open_.join(sets.select("id", "n", *names), "id"), "minhash-sketched")
+    left = rows.filter("component <> main").select("key", F.col("id").alias("a"), F.col("component").alias("ca"), F.col("n").alias("na"), *names)
+    right = rows.select(F.col("key").alias("k"), F.col("id").alias("b"), F.col("component").alias("cb"), (F.col("component") == F.col("main")).alias("in_main"), F.col("n").alias("nb"), *(F.col(x).alias(f"y{x[1:]}") for x in names))
     apart = sum(F.bit_count(F.col(x).bitwiseXOR(F.col(f"y{x[1:]}"))) for x in names)
     near = apart * (100 + percent) <= (F.col("na") + F.col("nb")) * (100 - percent)
-    return left.join(right, (F.col("key") == F.col("k")) & (F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & near).select("a", "b", "ca", "cb").distinct()
+    once = F.col("in_main") | (F.col("a") < F.col("b"))
+    found = left.join(right, (F.col("key") == F.col("k")) & (F.col("ca") != F.col("cb")) & once & near)
+    turn = F.col("a") > F.col("b")
+    pick = lambda x, y, name: F.when(turn, F.col(y)).otherwise(F.col(x)).alias(name)
+    return found.select(pick("a", "b", "a"), pick("b", "a", "b"), pick("ca", "cb", "ca"), pick("cb", "ca", "cb")).distinct()
 
 
 def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -204,9 +258,20 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return pairs.join(right, "b").join(left, "a").filter(close).filter(both * 100 >= union * percent).select("a", "b")
 
 
-def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
+def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, split: int = SPLIT) -> DataFrame:
     """doc_id, n_shingles, component_id of every row of docs (doc_id, text)."""
-    rows = staged(described(docs, width), "minhash-rows")
+    with scratch(docs.sparkSession) as kept:
+        rows, found = linked_classes(docs, width, percent, split)
+        kept += [rows, found]
+    by = small(found.df.withColumnsRenamed({"high": "h", "low": "l"}))
+    out = rows.df.join(by, (F.col("high") == F.col("h")) & (F.col("low") == F.col("l")) & F.col("doc_id").isNotNull() & (F.col("n_shingles") > 0), "left")
+    return out.select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
+
+
+def linked_classes(docs: DataFrame, width: int, percent: int, split: int) -> tuple[Staged, Staged]:
+    """The rows as described, and (high, low, component) of the classes with more than one row or a link."""
+    described_ = Staged(described(docs, width), "minhash-rows")
+    rows = described_.df
     named = rows.filter("n_shingles > 0 and doc_id is not null")
     classes = named.groupBy("high", "low").agg(F.min("doc_id").alias("name"), F.min_by("signature", "doc_id").alias("signature"), F.count(F.lit(1)).alias("n"))
     classes = staged(classes.withColumn("id", F.monotonically_increasing_id()), "minhash-classes")  # fixed by being written
@@ -229,8 +294,12 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     # keys that span several components: pairs across them
     placed = members.select("key", "id").join(small(first), "id", "left").select("key", "id", F.coalesce("component", "id").alias("component"))
     torn = staged(placed.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).filter("x < y").select("key"), "minhash-torn")
-    open_ = placed.join(torn, "key")
-    across = staged(across_components(open_, sets, percent).join(pairs, ["a", "b"], "left_anti"), "minhash-across")
+    open_ = staged(outside(placed.join(torn, "key")), "minhash-open")
+    hot = open_.filter(F.col("rest") > split).drop("main", "rest").join(classes.select("id", "signature"), "id")
+    apart = open_.filter(F.col("rest") <= split).select("key", "id", "component", "main")
+    if not hot.isEmpty():
+        apart = apart.union(outside(staged(divided(hot), "minhash-divided")).select("key", "id", "component", "main"))
+    across = staged(across_components(apart, sets, percent).join(pairs, ["a", "b"], "left_anti"), "minhash-across")
     if not across.isEmpty():
         more = confirmed(across.select("a", "b"), sets, percent).join(across, ["a", "b"]).select(F.col("ca").alias("a"), F.col("cb").alias("b"))
         merged = connected_components(more).select(F.col("id").alias("old"), F.col("component").alias("new"))
@@ -239,17 +308,28 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
         final = known.join(small(merged), F.col("component") == F.col("old"), "left").select("id", F.coalesce("new", "component").alias("component"))
     linked = named_components(classes.select("id", "name", "high", "low"), final).select("id", "high", "low", "component")
     alone = classes.filter("n > 1").join(final, "id", "left_anti").select("high", "low", F.col("name").alias("component"))
-    found = staged(linked.select("high", "low", "component").union(alone), "minhash-found")
-    out = rows.join(small(found.withColumnsRenamed({"high": "h", "low": "l"})), (F.col("high") == F.col("h")) & (F.col("low") == F.col("l")) & F.col("doc_id").isNotNull() & (F.col("n_shingles") > 0), "left")
-    return out.select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
+    return described_, Staged(linked.select("high", "low", "component").union(alone), "minhash-found")
 
 
 def distinct_documents(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
-    """One document of each component, the one with the smallest doc_id, with docs' own columns."""
-    found = near_duplicates(docs, width, percent)
-    drop = staged(found.filter("doc_id <> component_id").select(F.col("doc_id").alias("copy_of_other")).distinct(), "minhash-drop")
-    rows = docs.select(F.struct("*").alias("row"), F.col("doc_id").cast("long").alias("own"))
-    return rows.join(small(drop), F.col("own") == F.col("copy_of_other"), "left_anti").select("row.*")
+    """One row of each component, the one with the smallest doc_id, with docs' own columns.
+
+    Rows are told apart by a number of their own, so rows that repeat a doc_id, or have
+    none, are compared like any others; a null doc_id is the largest. Rows without words
+    all stay.
+    """
+    spark = docs.sparkSession
+    with scratch(spark) as kept:
+        rows = Staged(docs.select(F.struct("*").alias("row"), F.monotonically_increasing_id().alias("number")), "minhash-numbered")
+        own = rows.df.select(F.col("number").alias("doc_id"), F.col("row.text").alias("text"))
+        found = near_duplicates(own, width, percent)
+        names = rows.df.select(F.col("number").alias("doc_id"), F.col("row.doc_id").alias("name"))
+        many = staged(found.filter("doc_id <> component_id").select("component_id").distinct(), "minhash-many")
+        members = staged(found.join(small(many), "component_id", "left_semi").select("doc_id", "component_id").join(names, "doc_id"), "minhash-members")
+        first = members.groupBy("component_id").agg(F.min(F.struct(F.col("name").isNull().alias("none"), "name", "doc_id")).alias("first"))
+        drop = Staged(members.join(first.select("component_id", "first.doc_id").withColumnRenamed("doc_id", "kept"), "component_id").filter("doc_id <> kept").select(F.col("doc_id").alias("dropped")), "minhash-drop")
+        kept += [rows, drop]
+    return rows.df.join(small(drop.df), F.col("number") == F.col("dropped"), "left_anti").select("row.*")
 
 
 def op7(docs: DataFrame) -> DataFrame:

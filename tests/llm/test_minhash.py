@@ -79,6 +79,59 @@ def test_one_of_each_stays(docs):
     assert left.columns == df.columns and sorted(r.doc_id for r in left.collect()) == sorted(set(root.values()))
 
 
+def test_one_of_repeated_and_null_ids_stays(docs):
+    rng = random.Random(3)
+    words = lambda n: " ".join(f"q{rng.randrange(9000)}" for _ in range(n))
+    a, b, c = words(40), words(40), words(40)
+    rows = [(5, a), (5, a), (3, a + " x"), (None, b), (None, b), (None, b + " y"), (7, c), (None, c), (8, words(30)), (8, words(30)), (None, None), (None, ""), (9, None)]
+    left = sorted(((r.doc_id, r.text) for r in minhash.distinct_documents(docs(rows), width=5).collect()), key=repr)
+    assert [k for k, _ in left].count(None) == 3 and len([t for k, t in left if k is None and t]) == 1
+    assert sorted(k for k, _ in left if k is not None) == [3, 7, 8, 8, 9]
+
+
+@pytest.mark.parametrize("seed", range(2))
+def test_divided_keys_lose_no_link(docs, seed):
+    """Every key with members outside its largest component goes by way of a second chunk."""
+    rows = corpus(seed + 20, groups=25)
+    rng = random.Random(seed)
+    base = [f"v{k}" for k in range(80)]  # half alike, and links among them
+    for k in range(60):
+        rows.append((1000 + k, " ".join(w if rng.random() < rng.choice((0.8, 0.97)) else f"r{rng.randrange(10**6)}" for w in base)))
+    root = want(rows)
+    for split in (0, 3, 10**6):
+        got = {r.doc_id: r.component_id for r in minhash.near_duplicates(docs(rows), 4, 80, split=split).collect()}
+        assert got == root
+
+
+def test_second_chunks_keep_all_pairs_within_the_errors():
+    """By pigeonhole: signatures with at most ERRORS errors that share a key share one of its divided keys."""
+    import pyarrow as pa
+
+    rng = np.random.default_rng(4)
+    each = minhash.COMPONENTS // minhash.CHUNKS
+    for _ in range(300):
+        a = rng.integers(0, 2**16, minhash.COMPONENTS, dtype=np.uint16)
+        b = a.copy()
+        places = rng.choice(minhash.COMPONENTS, int(rng.integers(0, minhash.ERRORS + 1)), replace=False)
+        b[places] ^= 1
+        parts = minhash.chunks_of(pa.array([a.tobytes(), b.tobytes()]))
+        shared = [(c, x) for c in range(minhash.CHUNKS) for x in range(each) if len(set(minhash.variants(parts, c, (x,)).tolist())) == 1]
+        assert shared
+        for own, _ in shared:
+            assert any(len(set(minhash.variants(parts, c, (x, y)).tolist())) == 1 for c in range(minhash.CHUNKS) if c != own for x in range(each) for y in range(x + 1, each))
+
+
+def test_large_components_are_not_paired_within(spark):
+    """A key with one large component and few others: rows grow with its members, not with their square."""
+    rows = [(1, k, 0) for k in range(500)] + [(1, 500, 500), (1, 501, 501), (2, 1, 0), (2, 2, 0)]
+    members = minhash.outside(spark.createDataFrame(rows, "key bigint, id bigint, component bigint"))
+    assert members.count() == 502 and {(r.main, r.rest) for r in members.collect()} == {(0, 2)}
+    sets = spark.range(502).selectExpr("id", "10L AS n", *(f"0L AS x{k}" for k in range(minhash.SKETCH)))
+    found = minhash.across_components(members, sets, 80).collect()
+    assert len(found) == 2 * 500 + 1 and all(r.a < r.b and r.ca != r.cb for r in found)
+    assert {(r.a, r.b, r.ca, r.cb) for r in found if r.b == 501 and r.a >= 499} == {(499, 501, 0, 501), (500, 501, 500, 501)}
+
+
 def test_sketches_never_rule_out_similar_sets():
     rng = np.random.default_rng(1)
     for n in (1, 4, 30, 500, 6000):
