@@ -19,7 +19,8 @@ these: those outside its largest component with all. A key with more than SPLIT
 outside is divided first: of a pair with at most ERRORS errors, some chunk other than
 the key's own has at most ERRORS // (CHUNKS - 1) = 2, so the pair agrees in one of the
 variants of another chunk that leave out two components, which together with the key is
-a key again. Sketches of the sets' parities then rule out for certain most pairs that
+a key again. A key's low bits say which variant it is, so a pair is given out under the
+first of the keys it shares only. Sketches of the sets' parities then rule out for certain most pairs that
 are not similar, and the others are confirmed. Pairs within a component can't change
 it, so no link between components is lost.
 Sets are only made for classes that are in a pair.
@@ -35,10 +36,11 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import BROADCAST_ROWS, Staged, arrow_map, classes_of_names, connected_components, named_components, scratch, small, staged, table, texts, tune
@@ -159,7 +161,8 @@ def keyed(classes: DataFrame) -> DataFrame:
     def make():
         def each(batch: pa.RecordBatch) -> pa.RecordBatch:
             ids, parts = batch.column("id").to_numpy(zero_copy_only=False), chunks_of(batch.column("signature"))
-            keys = [variants(parts, c, (x,)).view(np.int64) for c in range(CHUNKS) for x in range(COMPONENTS // CHUNKS)]
+            each = COMPONENTS // CHUNKS
+            keys = [(variants(parts, c, (x,)) << np.uint64(6) | np.uint64(c * each + x)).view(np.int64) for c in range(CHUNKS) for x in range(each)]
             return pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys)), pa.array(np.tile(ids, len(keys)))], names=["key", "id"])
 
         return each
@@ -167,37 +170,69 @@ def keyed(classes: DataFrame) -> DataFrame:
     return arrow_map(classes.select("id", "signature"), make, "key bigint, id bigint")
 
 
+#: Which two components a divided key leaves out.
+PAIRS_LEFT_OUT = tuple((x, y) for x in range(COMPONENTS // CHUNKS) for y in range(x + 1, COMPONENTS // CHUNKS))
+
+
 def divided(members: DataFrame) -> DataFrame:
-    """(key, id, component): members (key, id, component, signature) by their key and the variants of every other chunk."""
+    """(key, id, component): members (key, id, component, signature) by their key and the variants of every other chunk.
+
+    The low bits of a key are the number of the variant, above them the chunk of the first key.
+    """
 
     def make():
         def each(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-            parts, n = chunks_of(batch.column("signature")), COMPONENTS // CHUNKS
+            parts = chunks_of(batch.column("signature"))
             key = batch.column("key").to_numpy(zero_copy_only=False).view(np.uint64)
-            salt = mixed(key)
+            salt, own = mixed(key), (key & np.uint64(63)) // np.uint64(COMPONENTS // CHUNKS)
             for c in range(CHUNKS):
-                own = np.zeros(len(key), bool)
-                for x in range(n):
-                    own |= variants(parts, c, (x,)) == key
-                rest = np.flatnonzero(~own)
+                rest = np.flatnonzero(own != c)
                 out = batch.take(pa.array(rest))
-                for x in range(n):
-                    for y in range(x + 1, n):
-                        made = mixed(variants(parts[rest], c, (x, y)) ^ salt[rest]).view(np.int64)
-                        yield pa.RecordBatch.from_arrays([pa.array(made), out.column("id"), out.column("component")], names=["key", "id", "component"])
+                for v, pair in enumerate(PAIRS_LEFT_OUT):
+                    made = mixed(variants(parts[rest], c, pair) ^ salt[rest]) << np.uint64(10)
+                    made |= own[rest] << np.uint64(6) | np.uint64(c * len(PAIRS_LEFT_OUT) + v)
+                    yield pa.RecordBatch.from_arrays([pa.array(made.view(np.int64)), out.column("id"), out.column("component")], names=["key", "id", "component"])
 
         return each
 
     return arrow_map(members.select("key", "id", "component", "signature"), make, "key bigint, id bigint, component bigint")
 
 
+def first_shared(key: Column, apart: list[Column], second: bool) -> Column:
+    """Whether a pair shares no earlier key than this one. apart: per chunk, the XOR of the two signatures' components."""
+    each = COMPONENTS // CHUNKS
+
+    def count(x: Column) -> Column:
+        """Components that aren't zero: the bits of each are gathered in its lowest."""
+        for k in (8, 4, 2, 1):
+            x = x.bitwiseOR(F.shiftrightunsigned(x, k))
+        return F.bit_count(x.bitwiseAND(F.lit(int("0001" * each, 16))))
+
+    errors = [count(x) for x in apart]
+    if not second:
+        place = key.bitwiseAND(F.lit(63))
+        chunk, left_out = F.floor(place / each), place % each
+        earlier = [(chunk <= c) | (errors[c] >= 2) for c in range(CHUNKS)]
+        own = F.element_at(F.array(*errors), (chunk + 1).cast("int"))
+        return reduce(lambda a, b: a & b, earlier) & ((left_out == 0) | (own > 0))
+    place, first = key.bitwiseAND(F.lit(63)), F.shiftright(key, 6).bitwiseAND(F.lit(15))
+    chunk, variant = F.floor(place / len(PAIRS_LEFT_OUT)), place % len(PAIRS_LEFT_OUT)
+    earlier = [(chunk <= c) | (first == c) | (errors[c] >= 3) for c in range(CHUNKS)]
+    at = (chunk + 1).cast("int")
+    own, here = F.element_at(F.array(*errors), at), F.element_at(F.array(*apart), at)
+    at_first = here.bitwiseAND(F.lit(0xFFFF)) != 0
+    # two errors tell the variant; of one, it is left out together with the first component, or the second if it is the first itself
+    canonical = (own == 2) | ((own == 1) & (variant < each - 1) & (~at_first | (variant == 0))) | ((own == 0) & (variant == 0))
+    return reduce(lambda a, b: a & b, earlier) & canonical
+
+
 def sets_of(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
-    """(id, shingles, n, x0 ...: the sketch) for the wanted classes (id, name, high, low), from the documents' texts."""
+    """(id, shingles, n, x0 ...: the sketch, s0 ...: the signature) for the wanted classes (id, name, high, low, signature), from the documents' texts."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     if BROADCAST_ROWS < wanted.count() <= FILTER_ROWS:
         rows = rows.join(F.broadcast(wanted.select("name")), F.col("doc_id") == F.col("name"), "left_semi")
     rows = rows.join(small(wanted), F.col("doc_id") == F.col("name"))
-    names = [f"x{k}" for k in range(SKETCH)]
+    names = [*(f"x{k}" for k in range(SKETCH)), *(f"s{k}" for k in range(CHUNKS))]
 
     def digest(s: np.ndarray) -> tuple[int, int]:
         d = hashlib.blake2b(s.tobytes(), digest_size=16).digest()
@@ -209,14 +244,15 @@ def sets_of(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
             own = [digest(s) == x for s, x in zip(sets, zip(batch.column("high").to_pylist(), batch.column("low").to_pylist(), strict=True), strict=True)]
             flat = np.concatenate([np.zeros(0, np.uint64), *sets]).view(np.int64)
             at = np.cumsum([0, *map(len, sets)]).astype(np.int32)
-            bits = np.array([sketch(s) for s in sets], np.int64).reshape(-1, SKETCH)
-            made = [batch.column("id"), pa.ListArray.from_arrays(pa.array(at), pa.array(flat)), pa.array(np.diff(at).astype(np.int64)), *(pa.array(bits[:, k].copy()) for k in range(SKETCH))]
+            signs = np.frombuffer(b"".join(batch.column("signature").to_pylist()), np.int64).reshape(-1, CHUNKS)
+            bits = np.hstack([np.array([sketch(s) for s in sets], np.int64).reshape(-1, SKETCH), signs])
+            made = [batch.column("id"), pa.ListArray.from_arrays(pa.array(at), pa.array(flat)), pa.array(np.diff(at).astype(np.int64)), *(pa.array(bits[:, k].copy()) for k in range(len(names)))]
             return pa.RecordBatch.from_arrays(made, names=["id", "shingles", "n", *names]).filter(pa.array(own, pa.bool_()))
 
         return each
 
     schema = "id bigint, shingles array<bigint>, n bigint, " + ", ".join(f"{x} bigint" for x in names)
-    return arrow_map(rows.select("id", "high", "low", "text"), make, schema).dropDuplicates(["id"])
+    return arrow_map(rows.select("id", "high", "low", "signature", "text"), make, schema).dropDuplicates(["id"])
 
 
 def outside(members: DataFrame) -> DataFrame:
@@ -227,25 +263,26 @@ def outside(members: DataFrame) -> DataFrame:
     return members.join(staged(keys, "minhash-torn-keys"), "key")
 
 
-def across_components(open_: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """(a, b, ca, cb): pairs of a key in different components that their sketches don't rule out; a < b.
+def across_components(open_: DataFrame, sets: DataFrame, percent: int, second: bool = False) -> DataFrame:
+    """(a, b, ca, cb): pairs of a key in different components that their sketches don't rule out; a < b, each once.
 
-    open_: key, id, component, main. Only members outside the key's main component are
-    paired, with all, so a large component costs a row a member for each of them. Of
-    similar sets, at most (100 - percent) / (100 + percent) of the elements that both have
-    in sum are in one of them only.
+    open_: key (divided ones: second), id, component, main. Only members outside the key's
+    main component are paired, with all, so a large component costs a row a member for
+    each of them. Of similar sets, at most (100 - percent) / (100 + percent) of the elements
+    that both have in sum are in one of them only.
     """
-    names = [f"x{k}" for k in range(SKETCH)]
-    rows = staged(open_.join(sets.select("id", "n", *names), "id"), "minhash-sketched")
-    left = rows.filter("component <> main").select("key", F.col("id").alias("a"), F.col("component").alias("ca"), F.col("n").alias("na"), *names)
-    right = rows.select(F.col("key").alias("k"), F.col("id").alias("b"), F.col("component").alias("cb"), (F.col("component") == F.col("main")).alias("in_main"), F.col("n").alias("nb"), *(F.col(x).alias(f"y{x[1:]}") for x in names))
+    names, signs = [f"x{k}" for k in range(SKETCH)], [f"s{k}" for k in range(CHUNKS)]
+    rows = staged(open_.join(sets.select("id", "n", *names, *signs), "id"), "minhash-sketched")
+    left = rows.filter("component <> main").select("key", F.col("id").alias("a"), F.col("component").alias("ca"), F.col("n").alias("na"), *names, *signs)
+    other = [F.col(x).alias(f"{'y' if x[0] == 'x' else 't'}{x[1:]}") for x in (*names, *signs)]
+    right = rows.select(F.col("key").alias("k"), F.col("id").alias("b"), F.col("component").alias("cb"), (F.col("component") == F.col("main")).alias("in_main"), F.col("n").alias("nb"), *other)
     apart = sum(F.bit_count(F.col(x).bitwiseXOR(F.col(f"y{x[1:]}"))) for x in names)
     near = apart * (100 + percent) <= (F.col("na") + F.col("nb")) * (100 - percent)
-    once = F.col("in_main") | (F.col("a") < F.col("b"))
-    found = left.join(right, (F.col("key") == F.col("k")) & (F.col("ca") != F.col("cb")) & once & near)
+    once = (F.col("in_main") | (F.col("a") < F.col("b"))) & first_shared(F.col("key"), [F.col(x).bitwiseXOR(F.col(f"t{x[1:]}")) for x in signs], second)
+    found = left.join(right, (F.col("key") == F.col("k")) & (F.col("ca") != F.col("cb")) & near & once)
     turn = F.col("a") > F.col("b")
     pick = lambda x, y, name: F.when(turn, F.col(y)).otherwise(F.col(x)).alias(name)
-    return found.select(pick("a", "b", "a"), pick("b", "a", "b"), pick("ca", "cb", "ca"), pick("cb", "ca", "cb")).distinct()
+    return found.select(pick("a", "b", "a"), pick("b", "a", "b"), pick("ca", "cb", "ca"), pick("cb", "ca", "cb"))
 
 
 def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -285,7 +322,7 @@ def linked_classes(docs: DataFrame, width: int, percent: int, split: int) -> tup
     hubs = staged(members.groupBy("key").agg(F.max(F.struct("weight", "id")).alias("m")).select("key", F.col("m.id").alias("hub")), "minhash-hubs")
     stars = members.join(hubs, "key").filter("id <> hub")
     pairs = staged(stars.select(F.least("id", "hub").alias("a"), F.greatest("id", "hub").alias("b")).distinct(), "minhash-pairs")
-    named_classes = classes.select("id", "name", "high", "low")
+    named_classes = classes.select("id", "name", "high", "low", "signature")
     wanted = staged(members.select("id").distinct().join(named_classes, "id"), "minhash-wanted")
     sets = staged(sets_of(docs, wanted, width), "minhash-sets")
     links = staged(confirmed(pairs, sets, percent), "minhash-links")
@@ -296,10 +333,10 @@ def linked_classes(docs: DataFrame, width: int, percent: int, split: int) -> tup
     torn = staged(placed.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).filter("x < y").select("key"), "minhash-torn")
     open_ = staged(outside(placed.join(torn, "key")), "minhash-open")
     hot = open_.filter(F.col("rest") > split).drop("main", "rest").join(classes.select("id", "signature"), "id")
-    apart = open_.filter(F.col("rest") <= split).select("key", "id", "component", "main")
+    apart = across_components(open_.filter(F.col("rest") <= split), sets, percent)
     if not hot.isEmpty():
-        apart = apart.union(outside(staged(divided(hot), "minhash-divided")).select("key", "id", "component", "main"))
-    across = staged(across_components(apart, sets, percent).join(pairs, ["a", "b"], "left_anti"), "minhash-across")
+        apart = apart.union(across_components(outside(staged(divided(hot), "minhash-divided")), sets, percent, second=True))
+    across = staged(apart.join(pairs, ["a", "b"], "left_anti"), "minhash-across")
     if not across.isEmpty():
         more = confirmed(across.select("a", "b"), sets, percent).join(across, ["a", "b"]).select(F.col("ca").alias("a"), F.col("cb").alias("b"))
         merged = connected_components(more).select(F.col("id").alias("old"), F.col("component").alias("new"))

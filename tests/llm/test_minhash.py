@@ -121,12 +121,44 @@ def test_second_chunks_keep_all_pairs_within_the_errors():
             assert any(len(set(minhash.variants(parts, c, (x, y)).tolist())) == 1 for c in range(minhash.CHUNKS) if c != own for x in range(each) for y in range(x + 1, each))
 
 
+def test_a_pair_is_given_out_under_its_first_key_only(spark):
+    """Over all keys and divided keys that pairs of signatures share, exactly one is the first."""
+    import pyarrow as pa
+    from pyspark.sql import functions as F
+
+    rng = np.random.default_rng(9)
+    each, rows = minhash.COMPONENTS // minhash.CHUNKS, []
+    for n in range(120):
+        a = rng.integers(0, 2**16, minhash.COMPONENTS, dtype=np.uint16)
+        b = a.copy()
+        for c in range(minhash.CHUNKS):
+            places = c * each + rng.choice(each, int(rng.choice([0, 1, 1, 2, 2, 3])), replace=False)
+            b[places] ^= rng.choice([1, 0x8000, 0xFFFF, 0x10], len(places)).astype(np.uint16)
+        parts = minhash.chunks_of(pa.array([a.tobytes(), b.tobytes()]))
+        x = (a.view(np.int64) ^ b.view(np.int64)).tolist()
+        for c in range(minhash.CHUNKS):
+            for left in range(each):
+                if len(set(minhash.variants(parts, c, (left,)).tolist())) == 1:
+                    rows.append((n, -1, False, c * each + left, *x))
+                    if left == 0:
+                        for c2 in range(minhash.CHUNKS):
+                            for v, pair in enumerate(minhash.PAIRS_LEFT_OUT):
+                                if c2 != c and len(set(minhash.variants(parts, c2, pair).tolist())) == 1:
+                                    rows.append((n, c, True, c << 6 | (c2 * len(minhash.PAIRS_LEFT_OUT) + v), *x))
+    names = [f"x{k}" for k in range(minhash.CHUNKS)]
+    df = spark.createDataFrame(rows, "n int, own int, second boolean, key bigint, " + ", ".join(f"{x} bigint" for x in names))
+    apart = [F.col(x) for x in names]
+    first = F.when(F.col("second"), minhash.first_shared(F.col("key"), apart, True)).otherwise(minhash.first_shared(F.col("key"), apart, False))
+    got = df.groupBy("n", "own").agg(F.count_if(first).alias("firsts")).collect()
+    assert len(got) > 200 and all(r.firsts == 1 for r in got)
+
+
 def test_large_components_are_not_paired_within(spark):
     """A key with one large component and few others: rows grow with its members, not with their square."""
-    rows = [(1, k, 0) for k in range(500)] + [(1, 500, 500), (1, 501, 501), (2, 1, 0), (2, 2, 0)]
+    rows = [(64, k, 0) for k in range(500)] + [(64, 500, 500), (64, 501, 501), (128, 1, 0), (128, 2, 0)]
     members = minhash.outside(spark.createDataFrame(rows, "key bigint, id bigint, component bigint"))
     assert members.count() == 502 and {(r.main, r.rest) for r in members.collect()} == {(0, 2)}
-    sets = spark.range(502).selectExpr("id", "10L AS n", *(f"0L AS x{k}" for k in range(minhash.SKETCH)))
+    sets = spark.range(502).selectExpr("id", "10L AS n", *(f"0L AS x{k}" for k in range(minhash.SKETCH)), *(f"0L AS s{k}" for k in range(minhash.CHUNKS)))
     found = minhash.across_components(members, sets, 80).collect()
     assert len(found) == 2 * 500 + 1 and all(r.a < r.b and r.ca != r.cb for r in found)
     assert {(r.a, r.b, r.ca, r.cb) for r in found if r.b == 501 and r.a >= 499} == {(499, 501, 0, 501), (500, 501, 500, 501)}
