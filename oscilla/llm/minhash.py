@@ -198,32 +198,47 @@ def divided(members: DataFrame) -> DataFrame:
     return arrow_map(members.select("key", "id", "component", "signature"), make, "key bigint, id bigint, component bigint")
 
 
+def is_first(key: np.ndarray, apart: np.ndarray, second: bool) -> np.ndarray:
+    """Which pairs share no earlier key than this one. apart: (pairs, CHUNKS), the XOR of the two signatures."""
+    each, rows, chunks = COMPONENTS // CHUNKS, np.arange(len(key)), np.arange(CHUNKS)
+    lanes = apart.view(np.uint16).reshape(len(key), CHUNKS, each) != 0
+    errors = lanes.sum(2)
+    place, variants_ = key & 63, len(PAIRS_LEFT_OUT) if second else each
+    chunk, variant = np.minimum(place // variants_, CHUNKS - 1), place % variants_
+    own, at_first = errors[rows, chunk], lanes[rows, chunk, 0]
+    earlier = (chunk[:, None] <= chunks) | (errors >= (3 if second else 2))
+    if not second:
+        return earlier.all(1) & ((variant == 0) | (own > 0))
+    earlier |= ((key >> 6) & 15)[:, None] == chunks
+    # two errors tell the variant; of one, it is left out together with the first component, or the second if it is the first itself
+    canonical = (own == 2) | ((own == 1) & (variant < each - 1) & (~at_first | (variant == 0))) | ((own == 0) & (variant == 0))
+    return earlier.all(1) & canonical
+
+
 def first_shared(key: Column, apart: list[Column], second: bool) -> Column:
-    """Whether a pair shares no earlier key than this one. apart: per chunk, the XOR of the two signatures' components."""
-    each = COMPONENTS // CHUNKS
+    """Whether a pair shares no earlier key than this one. apart: per chunk, the XOR of the two signatures' components.
+
+    An Arrow function: as an expression it outgrows what the JVM compiles well.
+    """
+
+    def first(key: pa.Array, *apart: pa.Array) -> pa.Array:
+        columns = [x.to_numpy(zero_copy_only=False) for x in apart]
+        return pa.array(is_first(key.to_numpy(zero_copy_only=False), np.stack(columns, 1), second), pa.bool_())
+
+    return F.arrow_udf(first, "boolean")(key, *apart)
+
+
+def early_chunks(key: Column, apart: list[Column], second: bool) -> Column:
+    """The part of first_shared that says most, in the JVM: no earlier key in the chunks of apart, the first few."""
 
     def count(x: Column) -> Column:
-        """Components that aren't zero: the bits of each are gathered in its lowest."""
-        for k in (8, 4, 2, 1):
-            x = x.bitwiseOR(F.shiftrightunsigned(x, k))
-        return F.bit_count(x.bitwiseAND(F.lit(int("0001" * each, 16))))
+        lanes = [x.bitwiseAND(F.lit(0xFFFF << (16 * k))) != 0 for k in range(3)]
+        return sum(lane.cast("int") for lane in [*lanes, F.shiftrightunsigned(x, 48) != 0])
 
-    errors = [count(x) for x in apart]
-    if not second:
-        place = key.bitwiseAND(F.lit(63))
-        chunk, left_out = F.floor(place / each), place % each
-        earlier = [(chunk <= c) | (errors[c] >= 2) for c in range(CHUNKS)]
-        own = F.element_at(F.array(*errors), (chunk + 1).cast("int"))
-        return reduce(lambda a, b: a & b, earlier) & ((left_out == 0) | (own > 0))
-    place, first = key.bitwiseAND(F.lit(63)), F.shiftright(key, 6).bitwiseAND(F.lit(15))
-    chunk, variant = F.floor(place / len(PAIRS_LEFT_OUT)), place % len(PAIRS_LEFT_OUT)
-    earlier = [(chunk <= c) | (first == c) | (errors[c] >= 3) for c in range(CHUNKS)]
-    at = (chunk + 1).cast("int")
-    own, here = F.element_at(F.array(*errors), at), F.element_at(F.array(*apart), at)
-    at_first = here.bitwiseAND(F.lit(0xFFFF)) != 0
-    # two errors tell the variant; of one, it is left out together with the first component, or the second if it is the first itself
-    canonical = (own == 2) | ((own == 1) & (variant < each - 1) & (~at_first | (variant == 0))) | ((own == 0) & (variant == 0))
-    return reduce(lambda a, b: a & b, earlier) & canonical
+    place, variants_ = key.bitwiseAND(F.lit(63)), len(PAIRS_LEFT_OUT) if second else COMPONENTS // CHUNKS
+    own = F.shiftright(key, 6).bitwiseAND(F.lit(15))
+    tests = [(place < variants_ * (c + 1)) | (count(x) >= (3 if second else 2)) | ((own == c) if second else F.lit(False)) for c, x in enumerate(apart)]
+    return reduce(lambda a, b: a & b, tests)
 
 
 def sets_of(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
@@ -278,11 +293,14 @@ def across_components(open_: DataFrame, sets: DataFrame, percent: int, second: b
     right = rows.select(F.col("key").alias("k"), F.col("id").alias("b"), F.col("component").alias("cb"), (F.col("component") == F.col("main")).alias("in_main"), F.col("n").alias("nb"), *other)
     apart = sum(F.bit_count(F.col(x).bitwiseXOR(F.col(f"y{x[1:]}"))) for x in names)
     near = apart * (100 + percent) <= (F.col("na") + F.col("nb")) * (100 - percent)
-    once = (F.col("in_main") | (F.col("a") < F.col("b"))) & first_shared(F.col("key"), [F.col(x).bitwiseXOR(F.col(f"t{x[1:]}")) for x in signs], second)
+    apart_ = [F.col(x).bitwiseXOR(F.col(f"t{x[1:]}")) for x in signs]
+    differ = [x.alias(f"d{k}") for k, x in enumerate(apart_)]
+    once = (F.col("in_main") | (F.col("a") < F.col("b"))) & early_chunks(F.col("key"), apart_[:3], second)
     found = left.join(right, (F.col("key") == F.col("k")) & (F.col("ca") != F.col("cb")) & near & once)
     turn = F.col("a") > F.col("b")
     pick = lambda x, y, name: F.when(turn, F.col(y)).otherwise(F.col(x)).alias(name)
-    return found.select(pick("a", "b", "a"), pick("b", "a", "b"), pick("ca", "cb", "ca"), pick("cb", "ca", "cb"))
+    found = found.select("key", pick("a", "b", "a"), pick("b", "a", "b"), pick("ca", "cb", "ca"), pick("cb", "ca", "cb"), *differ)
+    return found.filter(first_shared(F.col("key"), [F.col(f"d{k}") for k in range(CHUNKS)], second)).select("a", "b", "ca", "cb")
 
 
 def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
