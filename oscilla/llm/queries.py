@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, decontam, hmm, metric, minhash, mixing, ranker, repeats, secrets, warc
+from . import chat, decontam, hmm, infill, metric, minhash, mixing, ranker, repeats, secrets, warc
 from .common import table
 
 
@@ -25,6 +25,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_repeats": repeats.query,
     "op9_decontaminate": decontam.query,
     "op10_quality": ranker.query,
+    "op11_infill": infill.query,
 }
 
 ORACLES: dict[str, str] = {
@@ -35,4 +36,5 @@ ORACLES: dict[str, str] = {
     "op7_minhash": minhash.ORACLE,
     "op8_repeats": repeats.ORACLE,
     "op9_decontaminate": decontam.ORACLE,
+    "op11_infill": infill.ORACLE,
 }
