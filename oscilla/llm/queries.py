@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, decontam, hmm, infill, metric, minhash, mixing, ranker, repeats, secrets, warc
+from . import centroids, chat, decontam, hmm, infill, langid, metric, minhash, mixing, ranker, repeats, secrets, warc
 from .common import table
 
 
@@ -26,6 +26,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_decontaminate": decontam.query,
     "op10_quality": ranker.query,
     "op11_infill": infill.query,
+    "op12_language": langid.query,
+    "op13_centroids": centroids.query,
 }
 
 ORACLES: dict[str, str] = {
@@ -37,4 +39,5 @@ ORACLES: dict[str, str] = {
     "op8_repeats": repeats.ORACLE,
     "op9_decontaminate": decontam.ORACLE,
     "op11_infill": infill.ORACLE,
+    "op13_centroids": centroids.ORACLE,
 }
