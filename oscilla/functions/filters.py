@@ -109,15 +109,26 @@ def steady_state(b, a) -> np.ndarray:
     return _blocks(tuple(b), tuple(a), 1)[4]
 
 
+def state_matrices(b, a) -> tuple[np.ndarray, np.ndarray]:
+    """How a section's state goes on by itself, and what one sample adds to it."""
+    _, driven, power, _, _ = _blocks(tuple(b), tuple(a), 1)
+    return power, driven[:, 0]
+
+
 def run(b, a, x: np.ndarray, state: np.ndarray) -> np.ndarray:
     """Filters the rows of x from the given states."""
+    return run_on(b, a, x, state)[0]
+
+
+def run_on(b, a, x: np.ndarray, state: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """As run, and the states after the rows."""
     out = np.empty_like(x)
     for k in range(0, x.shape[1], _BLOCK):
         part = x[:, k : k + _BLOCK]
         observed, driven, power, through, _ = _blocks(tuple(b), tuple(a), part.shape[1])
         out[:, k : k + _BLOCK] = part @ through.T + state @ observed.T
         state = part @ driven.T + state @ power.T
-    return out
+    return out, state
 
 
 def zero_phase(filter_: Filter, x: np.ndarray) -> np.ndarray:

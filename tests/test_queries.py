@@ -5,11 +5,12 @@ import math
 import duckdb
 import pytest
 
-from oscilla.plans import manifests, signals
+from oscilla.plans import long_recordings, manifests, signals
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
-QUERIES, ORACLES = {**signals.QUERIES, **manifests.QUERIES}, {**signals.ORACLES, **manifests.ORACLES}
+QUERIES = {**signals.QUERIES, **manifests.QUERIES, **long_recordings.QUERIES}
+ORACLES = {**signals.ORACLES, **manifests.ORACLES, **long_recordings.ORACLES}
 
 
 @pytest.fixture(scope="module")
