@@ -27,8 +27,9 @@ from __future__ import annotations
 import math
 import re
 import unicodedata
-from collections import Counter
+from collections import Counter, defaultdict
 from collections.abc import Iterator
+from itertools import batched
 
 import numpy as np
 import pyarrow as pa
@@ -44,6 +45,8 @@ ORDERS = (5, 4, 3, 2, 1)
 WORDS, GRAMS = 100_000, 50_000
 #: Counts that a task holds before it gives them out.
 HELD = 200_000
+#: Bytes of the vectors of words that a task keeps.
+CACHE_BYTES = 32_000_000
 UNKNOWN = "und"
 
 _WORD = re.compile(r"[^\W\d_]+")
@@ -51,8 +54,8 @@ _WORD = re.compile(r"[^\W\d_]+")
 
 def words_of(text: str) -> list[str]:
     """The runs of letters of a text; a run without any letter (such as a fraction sign) is none."""
-    found = _WORD.findall(unicodedata.normalize("NFC", text).lower())
-    return [w for w in found if w.isalpha() or any(map(str.isalpha, w))]
+    found = _WORD.findall((text if text.isascii() else unicodedata.normalize("NFC", text)).lower())
+    return found if "".join(found).isalpha() else [w for w in found if any(map(str.isalpha, w))]
 
 
 def grams_of(word: str, order: int) -> list[str]:
@@ -65,19 +68,19 @@ def word_counts(docs: DataFrame) -> DataFrame:
     """(lang, level, token, n): the words (level 0) of docs (text, lang), summed by language."""
 
     def counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: Counter = Counter()
+        held: defaultdict[str, Counter] = defaultdict(Counter)
         for batch in batches:
             for text, lang in zip(texts(batch), batch.column("lang").to_pylist(), strict=True):
-                held.update((lang, w) for w in words_of(text))
-                if len(held) > HELD:
+                held[lang].update(words_of(text))
+                if len(held[lang]) > HELD or len(held) > HELD:
                     yield from given(held)
                     held.clear()
         yield from given(held)
 
-    def given(held: Counter) -> Iterator[pa.RecordBatch]:
-        langs, tokens = ([k[x] for k in held] for x in (0, 1))
-        made = pa.table({"lang": pa.array(langs, pa.string()), "token": pa.array(tokens, pa.string()), "n": pa.array(list(held.values()), pa.int64())})
-        yield from made.to_batches(max_chunksize=10_000)
+    def given(held: dict[str, Counter]) -> Iterator[pa.RecordBatch]:
+        for lang, found in held.items():
+            made = pa.table({"lang": pa.repeat(lang, len(found)), "token": pa.array(found.keys(), pa.string()), "n": pa.array(found.values(), pa.int64())})
+            yield from made.to_batches(max_chunksize=10_000)
 
     made = docs.mapInArrow(counts, "lang string, token string, n bigint")
     return made.groupBy("lang", "token").agg(F.sum("n").alias("n")).select("lang", F.lit(0).alias("level"), "token", "n")
@@ -87,21 +90,22 @@ def gram_counts(words: DataFrame) -> DataFrame:
     """(lang, level, token, n): the n-grams of a table of words, the level being their order."""
 
     def counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: Counter = Counter()
+        held: defaultdict[tuple[str, int], Counter] = defaultdict(Counter)
         for batch in batches:
             for lang, word, n in zip(*(batch.column(c).to_pylist() for c in ("lang", "token", "n")), strict=True):
                 for order in ORDERS:
+                    found = held[lang, order]
                     for gram in grams_of(word, order):
-                        held[lang, order, gram] += n
-                if len(held) > HELD:
-                    yield from given(held)
-                    held.clear()
+                        found[gram] += n
+            if sum(map(len, held.values())) > HELD:
+                yield from given(held)
+                held.clear()
         yield from given(held)
 
-    def given(held: Counter) -> Iterator[pa.RecordBatch]:
-        columns = [pa.array([k[x] for k in held], kind) for x, kind in enumerate((pa.string(), pa.int32(), pa.string()))]
-        made = pa.table([*columns, pa.array(list(held.values()), pa.int64())], names=["lang", "level", "token", "n"])
-        yield from made.to_batches(max_chunksize=10_000)
+    def given(held: dict[tuple[str, int], Counter]) -> Iterator[pa.RecordBatch]:
+        for (lang, order), found in held.items():
+            data = [pa.repeat(lang, len(found)), pa.repeat(pa.scalar(order, pa.int32()), len(found)), pa.array(found.keys(), pa.string()), pa.array(found.values(), pa.int64())]
+            yield from pa.table(data, names=["lang", "level", "token", "n"]).to_batches(max_chunksize=10_000)
 
     made = words.select("lang", "token", "n").mapInArrow(counts, "lang string, level int, token string, n bigint")
     return made.groupBy("lang", "level", "token").agg(F.sum("n").alias("n"))
@@ -126,13 +130,6 @@ class Model:
                 starts.append(len(where))
         self.starts, self.where, self.above = np.array(starts), np.array(where, np.int32), np.array(above)
 
-    def summed(self, slots: list[int], weights: list[float]) -> np.ndarray:
-        """By language, the weighted sum of what the tokens' logs exceed the floor by."""
-        at = np.array(slots)
-        sizes = self.starts[at + 1] - self.starts[at]
-        flat = np.repeat(self.starts[at + 1] - np.cumsum(sizes), sizes) + np.arange(sizes.sum())
-        return np.bincount(self.where[flat], np.repeat(np.array(weights), sizes) * self.above[flat], len(self.langs))
-
     def backed_off(self, word: str) -> tuple[int, list[int]]:
         """The longest order of which n-grams of an unseen word are known, and these; 0 if none is."""
         for order in ORDERS:
@@ -141,27 +138,51 @@ class Model:
                 return order, found
         return 0, []
 
+    def vector(self, word: str) -> np.ndarray:
+        """What one occurrence of a word adds to every language's log likelihood."""
+        level, slots = 0, [slot] if (slot := self.index.get(0, {}).get(word)) is not None else []
+        if not slots:
+            level, slots = self.backed_off(word)
+        out = np.zeros(len(self.langs))
+        for slot in slots:
+            some = slice(self.starts[slot], self.starts[slot + 1])
+            out[self.where[some]] += self.above[some]
+        return self.floors[level] + out / len(slots) if slots else out
+
+
+class Scorer:
+    """Predicts with a model; words met before are kept with their vectors, up to CACHE_BYTES."""
+
+    def __init__(self, model: Model):
+        self.model, self.langs = model, model.langs
+        self.most = max(1, CACHE_BYTES // (8 * max(1, len(self.langs)) + 100))
+        self.known: dict[str, int] = {}
+        self.vectors = np.zeros((min(self.most, 1024), len(self.langs)))
+
+    def placed(self, words: tuple[str, ...]) -> list[int]:
+        """Where the vectors of these words (self.most at most) stand."""
+        found = [self.known.get(w, -1) for w in words]
+        fresh = [k for k, at in enumerate(found) if at < 0]
+        if not fresh:
+            return found
+        if len(self.known) + len(fresh) > self.most:
+            self.known.clear()
+            return self.placed(words)
+        if len(self.known) + len(fresh) > len(self.vectors):
+            more = min(self.most, 2 * (len(self.known) + len(fresh)))
+            self.vectors = np.concatenate([self.vectors, np.zeros((more - len(self.vectors), len(self.langs)))])
+        for k in fresh:
+            at = found[k] = self.known[words[k]] = len(self.known)
+            self.vectors[at] = self.model.vector(words[k])
+        return found
+
     def likelihoods(self, words: list[str]) -> np.ndarray:
         """The log likelihood of the words in every language."""
-        slots: list[int] = []
-        weights: list[float] = []
-        total = np.zeros(len(self.langs))
-        known = self.index.get(0, {})
-        levels: Counter = Counter()
-        for word, n in Counter(words).items():
-            if (slot := known.get(word)) is not None:
-                slots.append(slot)
-                weights.append(n)
-                levels[0] += n
-            else:
-                order, grams = self.backed_off(word)
-                if order:
-                    slots += grams
-                    weights += [n / len(grams)] * len(grams)
-                    levels[order] += n
-        for level, n in levels.items():
-            total += n * self.floors[level]
-        return total + self.summed(slots, weights) if slots else total
+        counts, total = Counter(words), np.zeros(len(self.langs))
+        for some in batched(counts, self.most):
+            at = self.placed(some)
+            total += np.array([counts[w] for w in some], float) @ self.vectors[at]
+        return total
 
     def predict(self, text: str | None) -> tuple[str, float]:
         words = words_of(text or "")
@@ -201,10 +222,10 @@ def identified(docs: DataFrame, model: Model) -> DataFrame:
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def make():
-        model = sent.value
+        scorer = Scorer(sent.value)
 
         def each(batch: pa.RecordBatch) -> pa.RecordBatch:
-            found = [model.predict(t) for t in texts(batch)]
+            found = [scorer.predict(t) for t in texts(batch)]
             made = [pa.array([x[0] for x in found], pa.string()), pa.array([x[1] for x in found], pa.float64())]
             return pa.RecordBatch.from_arrays([batch.column("doc_id"), *made], names=["doc_id", "lang_pred", "score"])
 

@@ -98,7 +98,21 @@ def test_backing_off_takes_the_longest_known_order(spark):
     model = langid.learn(spark.createDataFrame([("abcdef zz", "aa"), ("xyz", "bb")], "text string, lang string"))
     assert model.backed_off("abcdq")[0] == 5 and model.backed_off("qabcq")[0] == 3 and model.backed_off("qaq")[0] == 1
     assert model.backed_off("qqq") == (0, [])
-    assert model.predict("qabcq")[0] == "aa" and model.predict("yzq")[0] == "bb"
+    scorer = langid.Scorer(model)
+    assert scorer.predict("qabcq")[0] == "aa" and scorer.predict("yzq")[0] == "bb"
+
+
+def test_little_room_for_vectors(spark, monkeypatch):
+    """Words that don't fit into what a task keeps are looked up again."""
+    rows = invented(60)
+    model = langid.learn(frame(spark, rows))
+    want = [langid.Scorer(model).predict(t) for _, t, _ in rows]
+    for room in (1, 1000):
+        monkeypatch.setattr(langid, "CACHE_BYTES", room)
+        scorer = langid.Scorer(model)
+        for (_, text, _), (lang, score) in zip(rows, want, strict=True):
+            got = scorer.predict(text)
+            assert got[1] == pytest.approx(score) and (got[0] == lang or score < 0.67)
 
 
 def test_entries_are_bounded(spark):
