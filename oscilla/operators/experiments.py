@@ -6,12 +6,13 @@ or cheap to read. What is split here is written first.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterable
+from collections.abc import Callable, Iterable, Iterator
+from functools import reduce
 
-from pyspark.ml.classification import MultilayerPerceptronClassifier, RandomForestClassifier
+from pyspark.ml.classification import RandomForestClassifier
 from pyspark.ml.feature import StringIndexer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..staging import staged
@@ -20,16 +21,16 @@ from . import networks, splits
 RESULT = "stage string, name string, features string, acc double, f1 double, n_train bigint, n_test bigint"
 
 
-def accuracy_macro_f1(pairs: DataFrame, truth: str, predicted: str) -> DataFrame:
-    """(accuracy, f1_macro, n): F1 without weights over all labels that occur on either side, 0 where it has no base."""
-    cells = pairs.groupBy(F.col(truth).alias("t"), F.col(predicted).alias("p")).agg(F.count(F.lit(1)).alias("n"))
+def accuracy_macro_f1(pairs: DataFrame, truth: str, predicted: str, by: tuple[str, ...] = ()) -> DataFrame:
+    """(accuracy, f1_macro, n), of each group of by: F1 without weights over all labels that occur on either side, 0 where it has no base."""
+    cells = pairs.groupBy(*by, F.col(truth).alias("t"), F.col(predicted).alias("p")).agg(F.count(F.lit(1)).alias("n"))
     hit = F.when(F.col("t") == F.col("p"), F.col("n")).otherwise(0)
-    sides = cells.select(F.col("t").alias("label"), hit.alias("hit"), F.col("n").alias("true"), F.lit(0).alias("said")).unionByName(
-        cells.select(F.col("p").alias("label"), F.lit(0).alias("hit"), F.lit(0).alias("true"), F.col("n").alias("said"))
+    sides = cells.select(*by, F.col("t").alias("label"), hit.alias("hit"), F.col("n").alias("true"), F.lit(0).alias("said")).unionByName(
+        cells.select(*by, F.col("p").alias("label"), F.lit(0).alias("hit"), F.lit(0).alias("true"), F.col("n").alias("said"))
     )
-    by_label = sides.groupBy("label").agg(F.sum("hit").alias("hit"), F.sum("true").alias("true"), F.sum("said").alias("said"))
+    by_label = sides.groupBy(*by, "label").agg(F.sum("hit").alias("hit"), F.sum("true").alias("true"), F.sum("said").alias("said"))
     f1 = 2.0 * F.col("hit") / (F.col("true") + F.col("said"))
-    return by_label.agg((F.sum("hit") / F.sum("true")).alias("accuracy"), F.avg(f1).alias("f1_macro"), F.sum("true").cast("long").alias("n"))
+    return by_label.groupBy(*by).agg((F.sum("hit") / F.sum("true")).alias("accuracy"), F.avg(f1).alias("f1_macro"), F.sum("true").cast("long").alias("n"))
 
 
 def scaling(train: DataFrame, columns: list[str]) -> dict[str, tuple[float, float]]:
@@ -70,18 +71,58 @@ def class_scores(model, df: DataFrame, columns: list[str]) -> DataFrame:
     return model.transform(_vectors(df, columns)).withColumn("argmax", F.array_position(p, F.array_max(p)) - 1)
 
 
-def perceptron(train: DataFrame, columns: list[str], label: str, classes: int, hidden: tuple[int, ...] = (64, 32), seed: int = 42, rounds: int = 100):
-    """A multilayer perceptron with sigmoid layers, fit by L-BFGS over all executors: for more rows than ``networks`` holds in a task."""
-    layers = [len(columns), *hidden, classes]
-    return MultilayerPerceptronClassifier(labelCol=label, featuresCol="_features", layers=layers, maxIter=rounds, seed=seed).fit(_vectors(train, columns))
+def scaled_by_run(rows: DataFrame, learned_from: Column) -> DataFrame:
+    """rows (run, x ...) with x scaled by the mean and population deviation of each run's rows with learned_from; one pass."""
+    width = rows.agg(F.max(F.size("x"))).first()[0] or 0
+    value = lambda k: F.when(learned_from, F.get("x", F.lit(k)))
+    pairs = [F.struct(F.coalesce(F.avg(value(k)), F.lit(0.0)).alias("m"), F.coalesce(F.nullif(F.stddev_pop(value(k)), F.lit(0.0)), F.lit(1.0)).alias("s")) for k in range(width)]
+    known = rows.groupBy("run").agg(F.array(*pairs).alias("_known"))  # a row a run
+    return rows.join(F.broadcast(known), "run").withColumn("x", F.transform("x", lambda v, k: (v - F.get("_known", k)["m"]) / F.get("_known", k)["s"])).drop("_known")
+
+
+def train_and_score_runs(rows: DataFrame, classes: int, rounds: int = 100, seed: int = 42) -> DataFrame:
+    """(run, accuracy, f1_macro, n_train, n_test) of all runs in rows (run, part: train or test, key, y, x), trained together.
+
+    15 percent of a run's training rows are held back by label to stop its fit; scaling is
+    learned from the others. Rows with a null label or a null or non-finite number in x take no part.
+    """
+    usable = F.col("y").isNotNull() & F.forall("x", lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf")))
+    rows = staged(rows.select("run", "part", "key", F.col("y").cast("int").alias("y"), F.col("x").cast("array<double>").alias("x")).filter(F.coalesce(usable, F.lit(False))), "runs")
+    train = rows.filter("part = 'train'").withColumn("stratum", F.struct("run", "y"))
+    train = splits.stratified_rows(train, "stratum", "key", 0.15, seed).select("run", "key", "y", "x", (F.col("split") == "test").alias("held"))
+    test = rows.filter("part = 'test'").select("run", "key", "y", "x", F.lit(None).cast("boolean").alias("held"))
+    ready = staged(scaled_by_run(train.unionByName(test), ~F.col("held")), "runs-scaled")
+    fitted = networks.fit_all(ready.filter("held is not null"), classes, rounds=rounds, seed=seed)
+    scores = accuracy_macro_f1(networks.predicted_by_run(ready.filter("held is null"), fitted), "y", "prediction", ("run",))
+    sizes = ready.groupBy("run").agg(F.count("held").alias("n_train"))
+    return scores.join(sizes, "run").select("run", "accuracy", "f1_macro", "n_train", F.col("n").alias("n_test"))
+
+
+def run_rows(df: DataFrame, run: str | Column, part: Column, columns: list[str], label: str, key: str) -> DataFrame:
+    """Rows of df for ``train_and_score_runs``; those whose part is null are in neither."""
+    x = F.array(*(F.col(f"`{c}`").cast("double") for c in columns))
+    run = F.lit(run) if isinstance(run, str) else run
+    return df.select(run.alias("run"), part.alias("part"), F.col(key).alias("key"), F.col(label).alias("y"), x.alias("x")).filter("part is not null")
+
+
+def loads_left_out(df: DataFrame, stage: str, columns: list[str], label: str, load: str, key: str, loads: Iterable[int]) -> DataFrame:
+    """The rows of one run for each load, named stage|load k left out: each row once a run. Rows without a load are in none."""
+    held = F.explode(F.array(*(F.lit(k) for k in loads))).alias("_held")
+    each = df.filter(F.col(load).isNotNull()).select("*", held)
+    run = F.concat(F.lit(f"{stage}|load "), F.col("_held").cast("string"), F.lit(" left out"))
+    return run_rows(each, run, F.when(F.col(load) == F.col("_held"), "test").otherwise("train"), columns, label, key)
+
+
+def results_of(scores: DataFrame, features: Column) -> DataFrame:
+    """RESULT rows of scores (run as stage|name ...)."""
+    stage, name = (F.split("run", r"\|")[k] for k in (0, 1))
+    return scores.select(stage.alias("stage"), name.alias("name"), features.alias("features"), F.col("accuracy").alias("acc"), F.col("f1_macro").alias("f1"), "n_train", "n_test")
 
 
 def train_and_score_perceptron(train: DataFrame, test: DataFrame, columns: list[str], label: str, classes: int, key: str, rounds: int = 100) -> DataFrame:
-    """15 percent of train held back by label to stop the fit, scaling learned on the rest, scores on test."""
-    held = staged(splits.stratified_rows(train.select(key, label, *(F.col(f"`{c}`") for c in columns)), label, key, 0.15), "held-back")
-    known = scaling(held.filter("split = 'train'"), columns)
-    layers = networks.fit(scaled(held, known), columns, label, F.col("split") == "test", key, classes, rounds)
-    return accuracy_macro_f1(networks.predicted(scaled(test, known), layers, columns, label), "y", "prediction")
+    """(accuracy, f1_macro, n_train, n) of one run."""
+    sides = [run_rows(df, "", F.lit(part), columns, label, key) for df, part in ((train, "train"), (test, "test"))]
+    return train_and_score_runs(sides[0].unionByName(sides[1]), classes, rounds).select("accuracy", "f1_macro", "n_train", F.col("n_test").alias("n"))
 
 
 def compare_splits(features: DataFrame, columns: list[str], label: str, key: str, file: str, seed: int = 42, trees: int = 100, depth: int = 20) -> DataFrame:
@@ -121,37 +162,33 @@ def fold_means(results: DataFrame) -> DataFrame:
     return results.groupBy("stage", "features").agg(F.avg("acc").alias("acc"), F.avg("f1").alias("f1"), F.count(F.lit(1)).alias("folds"))
 
 
-def standard_plan(hilbert: DataFrame, square_law: DataFrame, columns: list[str], label: str, load: str, file: str, key: str, loads: Iterable[int], classes: int, best: int = 30, rounds: int = 100) -> list[tuple[str, str, str, Callable[[], DataFrame]]]:
-    """The sixteen runs. On Hilbert features: A1 random rows, A2 random files, A3 each load left out. On square-law
-    features: B2 each load left out; then with the best features of a forest over all rows, C3 each load left out,
-    D1 random rows, D2 random files (the validation files stay out)."""
-    chosen: list[str] = []
+def standard_runs(hilbert: DataFrame, square_law: DataFrame, columns: list[str], label: str, load: str, file: str, key: str, loads: Iterable[int], best: int = 30) -> Iterator[tuple[str, DataFrame]]:
+    """The sixteen runs in two groups of rows, each with the name of its features. On Hilbert features: A1 random rows,
+    A2 random files, A3 each load left out. On square-law features: B2 each load left out; then with the best features of
+    a forest over all rows, C3 each load left out, D1 random rows, D2 random files (the validation files stay out)."""
+    loads = list(loads)
 
-    def top() -> list[str]:
-        if not chosen:
-            chosen.extend(r.feature for r in importances(square_law.sparkSession, forest(square_law, columns, label), columns, best).collect())
-        return chosen
+    def by_rows(df: DataFrame, stage: str, names: list[str]) -> DataFrame:
+        return run_rows(splits.stratified_rows(df, label, key), f"{stage}|random rows", F.col("split"), names, label, key)
 
-    def by_rows(df: DataFrame) -> tuple[DataFrame, DataFrame]:
-        split = splits.stratified_rows(df, label, key)
-        return split.filter("split = 'train'").drop("split"), split.filter("split = 'test'").drop("split")
+    def by_files(df: DataFrame, stage: str, names: list[str]) -> DataFrame:
+        kinds = splits.stratified_files(df.select(file, label, load).distinct(), label, load, file).select(file, "split")
+        return run_rows(df.join(kinds, file), f"{stage}|random files", F.when(F.col("split") != "val", F.col("split")), names, label, key)
 
-    def by_files(df: DataFrame) -> tuple[DataFrame, DataFrame]:
-        kinds = splits.stratified_files(df.select(file, label, load).distinct(), label, load, file)
-        side = lambda name: df.join(kinds.filter(F.col("split") == name).select(file), file, "left_semi")
-        return side("train"), side("test")
+    def by_load(df: DataFrame, stage: str, names: list[str]) -> DataFrame:
+        return loads_left_out(df, stage, names, label, load, key, loads)
 
-    def by_load(df: DataFrame, held: int) -> tuple[DataFrame, DataFrame]:
-        return df.filter(F.col(load) != held), df.filter(F.col(load) == held)
+    first = by_rows(hilbert, "A1", columns), by_files(hilbert, "A2", columns), by_load(hilbert, "A3", columns), by_load(square_law, "B2", columns)
+    yield "all", reduce(DataFrame.unionByName, first)
+    top = [r.feature for r in importances(square_law.sparkSession, forest(square_law, columns, label), columns, best).collect()]
+    second = by_load(square_law, "C3", top), by_rows(square_law, "D1", top), by_files(square_law, "D2", top)
+    yield f"top {best}", reduce(DataFrame.unionByName, second)
 
-    def one(sides: tuple[DataFrame, DataFrame], names: Callable[[], list[str]]) -> Callable[[], DataFrame]:
-        return lambda: train_and_score_perceptron(*sides, names(), label, classes, key, rounds)
 
-    everything = lambda: columns
-    out = [("A1", "random rows", "all", one(by_rows(hilbert), everything)), ("A2", "random files", "all", one(by_files(hilbert), everything))]
-    for stage, df, kind, names in (("A3", hilbert, "all", everything), ("B2", square_law, "all", everything), ("C3", square_law, f"top {best}", top)):
-        out += [(stage, f"load {held} left out", kind, one(by_load(df, held), names)) for held in loads]
-    return [*out, ("D1", "random rows", f"top {best}", one(by_rows(square_law), top)), ("D2", "random files", f"top {best}", one(by_files(square_law), top))]
+def standard_experiments(hilbert: DataFrame, square_law: DataFrame, columns: list[str], label: str, load: str, file: str, key: str, loads: Iterable[int], classes: int, best: int = 30, rounds: int = 100) -> DataFrame:
+    """The results of the sixteen runs: those of a group are trained together."""
+    groups = standard_runs(hilbert, square_law, columns, label, load, file, key, loads, best)
+    return reduce(DataFrame.unionByName, [results_of(staged(train_and_score_runs(rows, classes, rounds), "run-scores"), F.lit(features)) for features, rows in groups])
 
 
 def save(model, path: str, columns: list[str]) -> None:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -310,9 +312,21 @@ def rf_split_comparison(spark, sf_dir):
 
 
 def mlp_lolo(spark, sf_dir):
+    """Four networks, one for each load left out, trained together."""
     df, columns = _labelled(spark, sf_dir)
-    plan = [("A3", f"load {k} left out", "all", lambda k=k: experiments.train_and_score_perceptron(df.filter(F.col("Load") != k), df.filter(F.col("Load") == k), columns, "Label", 4, "vec_id")) for k in range(4)]
-    return experiments.run_experiments(spark, plan)
+    scores = experiments.train_and_score_runs(experiments.loads_left_out(df, "A3", columns, "Label", "Load", "vec_id", range(4)), 4)
+    return experiments.results_of(scores, F.lit("all"))
+
+
+def model_split_sizes(spark, sf_dir):
+    """Rows on either side of every split that the models are trained on, and those held back to stop a fit."""
+    df = table(spark, sf_dir, "embeddings").filter("label is not null").select("vec_id", (F.col("label") % 4).cast("int").alias("Label"), (F.col("vec_id") % 4).cast("int").alias("Load"), (F.col("vec_id") / 5).cast("int").alias("file"), F.lit(0.0).alias("f"))
+    lolo = experiments.loads_left_out(df, "A3", ["f"], "Label", "Load", "vec_id", range(4))
+    held = splits.stratified_rows(lolo.filter("part = 'train'").withColumn("stratum", F.struct("run", "y")), "stratum", "key", 0.15)
+    sides = [("random", splits.random_rows(df, "vec_id")), ("file", splits.by_file(df, "file"))]
+    rows = [x.select(F.lit(name).alias("name"), F.col("split").alias("side")) for name, x in sides]
+    rows += [lolo.select(F.col("run").alias("name"), F.col("part").alias("side")), held.filter("split = 'test'").select(F.col("run").alias("name"), F.lit("held back").alias("side"))]
+    return reduce(DataFrame.unionByName, rows).groupBy("name", "side").agg(F.count(F.lit(1)).alias("n"))
 
 
 QUERIES = {
@@ -322,7 +336,7 @@ QUERIES = {
         class_label, file_id, dq_flags, dq_messages, dq_rule_counts, dq_rules_hit, dq_keyword_counts, dq_warned_rows, dq_edge_cases, pivot_label_load, class_counts, load_counts,
         load_imbalance, warn_rate, distinct_files, boxplot_stats, representative_file, pick_file, topk, order_pivot, percent_table, jaccard_pairs, set_sizes,
         semi_files, anti_files, split_random, split_by_file, split_stratified_files, split_stratified_rows, lolo_folds, lolo_split, leakage_overlap,
-        accuracy_macro_f1, standard_scale, rf_importance, rf_split_comparison, mlp_lolo,
+        accuracy_macro_f1, standard_scale, rf_importance, rf_split_comparison, mlp_lolo, model_split_sizes,
     )
 }
 
@@ -343,7 +357,14 @@ _BY_FILE = "SELECT event_id, user_id, split FROM events JOIN (SELECT user_id, CA
 _LEAK = "SELECT '{0}' AS split, count(*)::BIGINT AS files FROM (SELECT user_id FROM ({1}) GROUP BY user_id HAVING count(*) FILTER (split = 'train') > 0 AND count(*) FILTER (split = 'test') > 0)"
 _USERS = "SELECT o_custkey FROM orders WHERE o_totalprice > 400000"
 _PLANTED = ", ".join("(" + ", ".join("NULL" if v is None else repr(v) for v in row) + ")" for row in PLANTED)
+_RUNS = "l AS (SELECT vec_id, label % 4 AS y, 'A3|load ' || k || ' left out' AS name, CASE WHEN vec_id % 4 = k THEN 'test' ELSE 'train' END AS side FROM embeddings, (SELECT unnest([0, 1, 2, 3]) AS k) WHERE label IS NOT NULL)"
+_SIZES = f"""WITH e AS (SELECT vec_id, vec_id // 5 AS f FROM embeddings WHERE label IS NOT NULL), {_RUNS},
+a AS (SELECT CASE WHEN row_number() OVER (ORDER BY md5('42|' || vec_id), vec_id) <= floor(count(*) OVER () * 0.3) THEN 'test' ELSE 'train' END AS side FROM e),
+g AS (SELECT f, CASE WHEN row_number() OVER (ORDER BY md5('42|' || f), f) <= greatest(floor(count(*) OVER () * 0.3), 1) THEN 'test' ELSE 'train' END AS side FROM (SELECT DISTINCT f FROM e)),
+h AS (SELECT name, row_number() OVER w <= round(count(*) OVER (PARTITION BY name, y) * 0.15::DOUBLE) AS held FROM l WHERE side = 'train' WINDOW w AS (PARTITION BY name, y ORDER BY md5('42|' || vec_id), vec_id))
+SELECT name, side, count(*)::BIGINT AS n FROM (SELECT 'random' AS name, side FROM a UNION ALL SELECT 'file', side FROM e JOIN g USING (f) UNION ALL SELECT name, side FROM l UNION ALL SELECT name, 'held back' FROM h WHERE held) GROUP BY ALL"""
 ORACLES = {
+    "model_split_sizes": _SIZES,
     "fault_frequencies": f"WITH {_LOADS} SELECT load, " + ", ".join(f"{r6(e, 2)} AS {k}" for k, e in _F.items()) + " FROM l",
     "order_table": f"WITH {_LOADS} SELECT load, " + ", ".join(f"{r6(f'{e} / (rpm / 60.0::DOUBLE)', 3)} AS {k}_order" for k, e in _F.items() if k != "f_rot") + " FROM l",
     "fault_multipliers": f"WITH {MANIFEST} SELECT k, " + ", ".join(f"{r6(f'({_CASE}) / 60.0::DOUBLE * {m}::DOUBLE')} AS {n}" for n, m in FAULT_MULTIPLIERS.items()) + " FROM p",

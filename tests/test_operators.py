@@ -59,13 +59,20 @@ def test_scaling_of_a_constant(spark):
     assert known == {"a.b": (2.0, 1.0), "c": (5.0, 1.0)}
 
 
-def test_experiment_plan_has_sixteen_runs(spark):
+def test_sixteen_runs_in_two_fits(spark, monkeypatch):
+    from oscilla.operators import networks
+
     rows = spark.range(400).select("id", (F.col("id") % 4).cast("int").alias("Label"), (F.col("id") / 4 % 4).cast("int").alias("Load"), F.format_string("f%d", (F.col("id") / 8).cast("int")).alias("Filepath"), (F.col("id") % 4 + F.rand(1) / 4).alias("RMS"), F.rand(2).alias("Amp.x"))
-    plan = experiments.standard_plan(rows, rows, ["RMS", "Amp.x"], "Label", "Load", "Filepath", "id", (0, 1, 2, 3), 4, best=1, rounds=60)
-    assert [p[0] for p in plan] == ["A1", "A2", *["A3"] * 4, *["B2"] * 4, *["C3"] * 4, "D1", "D2"]
-    results = experiments.run_experiments(spark, [plan[0], plan[2], plan[-2]])
-    assert results.count() == 3 and results.filter("acc > 0.6").count() == 3
-    assert experiments.fold_means(results).count() == 3
+    groups = list(experiments.standard_runs(rows, rows, ["RMS", "Amp.x"], "Label", "Load", "Filepath", "id", (0, 1, 2, 3), best=1))
+    parts = [{(r.run, r.part): r["count"] for r in df.groupBy("run", "part").count().collect()} for _, df in groups]
+    assert [(name, len({run for run, _ in p})) for (name, _), p in zip(groups, parts, strict=True)] == [("all", 10), ("top 1", 6)]
+    assert all(parts[0][f"{s}|load {k} left out", "test"] == 100 and parts[0][f"{s}|load {k} left out", "train"] == 300 for s in ("A3", "B2") for k in range(4))
+    assert {size for (size,) in groups[1][1].select(F.size("x")).distinct().collect()} == {1}
+    jobs = []
+    monkeypatch.setattr(networks, "fit_all", lambda rows, *a, f=networks.fit_all, **k: jobs.append(rows.select("run").distinct().count()) or f(rows, *a, **k))
+    results = experiments.standard_experiments(rows, rows, ["RMS", "Amp.x"], "Label", "Load", "Filepath", "id", (0, 1, 2, 3), 4, best=1, rounds=60).collect()
+    assert jobs == [10, 6] and len(results) == 16 and all(r.acc > 0.6 and r.n_train > 0 for r in results)
+    assert experiments.fold_means(spark.createDataFrame(results, experiments.RESULT)).count() == 7
 
 
 def test_top_features_by_fold(spark, tmp_path):
@@ -125,11 +132,75 @@ def test_network_leaves_out_unusable_rows(spark):
     layers = networks.fit(rows, ["a.b"], "y", F.col("id") > 49, "id", 2, rounds=60)
     got = networks.predicted(rows.filter("id < 110"), layers, ["a.b"], "y")
     assert got.count() == 61 and got.filter("y = prediction").count() == 60
-    with pytest.raises(ValueError):
-        networks.fit(rows, ["a.b"], "y", F.lit(False), "id", 2, limit=10)
     assert networks.predicted(rows.filter("false"), networks.fit(rows.filter("false"), ["a.b"], "y", F.lit(False), "id", 2), ["a.b"], "y").count() == 0
 
 
+def _numbered_runs(spark, seed=7):
+    """Rows of two runs of different widths, some held back."""
+    import numpy as np
+
+    rng = np.random.default_rng(seed)
+    rows = []
+    for run, width, count in (("a", 3, 240), ("b", 2, 160)):
+        x = rng.normal(size=(count, width))
+        rows += [(run, k, k % 5 == 0, int(v[0] + v[1] > 0), v.tolist()) for k, v in enumerate(x)]
+    return spark.createDataFrame(rows, "run string, key bigint, held boolean, y int, x array<double>")
+
+
+def test_one_lane_is_the_sequential_fit(spark):
+    import numpy as np
+
+    from oscilla.operators import networks
+
+    rows = _numbered_runs(spark)
+    fitted = networks.fit_all(rows, 2, hidden=(8,), rounds=12, patience=3)
+    lanes, runs = networks.lanes_of(rows)
+    assert runs == {"a": (3, 1), "b": (2, 1)} and lanes.df.count() == 2
+    # by rounds, a job each, it is the same fit
+    by_rounds = {run: networks.fresh(width, 2, (8,), 42) for run, (width, _) in runs.items()}
+    for turn in range(2):
+        for r in networks.a_round(lanes.df, by_rounds, 42, turn, True):
+            by_rounds[r.run].unpacked(np.array(r.numbers) / r.rows)
+    for r in lanes.df.collect():
+        sides = [(np.array(x).reshape(-1, runs[r.run][0]), np.array(y, int)) for x, y in ((r.train_x, r.train_y), (r.test_x, r.test_y))]
+        two = networks.trained(*sides[0], np.zeros((0, 1)), np.zeros(0), 2, hidden=(8,), rounds=2, run=r.run)
+        assert all(np.allclose(w, v, atol=1e-9) and np.allclose(b, c, atol=1e-9) for (w, b), (v, c) in zip(two, by_rounds[r.run].layers, strict=True))
+        want = networks.trained(*sides[0], *sides[1], 2, hidden=(8,), rounds=12, patience=3, run=r.run)
+        for (w, b), (v, c) in zip(want, fitted[r.run], strict=True):
+            np.testing.assert_allclose(w, v, atol=1e-9)
+            np.testing.assert_allclose(b, c, atol=1e-9)
+    lanes.drop()
+
+
+def test_lanes_are_averaged_whatever_the_tasks(spark):
+    """Several lanes learn as well, and one task gives what four give."""
+    import numpy as np
+
+    from oscilla.operators import networks
+
+    rows, made = _numbered_runs(spark), []
+    for tasks in (1, 4):
+        spark.conf.set("spark.sql.shuffle.partitions", tasks)
+        made.append(networks.fit_all(rows.coalesce(tasks), 2, hidden=(8,), rounds=10, lane_values=300))
+    spark.conf.set("spark.sql.shuffle.partitions", 4)
+    lanes, runs = networks.lanes_of(rows, 300)
+    assert runs == {"a": (3, 3), "b": (2, 2)} and lanes.df.count() == 5
+    lanes.drop()
+    for run in ("a", "b"):
+        for (w, b), (v, c) in zip(made[0][run], made[1][run], strict=True):
+            np.testing.assert_allclose(w, v, atol=1e-9)
+            np.testing.assert_allclose(b, c, atol=1e-9)
+    for run, (width, _) in runs.items():
+        x, y = (np.array(v) for v in zip(*((r.x, r.y) for r in rows.filter(F.col("run") == run).collect()), strict=True))
+        assert networks.loss(made[0][run], x, y) < 0.97 * networks.loss(networks.fresh(width, 2, (8,), 42).layers, x, y)
+
+
+def test_scaling_by_run(spark):
+    rows = spark.createDataFrame([("a", True, [1.0, 5.0]), ("a", True, [3.0, 5.0]), ("a", False, [2.0, 6.0]), ("b", True, [10.0]), ("b", None, [12.0]), ("c", False, [4.0])], "run string, held boolean, x array<double>")
+    got = sorted((r.run, r.x) for r in experiments.scaled_by_run(rows, F.col("held")).collect())
+    assert got == [("a", [-1.0, 0.0]), ("a", [0.0, 1.0]), ("a", [1.0, 0.0]), ("b", [0.0]), ("b", [2.0]), ("c", [4.0])]
+
+
 def test_scratch_tables_go(spark):
     from pathlib import Path
 

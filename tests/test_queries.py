@@ -4,6 +4,7 @@ import math
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 from oscilla.plans import long_recordings, manifests, signals
 
@@ -66,14 +67,15 @@ def test_models_are_whole(spark, monkeypatch):
 
         return run
 
-    scores = spark.sql("SELECT 1.0D AS accuracy, 1.0D AS f1_macro, 1L AS n")
-    monkeypatch.setattr(experiments, "train_and_score_perceptron", seen(experiments.train_and_score_perceptron, scores))
+    scores = spark.sql("SELECT 'A3|x' AS run, 1.0D AS accuracy, 1.0D AS f1_macro, 1L AS n_train, 1L AS n_test")
+    monkeypatch.setattr(experiments, "train_and_score_runs", seen(experiments.train_and_score_runs, scores))
     monkeypatch.setattr(experiments, "importances", lambda *_: scores)
     monkeypatch.setattr(experiments, "forest", seen(experiments.forest, None))
     monkeypatch.setattr(experiments, "compare_splits", seen(experiments.compare_splits, scores))
-    assert [r.name for r in QUERIES["mlp_lolo"](spark, SF).collect()] == [f"load {k} left out" for k in range(4)]
-    loads = lambda df: {r.Load for r in df.select("Load").distinct().collect()}
-    assert [(loads(x["test"]), loads(x["train"]), x["rounds"]) for x in fits] == [({k}, {0, 1, 2, 3} - {k}, 100) for k in range(4)]
+    assert [r.name for r in QUERIES["mlp_lolo"](spark, SF).collect()] == ["x"]
+    sides = {(r.run, r.part): set(r.loads) for r in fits[0]["rows"].groupBy("run", "part").agg(F.collect_set(F.col("key") % 4).alias("loads")).collect()}
+    assert sides == {(f"A3|load {k} left out", part): ({k} if part == "test" else {0, 1, 2, 3} - {k}) for k in range(4) for part in ("train", "test")}
+    assert len(fits) == 1 and fits[0]["rounds"] == 100
     fits.clear()
     QUERIES["rf_importance"](spark, SF)
     QUERIES["rf_split_comparison"](spark, SF)
@@ -94,8 +96,8 @@ def test_models_end_and_split_all_rows(spark, duck):
     assert got["random"].n_test == total * 3 // 10 and got["random"].n_train == total - got["random"].n_test
     assert got["file"].n_test == in_test and got["file"].n_train == total - in_test
     by_load = dict(duck.sql("SELECT vec_id % 4, count(*) FROM embeddings WHERE label IS NOT NULL GROUP BY 1").fetchall())
-    runs = QUERIES["mlp_lolo"](spark, SF).collect()
-    assert [r.n_test for r in runs] == [by_load[k] for k in range(4)]
+    runs = sorted(QUERIES["mlp_lolo"](spark, SF).collect(), key=lambda r: r.name)
+    assert [r.n_test for r in runs] == [by_load[k] for k in range(4)] and [r.n_train for r in runs] == [total - by_load[k] for k in range(4)]
     assert all(0 <= r.acc <= 1 and 0 <= r.f1 <= 1 for r in runs)
     top = QUERIES["rf_importance"](spark, SF).collect()
     assert len(top) == 10 and sum(r.importance for r in top) <= 1 + 1e-9
