@@ -28,7 +28,7 @@ import math
 import re
 import unicodedata
 from collections import Counter, defaultdict
-from collections.abc import Iterator
+from collections.abc import Collection, Iterator
 from itertools import batched
 
 import numpy as np
@@ -128,26 +128,33 @@ class Model:
                     where.append(place[lang])
                     above.append(log - floors[level][place[lang]])
                 starts.append(len(where))
+        self.by_order = [(order, self.index.get(order, {})) for order in ORDERS]
         self.starts, self.where, self.above = np.array(starts), np.array(where, np.int32), np.array(above)
 
     def backed_off(self, word: str) -> tuple[int, list[int]]:
         """The longest order of which n-grams of an unseen word are known, and these; 0 if none is."""
-        for order in ORDERS:
-            known = self.index.get(order, {})
-            if found := [known[g] for g in grams_of(word, order) if g in known]:
+        for order, known in self.by_order:
+            if found := [slot for slot in map(known.get, grams_of(word, order)) if slot is not None]:
                 return order, found
         return 0, []
 
-    def vector(self, word: str) -> np.ndarray:
-        """What one occurrence of a word adds to every language's log likelihood."""
-        level, slots = 0, [slot] if (slot := self.index.get(0, {}).get(word)) is not None else []
-        if not slots:
-            level, slots = self.backed_off(word)
-        out = np.zeros(len(self.langs))
-        for slot in slots:
-            some = slice(self.starts[slot], self.starts[slot + 1])
-            out[self.where[some]] += self.above[some]
-        return self.floors[level] + out / len(slots) if slots else out
+    def vectors(self, words: list[str]) -> np.ndarray:
+        """A row a word: what one occurrence of it adds to every language's log likelihood."""
+        known, width = self.index.get(0, {}), len(self.langs)
+        slots: list[int] = []
+        found = [(0, [slot]) if (slot := known.get(word)) is not None else self.backed_off(word) for word in words]
+        for _, some in found:
+            slots += some
+        levels, sizes = np.array([level for level, _ in found]), np.array([len(some) for _, some in found])
+        at = np.array(slots, int)
+        entries = self.starts[at + 1] - self.starts[at]
+        flat = np.repeat(self.starts[at + 1] - np.cumsum(entries), entries) + np.arange(entries.sum())
+        owner = np.repeat(np.repeat(np.arange(len(words)), sizes), entries)
+        out = np.bincount(owner * width + self.where[flat], self.above[flat] / sizes[owner], len(words) * width).reshape(len(words), width)
+        for level in np.unique(levels):
+            some = (levels == level) & (sizes > 0)
+            out[some] += self.floors[level]
+        return out
 
 
 class Scorer:
@@ -159,31 +166,36 @@ class Scorer:
         self.known: dict[str, int] = {}
         self.vectors = np.zeros((min(self.most, 1024), len(self.langs)))
 
-    def placed(self, words: tuple[str, ...]) -> list[int]:
+    def placed(self, words: Collection[str]) -> np.ndarray:
         """Where the vectors of these words (self.most at most) stand."""
-        found = [self.known.get(w, -1) for w in words]
-        fresh = [k for k, at in enumerate(found) if at < 0]
-        if not fresh:
-            return found
-        if len(self.known) + len(fresh) > self.most:
-            self.known.clear()
-            return self.placed(words)
-        if len(self.known) + len(fresh) > len(self.vectors):
-            more = min(self.most, 2 * (len(self.known) + len(fresh)))
-            self.vectors = np.concatenate([self.vectors, np.zeros((more - len(self.vectors), len(self.langs)))])
-        for k in fresh:
-            at = found[k] = self.known[words[k]] = len(self.known)
-            self.vectors[at] = self.model.vector(words[k])
-        return found
+        found = list(map(self.known.get, words))
+        if None in found:
+            fresh = [w for w, at in zip(words, found, strict=True) if at is None]
+            first, size = len(self.known), len(self.known) + len(fresh)
+            if size > self.most:
+                self.known.clear()
+                return self.placed(words)
+            if size > len(self.vectors):
+                more = min(self.most, 2 * size)
+                self.vectors = np.concatenate([self.vectors[:first], np.zeros((more - first, len(self.langs)))])
+            self.known.update(zip(fresh, range(first, size), strict=True))
+            self.vectors[first:size] = self.model.vectors(fresh)
+            found = list(map(self.known.get, words))
+        return np.fromiter(found, np.intp, len(found))
 
     def likelihoods(self, words: list[str]) -> np.ndarray:
         """The log likelihood of the words in every language."""
         counts, total = Counter(words), np.zeros(len(self.langs))
-        for some in batched(counts, self.most):
-            at = self.placed(some)
-            total += np.array([counts[w] for w in some], float) @ self.vectors[at]
+        if len(counts) <= self.most:
+            return self._summed(counts.keys(), counts.values())
+        for some in batched(counts.items(), self.most):
+            total += self._summed(*zip(*some, strict=True))
         return total
 
+    def _summed(self, words: Collection[str], counts: Collection[int]) -> np.ndarray:
+        at = self.placed(words)
+        return np.fromiter(counts, float, len(counts)) @ self.vectors[at]
+
     def predict(self, text: str | None) -> tuple[str, float]:
         words = words_of(text or "")
         if not words or not self.langs:
