@@ -150,7 +150,7 @@ class Model:
         entries = self.starts[at + 1] - self.starts[at]
         flat = np.repeat(self.starts[at + 1] - np.cumsum(entries), entries) + np.arange(entries.sum())
         owner = np.repeat(np.repeat(np.arange(len(words)), sizes), entries)
-        out = np.bincount(owner * width + self.where[flat], self.above[flat] / sizes[owner], len(words) * width).reshape(len(words), width)
+        out = np.bincount(owner * width + self.where[flat], self.above[flat] / sizes[owner], len(words) * width).astype(float).reshape(len(words), width)
         for level in np.unique(levels):
             some = (levels == level) & (sizes > 0)
             out[some] += self.floors[level]
