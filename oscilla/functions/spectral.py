@@ -9,7 +9,7 @@ from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import filters
@@ -184,3 +184,18 @@ def amplitude_near(magnitudes: str | Column, n: Column, fs: float, target: Colum
     """Largest magnitude within the closed tolerance about target; 0 without a bin."""
     inside = F.filter(magnitudes, lambda _, k: F.abs(k * F.lit(float(fs)) / n - target) <= tolerance)
     return F.coalesce(F.array_max(inside), F.lit(0.0))
+
+
+def band_energy_by_bins(spectra: DataFrame, bands: DataFrame, widest: float, key: str = "key", hz: str = "hz", magnitude: str = "mag") -> DataFrame:
+    """(key, low, high, energy) of spectra in rows (key, hz, mag) and bands (low, high): the sum of squares over low <= hz < high.
+
+    An interval join without a nested loop: both sides are keyed by cells of the widest
+    band's width, of which a band touches two at most and a frequency one; the exact test
+    follows. Bands with an end that is null, or no wider than 0, have no rows, and neither
+    have bands without a frequency. Bands wider than widest are cut into as many cells as they touch.
+    """
+    cell = lambda c: F.floor(F.col(c) / widest)
+    wide = bands.filter("low < high").select("low", "high", F.explode(F.sequence(cell("low"), cell("high"))).alias("cell"))
+    rows = spectra.select(key, F.col(hz).alias("_hz"), F.col(magnitude).alias("_v"), cell(hz).alias("cell"))
+    found = rows.join(wide, "cell").filter((F.col("_hz") >= F.col("low")) & (F.col("_hz") < F.col("high")))
+    return found.groupBy(key, "low", "high").agg(F.sum(F.col("_v") * F.col("_v")).alias("energy"))

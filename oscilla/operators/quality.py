@@ -6,7 +6,7 @@ load or label is reported for every such row.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from ..config import DIAMETERS, FS, NOMINAL_SECONDS, OTHER_BEARING_DIAMETERS, OTHER_FS, RPM_TOLERANCE, SECONDS_TOLERANCE
@@ -65,14 +65,26 @@ def messages(n: str = "n_samples_DE", load: str = "load_hp", mils: str = "fault_
 
 
 def flagged(manifest: DataFrame, **columns: str) -> DataFrame:
-    """manifest with codes (array), warnings (the codes as text), messages (the full texts) and has_warning."""
-    n, said = F.col(columns.get("n", "n_samples_DE")), messages(**columns)
-    found = F.array_compact(F.array(*(F.when(broken, F.struct(F.lit(code).alias("code"), said[code].alias("message"))) for code, broken in rules(**columns).items())))
-    found = F.when(n.isNull(), F.lit(None)).otherwise(found)
-    nothing = F.array().cast("array<string>")
-    out = manifest.withColumn("_found", found).withColumn("codes", F.coalesce(F.col("_found.code"), nothing))
-    out = out.withColumn("warnings", F.array_join("codes", "; ")).withColumn("messages", F.array_join(F.coalesce(F.col("_found.message"), nothing), "; "))
-    return out.withColumn("has_warning", F.col("warnings") != "").drop("_found")
+    """manifest with codes (array), warnings (the codes as text), messages (the full texts) and has_warning.
+
+    Codes and messages are columns of their own, so where no message is read none is formatted.
+    """
+    skipped, said, broken = F.col(columns.get("n", "n_samples_DE")).isNull(), messages(**columns), rules(**columns)
+    each = lambda value: F.when(skipped, F.array().cast("array<string>")).otherwise(F.array_compact(F.array(*(F.when(test, value(code)) for code, test in broken.items()))))
+    out = manifest.withColumns({"codes": each(F.lit), "messages": F.array_join(each(lambda code: said[code]), "; ")})
+    return out.withColumn("warnings", F.array_join("codes", "; ")).withColumn("has_warning", F.size("codes") > 0)
+
+
+def observed(checked: DataFrame, into: Observation) -> DataFrame:
+    """checked as it is; when it has been written or read whole, ``into`` has the rows, those with a warning and those of each code, counted on the way."""
+    counts = [F.count_if(F.array_contains("codes", code)).alias(code) for code in CODES]
+    return checked.observe(into, F.count(F.lit(1)).alias("rows"), F.count_if("has_warning").alias("warned"), *counts)
+
+
+def observed_counts(spark: SparkSession, seen: Observation) -> DataFrame:
+    """(code, n) of every code, as ``rule_counts``, from an observation."""
+    got = seen.get
+    return spark.createDataFrame([(code, got[code]) for code in CODES], "code string, n bigint")
 
 
 def rule_counts(checked: DataFrame, spark: SparkSession) -> DataFrame:
@@ -89,9 +101,9 @@ def keyword_counts(checked: DataFrame, keywords: tuple[str, ...] = CODES) -> Dat
 
 def expected_codes_found(checked: DataFrame, expected: tuple[str, ...]) -> DataFrame:
     """(code, found): whether each expected code is reported anywhere."""
-    seen = F.coalesce(F.bool_or(F.array_contains("codes", F.col("code"))), F.lit(False))
-    wanted = checked.sparkSession.createDataFrame([(c,) for c in expected], "code string")
-    return wanted.join(checked.select("codes"), F.array_contains("codes", F.col("code")), "left").groupBy("code").agg(seen.alias("found"))
+    wanted = checked.sparkSession.createDataFrame([(c,) for c in dict.fromkeys(expected)], "code string")
+    seen = checked.select(F.explode("codes").alias("code")).distinct().withColumn("found", F.lit(True))
+    return wanted.join(seen, "code", "left").select("code", F.coalesce("found", F.lit(False)).alias("found"))
 
 
 def repeated_content(recordings: DataFrame, key: str = "path", signal: str = "data") -> DataFrame:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from . import selection
+
 
 def counts_by(df: DataFrame, *keys: str) -> DataFrame:
     """Rows by key; rows with a null key don't count."""
@@ -31,19 +33,21 @@ def share(flag: Column, total: Column | None = None) -> Column:
 def boxplot(df: DataFrame, by: str, value: str, accuracy: int | None = None) -> DataFrame:
     """Quartiles (interpolated), whiskers (the furthest values within 1.5 quartile ranges) and mean by group.
 
-    Exact quartiles keep a group's distinct values in memory. With accuracy, they
-    come from a sketch of bounded size instead, with a rank error of 1 / accuracy.
+    Exact quartiles are selected by refining histograms (``selection``), so no task holds a
+    group's values. With accuracy, they come from a sketch instead, with a rank error of
+    1 / accuracy, in one pass.
     """
-    clean = df.filter(F.col(value).isNotNull() & ~F.isnan(value) & F.col(by).isNotNull())
-    shares = F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))
-    quartiles = F.percentile(value, shares) if accuracy is None else F.percentile_approx(value, [0.25, 0.5, 0.75], accuracy)
-    q = clean.groupBy(by).agg(quartiles.alias("q"), F.avg(value).alias("mean"), F.count(F.lit(1)).alias("n"))
-    q = q.select(by, "n", "mean", F.col("q")[0].alias("q1"), F.col("q")[1].alias("median"), F.col("q")[2].alias("q3"))
+    clean = df.select(by, value).filter(F.col(value).isNotNull() & ~F.isnan(value) & F.col(by).isNotNull())
+    if accuracy is None:
+        q = selection.quantiles(clean, by, value, [0.25, 0.5, 0.75])
+    else:
+        q = clean.groupBy(by).agg(F.percentile_approx(value, [0.25, 0.5, 0.75], accuracy).alias("q"), F.count(F.lit(1)).alias("n"))
+    q = q.select(by, "n", F.col("q")[0].alias("q1"), F.col("q")[1].alias("median"), F.col("q")[2].alias("q3"))
     reach = (F.col("q3") - F.col("q1")) * 1.5
     v = F.col(value)
-    within = clean.join(q, by).filter((v >= F.col("q1") - reach) & (v <= F.col("q3") + reach))
-    whiskers = within.groupBy(by).agg(F.min(value).alias("low"), F.max(value).alias("high"))
-    return q.join(whiskers, by)
+    within = (v >= F.col("q1") - reach) & (v <= F.col("q3") + reach)
+    rest = clean.join(q.select(by, "q1", "q3"), by).groupBy(by).agg(F.avg(value).alias("mean"), F.min(F.when(within, v)).alias("low"), F.max(F.when(within, v)).alias("high"))
+    return q.join(rest, by).filter("low is not null").select(by, "n", "mean", "q1", "median", "q3", "low", "high")
 
 
 def representatives(df: DataFrame, by: str, load: str, preferred: int, order: str) -> DataFrame:

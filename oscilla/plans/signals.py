@@ -162,6 +162,15 @@ def band_energy(spark, sf_dir):
     return rows.select("vec_id", F.inline(bands))
 
 
+def band_energy_joined(spark, sf_dir):
+    """The bands with a frequency in them, by a join of spectra in rows with a table of bands."""
+    rows = segments(spark, sf_dir).select("vec_id", F.size("x").alias("n"), F.posexplode(spectral.hann_spectrum(F.col("x"))).alias("k", "mag"))
+    bands = spark.createDataFrame(list(zip(map(float, BAND_EDGES), map(float, BAND_EDGES[1:]), strict=False)), "low double, high double")
+    widest = max(b - a for a, b in zip(BAND_EDGES, BAND_EDGES[1:], strict=False))
+    found = spectral.band_energy_by_bins(rows.withColumn("hz", F.col("k") * float(FS) / F.col("n")), bands, widest, "vec_id")
+    return found.select("vec_id", "low", "high", rounded(F.col("energy"), 9).alias("energy"))
+
+
 def amp_at_fault(spark, sf_dir):
     """Largest magnitude within 100 Hz of each fault frequency at 1797 rpm (mostly no bin is that near: 0)."""
     rows = segments(spark, sf_dir).select("vec_id", F.size("x").alias("n"), spectral.hann_spectrum(F.col("x")).alias("m"))
@@ -342,7 +351,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         class_feature_summary, time_features_centered, time_features_raw, file_features, frames_exclusive, frames_inclusive, frame_features,
-        adjacent_window_diff, waveform_prefix, spectrum_hann, spectrum_raw, rfft_axis, band_energy, amp_at_fault, hilbert_envelope, envelope_spectrum,
+        adjacent_window_diff, waveform_prefix, spectrum_hann, spectrum_raw, rfft_axis, band_energy, band_energy_joined, amp_at_fault, hilbert_envelope, envelope_spectrum,
         full_feature_table, spectrogram_db, iir_lowpass, zero_phase_bandpass, square_law_envelope, bandpassed_envelope, fir_impulse, fir_filter,
         order_spectrum, union_features, mean_removed,
     )
@@ -367,6 +376,8 @@ ORACLES = {
     "rfft_axis": f"WITH {SEGMENTS}, n AS (SELECT DISTINCT len(x)::INTEGER AS n FROM e) SELECT n, k::INTEGER AS k, {r6(f'k * {float(FS)}::DOUBLE / n')} AS hz FROM (SELECT n, unnest(range(0, n // 2 + 1)) AS k FROM n)",
     "band_energy": f"WITH {SEGMENTS}, {_dft('f1', 'e', 'vec_id', _HANN, '2')}, b AS (SELECT unnest([{', '.join(map(str, BAND_EDGES[:-1]))}])::DOUBLE AS low, unnest([{', '.join(map(str, BAND_EDGES[1:]))}])::DOUBLE AS high) "
     f"SELECT vec_id, low, {r6(f'coalesce(sum(CASE WHEN {_BIN} >= low AND {_BIN} < high THEN mag * mag END), 0)', 9)} AS energy FROM f1, b GROUP BY vec_id, low",
+    "band_energy_joined": f"WITH {SEGMENTS}, {_dft('f1', 'e', 'vec_id', _HANN, '2')}, b AS (SELECT unnest([{', '.join(map(str, BAND_EDGES[:-1]))}])::DOUBLE AS low, unnest([{', '.join(map(str, BAND_EDGES[1:]))}])::DOUBLE AS high) "
+    f"SELECT vec_id, low, high, {r6('sum(mag * mag)', 9)} AS energy FROM f1 JOIN b ON {_BIN} >= low AND {_BIN} < high GROUP BY vec_id, low, high",
     "amp_at_fault": f"WITH {SEGMENTS}, {_dft('f1', 'e', 'vec_id', _HANN, '2')} SELECT vec_id, " + ", ".join(f"{r6(f'coalesce(max(CASE WHEN abs({_BIN} - {m * 1797 / 60.0!r}::DOUBLE) <= 100 THEN mag END), 0)')} AS {k}" for k, m in FAULT_MULTIPLIERS.items()) + " FROM f1 GROUP BY vec_id",
     "hilbert_envelope": f"WITH {SEGMENTS}, {_hilbert('e', 'vec_id')} SELECT vec_id, i::INTEGER AS i, {r6('env')} AS env FROM h",
     "envelope_spectrum": f"WITH {SEGMENTS}, {_hilbert('e', 'vec_id')}, {_dft('f1', 'he', 'vec_id', _HANN, '2')} {_DFT_ROWS}",

@@ -5,7 +5,7 @@ from __future__ import annotations
 import hashlib
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import layouts, quality
@@ -45,11 +45,53 @@ def read_csv(spark: SparkSession, path: str, schema: str) -> DataFrame:
 
 def build_manifest(spark: SparkSession, root: str) -> DataFrame:
     """MANIFEST of the recordings below root: parsed paths, inspected files, rules."""
-    found = matfile.inspected(matfile.recordings(spark, root))
+    return manifest_of(matfile.scan(spark, root))
+
+
+def manifest_of(files: DataFrame) -> DataFrame:
+    """MANIFEST of files (path, content)."""
+    found = matfile.inspected(matfile.decoded(files))
     parsed = found.select(F.col("path").alias("file_path"), *(c.alias(k) for k, c in layouts.by_load_folder("path").items()), "n_samples_DE", "n_samples_FE", "n_samples_BA", "rpm_from_file", "read_error")
     return quality.flagged(parsed).select(*(x.split()[0] for x in MANIFEST.split(", ")))
 
 
+def write_checked(manifest: DataFrame, path: str) -> DataFrame:
+    """Writes a manifest, its unreadable files apart, and gives (code, n): how many rows each rule found, counted while writing.
+
+    One pass: the counts are observed on the way, and rows go to the part ``unreadable=true``
+    or ``false`` of the table by their own column.
+    """
+    seen = Observation("rules")
+    codes = F.when(F.col("warnings") == "", F.array().cast("array<string>")).otherwise(F.split("warnings", "; "))
+    checked = quality.observed(manifest.withColumn("codes", codes), seen).drop("codes")
+    checked.withColumn("unreadable", F.col("read_error").isNotNull()).write.mode("overwrite").partitionBy("unreadable").parquet(path)
+    return quality.observed_counts(manifest.sparkSession, seen)
+
+
+def quarantined(spark: SparkSession, path: str) -> DataFrame:
+    """file_path and read_error of the files that ``write_checked`` has put apart."""
+    return spark.read.parquet(path).filter("unreadable = 'true'").select("file_path", "read_error")
+
+
+def updated_manifest(spark: SparkSession, root: str, output: str) -> DataFrame:
+    """MANIFEST of root, kept at output; of new and changed files only the contents are read."""
+    from . import incremental
+
+    return incremental.updated(spark, root, f"{output}/manifest-of-files", manifest_of, "file_path").select(*(x.split()[0] for x in MANIFEST.split(", ")))
+
+
+def updated_features(spark: SparkSession, root: str, output: str, demod: str = "hilbert") -> DataFrame:
+    """The features of the resolved files below root, kept at output; only new and changed files are read."""
+    from ..operators.feature_tables import of_recordings
+    from . import incremental
+
+    def compute(files: DataFrame) -> DataFrame:
+        signals = matfile.channel_of(matfile.decoded(files, "_DE_time"), "_DE_time", "contains")
+        return of_recordings(layouts.resolved(files.select("path"), "path").join(signals, F.col("Filepath") == F.col("path")).drop("path"), demod=demod)
+
+    return incremental.updated(spark, root, f"{output}/features-of-files-{demod}", compute, "Filepath")
+
+
 def get_manifest(spark: SparkSession, output: str, root: str | None = None, force_rebuild: bool = False, **settings) -> DataFrame:
     """The manifest of root, or of synthetic files if there is no root; kept by its source."""
     if root is not None and not exists(spark, root):
