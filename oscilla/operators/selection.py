@@ -15,11 +15,13 @@ Nulls and NaN are no values; infinities count, and are answers where a rank fall
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..staging import Staged, scratch, staged
-from .long_signals import few
+from .long_signals import SMALL
 
 BINS = 4096
 #: Ranges whose ends are further apart than by this factor are divided by exponents.
@@ -44,28 +46,26 @@ def _bin(v: Column, low: Column, high: Column, bins: int) -> Column:
 
 def at_ranks(values: DataFrame, wanted: DataFrame, bins: int = BINS) -> DataFrame:
     """(g, rank, v) for wanted (g, rank, low, high): the rank-th value (from 0) of the group's finite values (g, v), which lie in low ... high."""
-    spark = values.sparkSession
-    with scratch(spark) as kept:
-        done, open_, rest = [], wanted.withColumn("within", F.col("rank")), values
+    with scratch(values.sparkSession) as kept:
+        done, open_, rest, first = [], wanted.withColumn("within", F.col("rank")), values, True
         while True:
             open_ = staged(open_, "ranks")
             done.append(open_.filter("low = high").select("g", "rank", F.col("low").alias("v")))
-            ranges = staged(open_.filter("low < high").select("g", "low", "high").distinct(), "ranges")
-            if ranges.isEmpty():
+            wide = open_.filter("low < high")
+            if not (left := wide.count()):
                 break
             # ranges of a group don't overlap, so a value is in one of them at most
-            inside = rest.join(few(ranges), "g").filter((F.col("v") >= F.col("low")) & (F.col("v") <= F.col("high")))
-            rest = staged(inside, "values")
-            counts = rest.groupBy("g", "low", "high", _bin(F.col("v"), F.col("low"), F.col("high"), bins).alias("bin")).agg(F.count(F.lit(1)).alias("c"), F.min("v").alias("least"), F.max("v").alias("most"))
+            ranges = wide.select("g", "low", "high").distinct()
+            inside = rest.join(F.broadcast(ranges) if left <= SMALL else ranges, "g").filter((F.col("v") >= F.col("low")) & (F.col("v") <= F.col("high")))
+            if not first:
+                inside = staged(inside, "values")
+            counts = inside.groupBy("g", "low", "high", _bin(F.col("v"), F.col("low"), F.col("high"), bins).alias("bin")).agg(F.count(F.lit(1)).alias("c"), F.min("v").alias("least"), F.max("v").alias("most"))
             up_to = Window.partitionBy("g", "low", "high").orderBy("bin").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-            counts = staged(counts.withColumn("after", F.sum("c").over(up_to)), "histogram")  # at most BINS rows a range
-            found = open_.filter("low < high").join(counts, ["g", "low", "high"]).filter((F.col("within") >= F.col("after") - F.col("c")) & (F.col("within") < F.col("after")))
+            counts = counts.withColumn("after", F.sum("c").over(up_to))  # at most BINS rows a range
+            found = wide.join(counts, ["g", "low", "high"]).filter((F.col("within") >= F.col("after") - F.col("c")) & (F.col("within") < F.col("after")))
             open_ = found.select("g", "rank", F.col("least").alias("low"), F.col("most").alias("high"), (F.col("within") - (F.col("after") - F.col("c"))).alias("within"))
-            rest = rest.select("g", "v")
-        out = done[0]
-        for more in done[1:]:
-            out = out.unionByName(more)
-        result = Staged(out, "ranked")
+            rest, first = (values if first else inside.select("g", "v")), False
+        result = Staged(reduce(DataFrame.unionByName, done), "ranked")
         kept.append(result)
     return result.df
 

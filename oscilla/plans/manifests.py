@@ -12,7 +12,7 @@ from ..functions import kinematics
 from ..functions.statistics import rounded
 from ..operators import experiments, layouts, quality, splits, summary
 from ..staging import staged
-from .standins import MANIFEST, manifest, r6, recordings, samples, table
+from .standins import MANIFEST, SPEEDS, manifest, r6, recordings, samples, speeds, table
 
 _LOADS = "l AS (SELECT unnest([0, 1, 2, 3])::INTEGER AS load, unnest([1797, 1772, 1750, 1730])::INTEGER AS rpm)"
 _RATIO = 0.3126 / 1.537
@@ -26,13 +26,14 @@ def _loads(spark: SparkSession) -> DataFrame:
 
 
 def fault_frequencies(spark, sf_dir):
-    return _loads(spark).select("load", *(rounded(c, 2).alias(k) for k, c in kinematics.fault_frequencies(F.col("rpm")).items()))
+    """At the speed of every row of the manifest."""
+    return speeds(spark, sf_dir).select("k", "load", *(rounded(c).alias(n) for n, c in kinematics.fault_frequencies(F.col("rpm")).items()))
 
 
 def order_table(spark, sf_dir):
-    """Fault frequencies as orders: the same at every load."""
+    """Fault frequencies as orders: the same at every speed."""
     found = kinematics.fault_frequencies(F.col("rpm"))
-    return _loads(spark).select("load", *(rounded(kinematics.order_of(c, F.col("rpm")), 3).alias(f"{k}_order") for k, c in found.items() if k != "f_rot"))
+    return speeds(spark, sf_dir).select("k", *(rounded(kinematics.order_of(c, F.col("rpm"))).alias(f"{n}_order") for n, c in found.items() if n != "f_rot"))
 
 
 def fault_multipliers(spark, sf_dir):
@@ -41,14 +42,14 @@ def fault_multipliers(spark, sf_dir):
 
 
 def harmonics(spark, sf_dir):
-    """First three multiples up to 300 Hz of each fault frequency but the rotation's."""
+    """First three multiples up to 300 Hz of each fault frequency but the rotation's, at the speed of every row of the manifest."""
     found = kinematics.fault_frequencies(F.col("rpm"))
 
     def named(fault: str, c: F.Column) -> F.Column:
         return F.transform(kinematics.harmonics(c, 300.0), lambda x: F.struct(F.lit(fault).alias("fault"), x["h"].alias("h"), x["hz"].alias("hz")))
 
     each = [named(k, c) for k, c in found.items() if k != "f_rot"]
-    return _loads(spark).select("load", F.inline(F.concat(*each))).select("load", "fault", "h", rounded(F.col("hz"), 4).alias("hz"))
+    return speeds(spark, sf_dir).select("k", F.inline(F.concat(*each))).select("k", "fault", "h", rounded(F.col("hz")).alias("hz"))
 
 
 def rpm_lookup_default(spark, sf_dir):
@@ -136,8 +137,13 @@ PLANTED = [
 
 
 def dq_edge_cases(spark, sf_dir):
-    rows = spark.createDataFrame(PLANTED, "case int, load_hp int, label string, fault_diameter_mils int, or_position string, n_samples_DE bigint, rpm_from_file double")
-    return quality.flagged(rows).select("case", "warnings")
+    """Every row of the manifest with the values of one planted case in place of its own."""
+    names = ("load_hp", "label", "fault_diameter_mils", "or_position", "n_samples_DE", "rpm_from_file")
+    kinds = ("int", "string", "int", "string", "bigint", "double")
+    case = F.col("k") % len(PLANTED)
+    value = lambda at, kind: F.get(F.array(*(F.lit(row[at]).cast(kind) for row in PLANTED)), case.cast("int"))
+    rows = manifest(spark, sf_dir).select("k", *(value(at + 1, kind).alias(name) for at, (name, kind) in enumerate(zip(names, kinds, strict=True))))
+    return quality.flagged(rows).select("k", (case + 1).cast("int").alias("case"), "warnings")
 
 
 def _flags(source: str) -> str:
@@ -263,7 +269,8 @@ def split_stratified_rows(spark, sf_dir):
 
 
 def lolo_folds(spark, sf_dir):
-    folds = splits.folds(_loads(spark))
+    """Each load of the manifest left out once."""
+    folds = splits.folds(manifest(spark, sf_dir).filter("load_hp is not null").select(F.col("load_hp").alias("load")).distinct())
     return folds.select("test_load", F.array_join("trainval_loads", ",").alias("trainval_loads"))
 
 
@@ -365,10 +372,10 @@ h AS (SELECT name, row_number() OVER w <= round(count(*) OVER (PARTITION BY name
 SELECT name, side, count(*)::BIGINT AS n FROM (SELECT 'random' AS name, side FROM a UNION ALL SELECT 'file', side FROM e JOIN g USING (f) UNION ALL SELECT name, side FROM l UNION ALL SELECT name, 'held back' FROM h WHERE held) GROUP BY ALL"""
 ORACLES = {
     "model_split_sizes": _SIZES,
-    "fault_frequencies": f"WITH {_LOADS} SELECT load, " + ", ".join(f"{r6(e, 2)} AS {k}" for k, e in _F.items()) + " FROM l",
-    "order_table": f"WITH {_LOADS} SELECT load, " + ", ".join(f"{r6(f'{e} / (rpm / 60.0::DOUBLE)', 3)} AS {k}_order" for k, e in _F.items() if k != "f_rot") + " FROM l",
+    "fault_frequencies": f"WITH {MANIFEST}, {SPEEDS} SELECT k, load, " + ", ".join(f"{r6(e)} AS {k}" for k, e in _F.items()) + " FROM w",
+    "order_table": f"WITH {MANIFEST}, {SPEEDS} SELECT k, " + ", ".join(f"{r6(f'{e} / (rpm / 60.0::DOUBLE)')} AS {k}_order" for k, e in _F.items() if k != "f_rot") + " FROM w",
     "fault_multipliers": f"WITH {MANIFEST} SELECT k, " + ", ".join(f"{r6(f'({_CASE}) / 60.0::DOUBLE * {m}::DOUBLE')} AS {n}" for n, m in FAULT_MULTIPLIERS.items()) + " FROM p",
-    "harmonics": f"WITH {_LOADS}, f AS (" + " UNION ALL ".join(f"SELECT load, '{k}' AS fault, {e} AS hz FROM l" for k, e in _F.items() if k != "f_rot") + f") SELECT load, fault, h::INTEGER AS h, {r6('hz * h', 4)} AS hz FROM f, (SELECT unnest([1, 2, 3]) AS h) WHERE hz * h <= 300",
+    "harmonics": f"WITH {MANIFEST}, {SPEEDS}, f AS (" + " UNION ALL ".join(f"SELECT k, '{k}' AS fault, {e} AS hz FROM w" for k, e in _F.items() if k != "f_rot") + f") SELECT k, fault, h::INTEGER AS h, {r6('hz * h')} AS hz FROM f, (SELECT unnest([1, 2, 3]) AS h) WHERE hz * h <= 300",
     "rpm_lookup_default": f"WITH {MANIFEST} SELECT k, load_hp, ({_CASE})::INTEGER AS rpm FROM p",
     "rpm_lookup_inner": f"WITH {MANIFEST}, {_LOADS} SELECT k, load, rpm, {r6('rpm_from_file - rpm')} AS off FROM p JOIN l ON load_hp = load",
     "parse_layout_hp": f"WITH {MANIFEST}, a AS (SELECT path_a, string_split(path_a, '/')[-2] AS folder, regexp_replace(string_split(path_a, '/')[-1], '\\.[^.]*$', '') AS stem FROM p), b AS (SELECT *, starts_with(lower(stem), 'normal') AS n, string_split(stem, '_') AS s FROM a) "
@@ -387,7 +394,7 @@ ORACLES = {
     "dq_rules_hit": f"{_FLAGS}, {_COUNTS} SELECT * FROM n WHERE n > 0",
     "dq_keyword_counts": f"{_FLAGS} SELECT " + ", ".join(f"coalesce(sum((length(warnings) - length(replace(warnings, '{c}', ''))) // length('{c}')), 0)::BIGINT AS \"{c}\"" for c in quality.CODES) + " FROM w",
     "dq_warned_rows": f"{_FLAGS} SELECT k, label, load_hp, warnings FROM w WHERE warnings <> ''",
-    "dq_edge_cases": f"WITH r AS (SELECT * FROM (VALUES {_PLANTED}) t(kase, load_hp, label, fault_diameter_mils, or_position, n_samples_DE, rpm_from_file)), {_flags('r')} SELECT kase::INTEGER AS \"case\", warnings FROM w",
+    "dq_edge_cases": f"WITH c AS (SELECT * FROM (VALUES {_PLANTED}) t(kase, load_hp, label, fault_diameter_mils, or_position, n_samples_DE, rpm_from_file)), r AS (SELECT p_partkey AS k, c.* FROM part JOIN c ON kase = p_partkey % {len(PLANTED)} + 1), {_flags('r')} SELECT k, kase::INTEGER AS \"case\", warnings FROM w",
     "pivot_label_load": f"WITH {MANIFEST} SELECT label, " + ", ".join(f"count(CASE WHEN load_hp = {k} THEN path_a END)::BIGINT AS load_{k}" for k in range(4)) + " FROM p WHERE label IS NOT NULL AND load_hp IS NOT NULL GROUP BY label",
     "class_counts": f"WITH {MANIFEST}, {_TYPES} SELECT class_label, count(*)::BIGINT AS n FROM cl WHERE class_label IS NOT NULL GROUP BY class_label",
     "load_counts": f"WITH {MANIFEST} SELECT load_hp, count(*)::BIGINT AS n FROM p WHERE load_hp IS NOT NULL GROUP BY load_hp",
@@ -412,7 +419,7 @@ ORACLES = {
     "h AS (SELECT *, greatest(1, round_even(n * 0.7::DOUBLE, 0)) AS a0, greatest(1, round_even(n * 0.15::DOUBLE, 0)) AS b0 FROM g), i AS (SELECT *, CASE WHEN a0 + b0 >= n THEN greatest(1, n - 2) ELSE a0 END AS a, CASE WHEN a0 + b0 >= n THEN 1 ELSE b0 END AS b FROM h) "
     "SELECT k, label, load_hp, CASE WHEN r <= a THEN 'train' WHEN r <= a + b THEN 'val' ELSE 'test' END AS split FROM i",
     "split_stratified_rows": "SELECT event_id, event_type, CASE WHEN row_number() OVER (PARTITION BY event_type ORDER BY md5('42|' || event_id), event_id) <= round(count(*) OVER (PARTITION BY event_type) * 0.2::DOUBLE) THEN 'test' ELSE 'train' END AS split FROM events",
-    "lolo_folds": f"WITH {_LOADS} SELECT a.load AS test_load, string_agg(b.load::VARCHAR, ',' ORDER BY b.load) AS trainval_loads FROM l a JOIN l b ON a.load <> b.load GROUP BY a.load",
+    "lolo_folds": f"WITH {MANIFEST}, l AS (SELECT DISTINCT load_hp AS load FROM p WHERE load_hp IS NOT NULL) SELECT a.load AS test_load, string_agg(b.load::VARCHAR, ',' ORDER BY b.load) AS trainval_loads FROM l a JOIN l b ON a.load <> b.load GROUP BY a.load",
     "lolo_split": f"WITH {MANIFEST} SELECT CASE WHEN load_hp = 2 THEN 'test' ELSE 'train' END AS split, count(*)::BIGINT AS n, min(load_hp) AS least, max(load_hp) AS most FROM p WHERE load_hp IS NOT NULL GROUP BY ALL",
     "leakage_overlap": f"{_LEAK.format('random', _SPLIT)} UNION ALL {_LEAK.format('file', _BY_FILE)}",
     "accuracy_macro_f1": "WITH l AS (SELECT quality AS t, toxic AS p FROM labels WHERE quality IS NOT NULL AND toxic IS NOT NULL), k AS (SELECT t AS c FROM l UNION SELECT p FROM l), "

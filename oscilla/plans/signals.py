@@ -8,10 +8,11 @@ from pyspark.sql import functions as F
 
 from ..config import BAND_EDGES, EPS, FAULT_MULTIPLIERS, FS
 from ..functions import filters, spectral
+from ..functions.kinematics import fault_frequencies
 from ..functions.statistics import centered, long_form_features, mean_of, recording_features, rounded, simple_features, windowed_features, with_statistics
 from ..operators import feature_tables, framing
 from ..sources import synthetic
-from .standins import RECORDINGS, SEGMENTS, r6, recordings, samples, segments
+from .standins import MANIFEST, RECORDINGS, SEGMENTS, SPEEDS, r6, recordings, samples, segments, speeds
 
 W, OVERLAP = 16, 0.5
 STEP = framing.step_of(W, OVERLAP)
@@ -304,14 +305,19 @@ def _bandpassed_oracle() -> str:
 
 
 def fir_impulse(spark, sf_dir):
-    """A synthetic recording of 1200 samples without noise, by expressions alone."""
-    rows = synthetic.signal_rows(spark, FS, 0.1, 1797, 107.3, noise=0.0)
-    return rows.select("i", rounded(F.col("t")).alias("t"), rounded(F.col("x")).alias("x"))
-
-
-_FIR = f"""WITH s AS (SELECT unnest(range(0, 1200)) AS i), hit AS (SELECT DISTINCT floor(j / 107.3::DOUBLE * {FS})::BIGINT AS p FROM (SELECT unnest(range(0, 12)) AS j) WHERE floor(j / 107.3::DOUBLE * {FS}) < 1200)
-SELECT s.i, {r6(f"s.i / {float(FS)}::DOUBLE")} AS t, {r6(f"0.5::DOUBLE * sin(2 * pi() * (1797 / 60.0::DOUBLE) * s.i / {FS}) + 1.5::DOUBLE * coalesce(sum(exp(-(s.i - p) / 15.0::DOUBLE) * sin(2 * pi() * 2500 * (s.i - p) / {FS})), 0)")} AS x
-FROM s LEFT JOIN hit ON s.i >= p AND s.i - p < 200 GROUP BY s.i"""
+    """Energy and peak of the 128 samples, without noise, of an outer-race fault at the speed of every row of the manifest."""
+    rpm, i = F.col("rpm"), F.col("i").cast("double")
+    rows = speeds(spark, sf_dir).select("k", "rpm", F.explode(F.sequence(F.lit(0), F.lit(127))).alias("i"))
+    x = synthetic.sample(i, FS, rpm, fault_frequencies(rpm)["BPFO"])
+    return rows.select("k", x.alias("x")).groupBy("k").agg(rounded(F.sum(F.col("x") * F.col("x"))).alias("energy"), rounded(F.max(F.abs("x"))).alias("peak"))
+
+
+_BPFO = f"rpm / 60.0::DOUBLE * (4.5 * (1 - {0.3126 / 1.537!r}::DOUBLE))"
+_FIR = f"""WITH {MANIFEST}, {SPEEDS}, f AS (SELECT k, rpm, {_BPFO} AS hz FROM w), s AS (SELECT k, rpm, unnest(range(0, 128)) AS i FROM f),
+hit AS (SELECT DISTINCT k, floor(j / hz * {FS})::BIGINT AS p FROM f, (SELECT unnest(range(0, 12)) AS j) WHERE floor(j / hz * {FS}) < 128),
+x AS (SELECT s.k, s.i, 0.5::DOUBLE * sin(2 * pi() * (any_value(s.rpm) / 60.0::DOUBLE) * s.i / {FS}) + 1.5::DOUBLE * coalesce(sum(exp(-(s.i - p) / 15.0::DOUBLE) * sin(2 * pi() * 2500 * (s.i - p) / {FS})), 0) AS x
+  FROM s LEFT JOIN hit ON s.k = hit.k AND s.i >= p AND s.i - p < 200 GROUP BY s.k, s.i)
+SELECT k, {r6("sum(x * x)")} AS energy, {r6("max(abs(x))")} AS peak FROM x GROUP BY k"""
 
 
 def fir_filter(spark, sf_dir):

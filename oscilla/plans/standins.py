@@ -8,6 +8,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.kinematics import rpm_of
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -64,6 +66,12 @@ def manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("*", by_load.alias("path_a"), by_parts.alias("path_b"), by_type.alias("path_c"))
 
 
+def speeds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """k, load, rpm of the manifest's rows: the speed in the file, else that of the load."""
+    rpm = F.coalesce("rpm_from_file", rpm_of(F.col("load_hp")).cast("double"))
+    return manifest(spark, sf_dir).select("k", F.col("load_hp").alias("load"), rpm.alias("rpm"))
+
+
 SEGMENTS = "e AS (SELECT vec_id, label, list_transform(embedding, lambda v: v::DOUBLE) AS x FROM embeddings)"
 RECORDINGS = "v AS (SELECT user_id, list(value ORDER BY ts, event_id) AS x FROM events GROUP BY user_id)"
 MANIFEST = """
@@ -88,6 +96,9 @@ p0 AS (
 )"""
 
 
+SPEEDS = "w AS (SELECT k, load_hp AS load, coalesce(rpm_from_file, (CASE load_hp WHEN 0 THEN 1797 WHEN 1 THEN 1772 WHEN 2 THEN 1750 WHEN 3 THEN 1730 ELSE 1797 END)::DOUBLE) AS rpm FROM p)"
+
+
 def r6(expression: str, digits: int = 6) -> str:
     """DuckDB text of expression rounded, without negative zero."""
     return f"CASE WHEN round({expression}, {digits}) = 0 THEN 0.0::DOUBLE ELSE round({expression}, {digits}) END"

@@ -8,7 +8,7 @@ from pathlib import PurePosixPath
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..config import FS, RPM_BY_LOAD
@@ -24,20 +24,25 @@ def taps(fs: float = FS, carrier: float = CARRIER) -> np.ndarray:
     return np.exp(-k / DECAY) * np.sin(2 * np.pi * carrier * k / fs)
 
 
+def sample(i: Column, fs: int, rpm: Column, fault_hz: Column | None = None, carrier: float = CARRIER) -> Column:
+    """Sample i of a recording without noise, of built-in expressions: it adds up the impulses of the last TAPS samples."""
+    x = UNBALANCE * F.sin(2 * np.pi * rpm / 60.0 * i / fs)
+    if fault_hz is None:
+        return x
+    first = F.greatest(F.lit(0), F.ceil((i - TAPS + 1) / fs * fault_hz) - 1).cast("long")
+    last = F.floor((i + 1) / fs * fault_hz).cast("long") + 1
+    lags = F.transform(F.sequence(first, last), lambda j: i - F.floor(j / fault_hz * fs))
+    live = F.filter(F.array_distinct(lags), lambda lag: (lag >= 0) & (lag < TAPS))
+    return x + GAIN * F.aggregate(live, F.lit(0.0), lambda a, lag: a + F.exp(-lag / F.lit(DECAY)) * F.sin(2 * np.pi * carrier * lag / fs))
+
+
 def signal_rows(spark: SparkSession, fs: int, seconds: float, rpm: float, fault_hz: float | None = None, carrier: float = CARRIER, noise: float = 0.3, seed: int = 0) -> DataFrame:
-    """(i, t, x), a sample a row, of built-in expressions: each sample adds up the impulses of the last TAPS samples."""
+    """(i, t, x), a sample a row."""
     i = F.col("id")
-    rows = spark.range(int(round(fs * seconds)))
-    x = UNBALANCE * F.sin(2 * np.pi * rpm / 60.0 * i / fs)
-    if fault_hz:
-        first = F.greatest(F.lit(0), F.ceil((i - TAPS + 1) / fs * fault_hz) - 1).cast("long")
-        last = F.floor((i + 1) / fs * fault_hz).cast("long") + 1
-        lags = F.transform(F.sequence(first, last), lambda j: i - F.floor(j / F.lit(float(fault_hz)) * fs))
-        live = F.filter(F.array_distinct(lags), lambda lag: (lag >= 0) & (lag < TAPS))
-        x = x + GAIN * F.aggregate(live, F.lit(0.0), lambda a, lag: a + F.exp(-lag / F.lit(DECAY)) * F.sin(2 * np.pi * carrier * lag / fs))
+    x = sample(i, fs, F.lit(float(rpm)), F.lit(float(fault_hz)) if fault_hz else None, carrier)
     if noise:
         x = x + noise * F.randn(seed)
-    return rows.select(i.alias("i"), (i / fs).alias("t"), x.alias("x"))
+    return spark.range(int(round(fs * seconds))).select(i.alias("i"), (i / fs).alias("t"), x.alias("x"))
 
 
 def signal(fs: int, seconds: float, rpm: float, fault_hz: float | None, noise: float, seed: int) -> np.ndarray:
