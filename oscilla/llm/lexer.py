@@ -7,10 +7,12 @@ or ``:``, with a type between ``:`` and ``=`` if there is one. To its right stan
 * an expression: string literals (double, single and back quotes, triple quotes over
   several lines) and names of earlier targets, joined by ``+``, ``..`` or by standing
   next to each other, or
-* a list of such expressions in brackets, over several lines if need be; each is a
-  value of its own, or
+* a list of such expressions in brackets, over several lines if need be, or the
+  arguments of a call up to the first that is no such expression; each is a value of its
+  own, or
 * a configuration value: the rest of a line that holds nothing before the name and
-  nothing but a comment after the value, or
+  nothing but a comment (or a comma or semicolon) after the value, which begins with
+  neither a quote nor a bracket nor as a call, or
 * the indented lines after ``|`` or ``>``.
 
 Nothing has a length limit. Every pattern is possessive or starts where the last one
@@ -42,14 +44,32 @@ _STRING = re.compile(
 )
 _KNOWN = re.compile(r"""(?P<name>[A-Za-z_][\w.]*+)(?!["'(\[])""", re.A)
 _BLANKS = re.compile(r"[\x20\t]*+")
+_GAP = re.compile(r"(?:[^\S\n]++|\#[^\n]*+|//[^\n]*+)*+")
 _SPACE = re.compile(r"(?:\s++|\#[^\n]*+|//[^\n]*+)*+")
 _JOIN = re.compile(r"[\x20\t]*+(?:\+|\.\.|\\?\r?\n[\x20\t]*+\+)[\x20\t]*+(?:\\?\r?\n[\x20\t]*+)?")
 _LINE = re.compile(r"[\x20\t]*+(?:(?:export|set|const|let|var)[\x20\t]++|-[\x20\t]++)?")
-_BARE = re.compile(r"[\x20\t]*+(?P<value>[^\s\"'`,;#]{6,}+)(?=[\x20\t]*+(?:$|[\r\n])|[\x20\t]++\#)", re.A)
+_BARE = re.compile(r"[\x20\t]*+(?=\S{6})(?![A-Za-z_][\w.]*+[(\[])(?P<value>[^\s\"'`#,;(\[{](?:[^\s,;]|[,;](?=\S))*+)[,;]?(?=[\x20\t]*+(?:$|[\r\n])|[\x20\t]++\#)", re.A)
+_CALL = re.compile(r"[A-Za-z_][\w.]*+(?=\()", re.A)
 _BLOCK = re.compile(r"[\x20\t]*+[|>][+-]?[\x20\t]*+\r?\n")
 _OPEN, _CLOSE = "[(", "])"
 
 
+class Gaps:
+    """White space and comments of a text. The longest stretch met last is kept: from a line's end within it one gets to its end at once."""
+
+    def __init__(self, text: str):
+        self.text, self.start, self.end = text, 0, 0
+
+    def after(self, pos: int) -> int:
+        line = _GAP.match(self.text, pos).end()
+        if self.text[line : line + 1] != "\n":
+            return line
+        if self.start <= line < self.end:
+            return self.end
+        self.start, self.end = line, _SPACE.match(self.text, line).end()
+        return self.end
+
+
 class Value:
     """What a text is, as far as the score needs it: length, both ends, spaces, and its characters until they are enough."""
 
@@ -120,12 +140,15 @@ def _term(text: str, at: int, known: dict[str, tuple[Value, Parts]]) -> tuple[Va
     return None
 
 
-def _expression(text: str, at: int, known: dict, inside: bool) -> tuple[Value, Parts, int] | None:
+def _expression(text: str, at: int, known: dict, gaps: Gaps, inside: bool) -> tuple[Value, Parts, int] | None:
     """Terms joined; none if there is no term at first, or an unknown one after a join."""
     value, parts, pos = Value(), Parts(), at
     joined = True
     while True:
-        pos = (_SPACE if inside else _BLANKS).match(text, pos).end() if joined or inside else pos
+        if inside:
+            pos = gaps.after(pos)
+        elif joined:
+            pos = _BLANKS.match(text, pos).end()
         term = _term(text, pos, known)
         if term is None:
             return None if joined else (value, parts, pos)
@@ -149,11 +172,11 @@ def _expression(text: str, at: int, known: dict, inside: bool) -> tuple[Value, P
             pos = after
 
 
-def _list(text: str, at: int, known: dict) -> tuple[list[tuple[Value, Parts]], int]:
+def _list(text: str, at: int, known: dict, gaps: Gaps) -> tuple[list[tuple[Value, Parts]], int]:
     """The expressions in brackets from at on, up to the one that closes the first, or to what is none."""
     out, depth, pos = [], 0, at
     while True:
-        pos = _SPACE.match(text, pos).end()
+        pos = gaps.after(pos)
         c = text[pos : pos + 1]
         if c and c in _OPEN:
             depth += 1
@@ -166,7 +189,7 @@ def _list(text: str, at: int, known: dict) -> tuple[list[tuple[Value, Parts]], i
         elif c == ",":
             pos += 1
         else:
-            found = _expression(text, pos, known, True)
+            found = _expression(text, pos, known, gaps, True)
             if found is None:
                 return out, pos
             out.append(found[:2])
@@ -192,6 +215,7 @@ def _block(text: str, at: int, indent: int) -> tuple[tuple[int, int] | None, int
 def assignments(text: str) -> Iterator[tuple[str, Value, Parts, bool]]:
     """(name, value, parts, bare) of every target and value, in order; bare: a configuration value."""
     known: dict[str, tuple[Value, Parts]] = {}
+    gaps = Gaps(text)
     line, lead, pos = 0, _LINE.match(text).end(), 0
     while target := _TARGET.search(text, pos):
         name, start, right = target["quoted"] or target["bare"], target.start(), target.end()
@@ -206,9 +230,11 @@ def assignments(text: str) -> Iterator[tuple[str, Value, Parts, bool]]:
         found: list[tuple[Value, Parts]] = []
         bare = False
         if c and c in _OPEN:
-            found, end = _list(text, at, known)
+            found, end = _list(text, at, known, gaps)
+        elif call := _CALL.match(text, at):
+            found, end = _list(text, call.end(), known, gaps)
         elif c and c in "\"'`" or c.isalpha() or c == "_":
-            one = _expression(text, at, known, False)
+            one = _expression(text, at, known, gaps, False)
             if one is not None:
                 found, end = [one[:2]], one[2]
         if not found and start == lead:

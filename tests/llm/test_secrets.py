@@ -102,6 +102,30 @@ def test_lexer_is_linear(text):
     assert time.monotonic() - began < 15
 
 
+@pytest.mark.parametrize("text", ["# x=[\n" * 200_000, "// a=(\n" * 200_000, "x=[ # a\n" * 100_000, "x=f(\n" * 100_000, "a=['b'\n+ # c\n" * 50_000])
+def test_lists_in_comments_are_read_in_linear_time(text):
+    import time
+
+    began = time.monotonic()
+    secrets.all_spans(text)
+    assert time.monotonic() - began < 30
+
+
+@pytest.mark.parametrize("value", ["Zx81,kQp09aa", "Zx81kQp09aa;x", 'Zx81kQp"09aaZZ', "Zx81'kQ`p09aaZZ#4", "Zx81{kQp}09(aa)Z"])
+@pytest.mark.parametrize("end", ["", "\n", " # note", ",", ";\n"])
+def test_bare_values_reach_to_the_end_of_their_line(value, end):
+    assert lex(f"private_key={value}{end}") == [value] and lex(f"signing_key: {value}{end}") == [value]
+
+
+def test_literals_in_calls():
+    value = "Zk8pQ2vX9q/+"
+    assert lex(f'encryption_key = base64.b64decode("{value}")') == [value]
+    assert lex(f"private_key = os.environ.get('X', '{value}')") == [value]
+    assert lex(f'signing_key = load("a b", [\n  "{value}",\n], 3)') == [value]
+    assert lex("private_key = load(name, other)") == [] and lex('private_key = conf["name"]') == []
+    assert lex(f"private_key = load(name)\nsigning_key: {value}") == [value]
+
+
 def brute_base(text):
     """The base spans by the contract's words, character by character."""
     out = []
