@@ -86,20 +86,10 @@ def recordings(files: DataFrame, fs: int = FS, seconds: float = 10.0, noise: flo
 
 
 def write_files(recordings_: DataFrame, root: str) -> int:
-    """Writes the recordings below root, a folder that all executors mount; returns their number. Nothing is deleted."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import os
-
-        for batch in batches:
-            for path, rpm, x in zip(batch.column("path").to_pylist(), batch.column("rpm").to_pylist(), batch.column("signal"), strict=True):
-                target = PurePosixPath(root) / path
-                os.makedirs(target.parent, exist_ok=True)
-                with open(target, "wb") as file:
-                    file.write(matfile.encoded({"X999_DE_time": x.values.to_numpy(), "X999RPM": np.array([[rpm]])}))
-            yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows], pa.int64())], names=["n"])
-
-    return recordings_.mapInArrow(run, "n bigint").agg(F.sum("n")).first()[0] or 0
+    """Writes the recordings below root, in any store that ``matfile`` writes to; returns their number. Nothing is deleted."""
+    named = lambda name, data: F.struct(F.lit(name).alias("var"), data.alias("data"))
+    variables = F.array(named("X999_DE_time", F.col("signal")), named("X999RPM", F.array(F.col("rpm").cast("double"))))
+    return matfile.write(recordings_.select("path", variables.alias("variables")), root)
 
 
 #: Path, sampling rate, rpm and the code that each planted defect must give.

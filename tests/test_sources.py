@@ -37,6 +37,48 @@ def test_mat_round_trip(spark, tmp_path):
         matfile.recordings(spark, str(tmp_path / "empty"))
 
 
+def level4(name, values, number="d", order="<"):
+    import struct
+
+    kinds = {"d": (0, "f8"), "f": (1, "f4"), "h": (3, "i2"), "B": (5, "u1")}
+    digit, dtype = kinds[number]
+    values = np.atleast_2d(np.asarray(values))
+    head = struct.pack(order + "iiiii", (0 if order == "<" else 1000) + digit * 10, *values.shape, 0, len(name) + 1)
+    return head + name.encode() + b"\0" + values.astype(np.dtype(dtype).newbyteorder(order)).tobytes("F")
+
+
+def test_level_4_files(spark, tmp_path):
+    x = np.arange(40.0)
+    whole = level4("X1_DE_time", x[:, None]) + level4("X1RPM", [[1772]], "h", ">") + level4("grid", [[1, 2, 3], [4, 5, 6]], "B") + level4("text", [[65]], "B")[:0]
+    root = files(tmp_path, little=whole, big=level4("X2_DE_time", x, "f", ">"), cut=whole[:-3], odd=b"\x00\xff\xff\x7f" + bytes(40))
+    rows = {}
+    for r in matfile.recordings(spark, root).collect():
+        rows.setdefault(r.path.rsplit("/", 1)[1], []).append((r.var, r.data, r.read_error))
+    assert rows["little.mat"] == [("X1_DE_time", x.tolist(), None), ("X1RPM", [1772.0], None), ("grid", [1.0, 4.0, 2.0, 5.0, 3.0, 6.0], None)]
+    assert rows["big.mat"] == [("X2_DE_time", x.tolist(), None)]
+    assert rows["cut.mat"][0][2] == "truncated content" and rows["odd.mat"][0][2]
+    seen = {r.path.rsplit("/", 1)[1]: (r.n_samples_DE, r.rpm_from_file) for r in matfile.inspected(matfile.recordings(spark, root)).collect()}
+    assert seen["little.mat"] == (40, 1772.0)
+
+
+def test_files_are_written_by_whole_jobs(spark, tmp_path):
+    root = tmp_path / "out"
+    root.mkdir()
+    rows = [(f"{k % 3}/f{k}.mat", [("a_DE_time", [float(k)] * k), ("RPM", [1700.0 + k])]) for k in range(9)]
+    df = spark.createDataFrame(rows, matfile.WRITTEN).repartition(3)
+    assert matfile.write(df, f"file://{root}") == 9
+    back = lambda: sorted((r.path.split("/out/")[1], r.var, r.data) for r in spark.read.format("matfile").load(f"file://{root}").collect())
+    want = sorted((p, v, d) for p, vs in rows for v, d in vs)
+    assert back() == want and sorted(p.name for p in root.iterdir()) == ["0", "1", "2"]
+    # a task fails after others have written: nothing of the job stays
+    bad = df.select(F.when(F.col("path") == "1/f4.mat", "../f4.mat").otherwise(F.concat(F.lit("x/"), "path")).alias("path"), "variables")
+    with pytest.raises(Exception, match="not a path below"):
+        matfile.write(bad, str(root))
+    assert back() == want and sorted(p.name for p in root.iterdir()) == ["0", "1", "2"]
+    assert matfile.write(df.filter("path = '0/f3.mat'"), str(root), "overwrite") == 1
+    assert back() == [x for x in want if x[0] == "0/f3.mat"]
+
+
 def test_synthetic_manifest(spark, tmp_path):
     assert synthetic.plan(spark).count() == 40
     m = stage.get_manifest(spark, str(tmp_path), seconds=10.0)
