@@ -24,12 +24,17 @@ def _first(df: DataFrame, key: str, count_of, seed: int) -> DataFrame:
     everything = Window.orderBy(F.lit(1)).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     sizes = sizes.withColumn("_before", F.sum("_size").over(up_to) - F.col("_size")).withColumn("_test", count_of(F.sum("_size").over(everything)))
     placed = rows.join(F.broadcast(sizes), "_bucket")
-    rank = F.row_number().over(Window.partitionBy("_bucket").orderBy("_order", key))
+    return _split_at(placed, ["_bucket"], key).drop("_order", "_bucket", "_size", "_before", "_test")
+
+
+def _split_at(placed: DataFrame, bucket: list[str], key: str) -> DataFrame:
+    """placed with split: the first _test rows of the order are test. A bucket has _before rows before it and _size of its own; only one that holds the border is ranked."""
+    rank = F.row_number().over(Window.partitionBy(*bucket).orderBy("_order", key))
     clear = F.when(F.col("_before") + F.col("_size") <= F.col("_test"), "test").when(F.col("_before") >= F.col("_test"), "train")
     sure = placed.withColumn("split", clear).filter("split is not null")
     edge = placed.filter((F.col("_before") < F.col("_test")) & (F.col("_before") + F.col("_size") > F.col("_test")))
     edge = edge.withColumn("split", F.when(F.col("_before") + rank <= F.col("_test"), "test").otherwise("train"))
-    return sure.unionByName(edge).drop("_order", "_bucket", "_size", "_before", "_test")
+    return sure.unionByName(edge)
 
 
 def random_rows(df: DataFrame, key: str, ratio: float = 0.3, seed: int = 42) -> DataFrame:
@@ -58,7 +63,7 @@ def stratified_files(files: DataFrame, label: str, load: str, file: str, train:
 def stratified_rows(df: DataFrame, label: str, key: str, ratio: float = 0.2, seed: int = 42) -> DataFrame:
     """The share of each label goes to test.
 
-    Ranks are found in buckets of the shuffled order, so a label is never sorted as a whole.
+    Only the bucket of the shuffled order in which a label's last test row falls is ranked.
     """
     rows = df.withColumn("_order", shuffled(key, seed)).withColumn("_bucket", F.substring("_order", 1, 3))
     sizes = rows.groupBy(label, "_bucket").agg(F.count(F.lit(1)).alias("_size"))
@@ -66,9 +71,7 @@ def stratified_rows(df: DataFrame, label: str, key: str, ratio: float = 0.2, see
     sizes = sizes.withColumn("_before", F.sum("_size").over(by_label.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("_size"))
     sizes = sizes.withColumn("_test", F.round(F.sum("_size").over(by_label) * ratio)).withColumnsRenamed({label: "_label", "_bucket": "_b"})
     placed = rows.join(sizes, F.col(label).eqNullSafe(F.col("_label")) & (F.col("_bucket") == F.col("_b")))
-    rank = F.row_number().over(Window.partitionBy("_label", "_bucket").orderBy("_order", key))
-    split = F.when(F.col("_before") + rank <= F.col("_test"), "test").otherwise("train")
-    return placed.withColumn("split", split).drop("_order", "_bucket", "_size", "_before", "_test", "_label", "_b")
+    return _split_at(placed, ["_label", "_bucket"], key).drop("_order", "_bucket", "_size", "_before", "_test", "_label", "_b")
 
 
 def leave_one_load_out(df: DataFrame, load: str, held: int) -> DataFrame:
