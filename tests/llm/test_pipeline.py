@@ -1,5 +1,6 @@
 import corpus_pipeline
 from conftest_llm import rows_of
+from pyspark.sql import functions as F
 
 from oscilla.llm import decontam, minhash, mixing, ranker, secrets
 
@@ -45,4 +46,16 @@ def test_empty_and_clashing_tables(spark, docs):
         for _, stage in corpus_pipeline.STAGES[:-1]:
             rows = stage(spark, rows, SF)
             assert rows.columns == df.columns
-        rows.count()
+        mixed = corpus_pipeline.mix(spark, rows, SF)
+        assert mixed.columns == [*df.columns, "copy_"]  # the table has a column copy of its own
+        words = sum(len((r.text or "").split()) * r.n for r in mixed.groupBy("text").agg(F.count(F.lit(1)).alias("n")).collect())
+        assert words <= 2 * sum(len((r.text or "").split()) for r in rows.collect())
+
+
+def test_mix_of_special_rows(spark, docs):
+    """Null and empty texts, null and repeated ids, a source without words, a very long text."""
+    df = docs([(1, "one two three four", "a"), (1, "one two three four", "a"), (None, "five six", "b"), (2, None, "c"), (3, "", None), (4, "word " * 100_000, "b")])
+    mixed = corpus_pipeline.mix(spark, df, SF)
+    taken = {(r.doc_id, r.source): r.n for r in mixed.groupBy("doc_id", "source").agg(F.count(F.lit(1)).alias("n")).collect()}
+    assert taken and all(n <= (4 if key == (1, "a") else 2) for key, n in taken.items()) and (4, "b") in taken
+    assert {r.copy_ for r in mixed.select("copy_").distinct().collect()} <= {1, 2}
