@@ -13,7 +13,8 @@ are counted from the table of distinct words, so texts are read once. What is se
 the tasks is bounded whatever the corpus: an entry (language, word) is kept if the word
 has at least a share of L / WORDS of the language's words (L languages), of which there
 are at most WORDS entries in all; n-grams likewise with GRAMS for each order. A language
-in which a known word doesn't pass has half of that share for it.
+in which a known word doesn't pass has half of that share for it. Languages themselves
+are taken to be few (at most some thousands): their totals go through the driver.
 
 Nulls: a null text, or one without a letter, is ``und`` with a score of 0; so is every
 text where nothing was learned. Rows whose lang or text is null teach nothing. A null
