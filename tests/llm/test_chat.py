@@ -55,3 +55,10 @@ def test_cuts():
     parts = list(chat.cuts(sizes, 9))
     assert parts[0][0] == 0 and parts[-1][1] == 6 and all(a[1] == b[0] for a, b in zip(parts, parts[1:], strict=False))
     assert all(sizes[a:b].sum() <= 9 or b - a == 1 for a, b in parts)
+
+
+def test_clashing_columns_make_no_difference(spark):
+    rows = [(1, 0, "user", "a <|im_end|>"), (1, 1, "assistant", "b"), (2, 0, "assistant", "c")]
+    clash = ["loss", "chunk", "formatted", "n_turns", "row", "size", "part", "mask", "key", "a.b", "formatted_chars"]
+    got = rows_of(chat.read_back(chat.formatted(turns(spark, rows).selectExpr("*", *(f"7 AS `{c}`" for c in clash)))))
+    assert {k: v[:4] for k, v in got.items()} == want(rows)

@@ -92,3 +92,12 @@ def test_unlike_vectors_are_not_divided(spark):
     x = rng.standard_normal((2600, 64))
     u = metric.units(x)
     assert metric.gain(u[:1000], np.ones(1000, bool), metric.chosen_pivots(u[:1000], 16, 0.2), 0.2, 2600)[0] < 0
+
+
+def test_labels_may_be_text(spark):
+    """Labels that look like a part of one another, and nulls."""
+    x = [1.0, 2.0, 3.0]
+    rows = [(1, x, "a"), (2, x, "a"), (3, x, "3:a"), (4, x, ""), (5, x, ""), (6, x, None), (7, x, None), (8, x, "3"), (9, [*x, 0.0], "a")]
+    df = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>, label string").selectExpr("*", "1 AS id", "'q' AS kind")
+    got = rows_of(metric.op6(df))
+    assert {k: v[:2] for k, v in got.items()} == {1: (1, 1), 2: (1, 1), 3: (0, 3), 4: (1, 4), 5: (1, 4), 6: (0, 6), 7: (0, 7), 8: (0, 8), 9: (0, 9)}

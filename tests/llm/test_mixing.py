@@ -76,3 +76,11 @@ def test_mix_of_clashing_columns(docs):
 def test_native_plan(docs):
     plan = mixing.op1(docs([(1, "a b")]))._jdf.queryExecution().executedPlan().toString()
     assert not re.search("Python|Pandas|Arrow", plan)
+
+
+def test_a_very_long_text(docs):
+    """One text of two million words in a source of its own, beside small ones."""
+    rows = [(1, "w " * 2_000_000, "a"), (2, "one two three", "b"), (3, "x " * 100, "b")]
+    got = rows_of(mixing.op1(docs(rows)))
+    assert {k: v[0] for k, v in got.items()} == {1: 2_000_000, 2: 3, 3: 100}
+    assert all(v[3] <= 2 * v[0] for v in got.values()) and got[1][3] <= got[1][2] + 2_000_000

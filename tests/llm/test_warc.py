@@ -47,3 +47,10 @@ def test_legacy_records(version):
 def test_identifiers_hold_the_number():
     for n in (None, 0, 1, -1, 2**63 - 1, -(2**63)):
         assert warc.page_of(warc.record_id(n, "u", "d")) == n
+
+
+def test_clashing_columns_make_no_difference(spark):
+    rows = [(1, "http://a", "x" * 150), (2, "http://b", "x" * 150), (3, "http://c", None)]
+    clash = ["payload_digest", "record_type", "refers_to", "payload_bytes", "id", "part", "data", "offset", "number", "first", "a.b", "name", "digest"]
+    df = pages(spark, rows).selectExpr("*", *(f"7 AS `{c}`" for c in clash))
+    assert sorted((tuple(r) for r in warc.read_archives(warc.archive(df)).collect()), key=repr) == want(rows)
