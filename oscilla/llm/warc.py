@@ -21,8 +21,12 @@ is gathered.
 Nulls: a null html is an empty payload; a null url is written as an unknown
 address; a record with null page_id is never the first of a group, and is a
 revisit if the group has one with a number. Rows that repeat the first's page_id
-and payload are responses too. A truncated record ends its archive and is
-reported with ``whole`` false. Extra columns are ignored.
+and payload are responses too. Extra columns are ignored.
+
+Archives from elsewhere: one in gzip members is read member by member. A record that is
+shorter than declared has ``whole`` false, and WARC-Truncated in its WARC record. Bytes
+where a header line should stand give a row with ``error`` and are stepped over up to the
+next header line.
 """
 
 from __future__ import annotations
@@ -30,6 +34,7 @@ from __future__ import annotations
 import hashlib
 import re
 import uuid
+import zlib
 from collections.abc import Iterator
 from urllib.parse import quote
 
@@ -47,7 +52,11 @@ PROFILE = "http://netpreserve.org/warc/1.0/revisit/identical-payload-digest"
 
 _V1 = "URL IP-address Archive-date Content-type Archive-length"
 _V2 = "URL IP-address Archive-date Content-type Result-code Checksum Location Offset Filename Archive-length"
-_RECORD = "page_id bigint, record_id string, uri string, ip string, date string, mime string, head binary, payload binary, payload_bytes bigint, payload_digest string, whole boolean"
+_GZIP = b"\x1f\x8b"
+#: A record's header line: an address, its fields, a date among them, and the declared length. Where one is looked for, the address has a scheme.
+_LINE = re.compile(rb"[^\n]* (?:\d{12}|\d{14}) [^\n]*?\d{1,15}\r?\n")
+_HEADER = re.compile(rb"^[A-Za-z][A-Za-z0-9+.\-]*:[^\n]* (?:\d{12}|\d{14}) [^\n]*?\d{1,15}\r?\n", re.M)
+_RECORD = "page_id bigint, record_id string, uri string, ip string, date string, mime string, head binary, payload binary, payload_bytes bigint, payload_digest string, whole boolean, error string"
 
 
 # ---- ARC ---------------------------------------------------------------------
@@ -65,29 +74,51 @@ def arc_record(version: int, name: str, offset: int, url: str, date: str, mime:
     return f"{address} {IP} {date} {middle} {len(body)}\n".encode() + body + b"\n"
 
 
-def read_arc(data: bytes) -> Iterator[tuple[dict[str, str], bytes, bool]]:
-    """(fields, content, whole) of every record after the version block."""
+def unzipped(data: bytes) -> bytes:
+    """An archive as it is, or the content of all its gzip members; a damaged member gives what can be read of it."""
+    if not data.startswith(_GZIP):
+        return data
+    out, at = [], 0
+    while at >= 0:
+        member = zlib.decompressobj(31)
+        try:
+            out.append(member.decompress(data[at:]))
+            out.append(member.flush())
+            rest = len(member.unused_data)
+            at = data.find(_GZIP, len(data) - rest) if rest else -1
+        except zlib.error:
+            at = data.find(_GZIP, at + 1)
+    return b"".join(out)
+
+
+def read_arc(data: bytes) -> Iterator[tuple[dict[str, str] | None, bytes, bool]]:
+    """(fields, content, whole) of every record after the version block.
+
+    Where no header line of a record stands, reading goes on at the next line that is one;
+    what lies between is given out without fields. So is all that comes before a version block.
+    """
     at, fields = 0, None
     while at < len(data):
         while data[at : at + 1] in (b"\n", b"\r"):
             at += 1
-        end = data.find(b"\n", at)
-        if end < 0:
-            return
-        line = data[at:end].decode("utf-8", "replace").rstrip("\r")
-        declared = line.rpartition(" ")[2]
-        if not declared.isdigit():
-            return
-        content = data[end + 1 : end + 1 + int(declared)]
-        at = end + 1 + int(declared)
-        whole = len(content) == int(declared)
+        found = _LINE.match(data, at)
+        if not found or fields is None and not data.startswith(b"filedesc://", at):
+            following = _HEADER.search(data, at + 1)
+            end = following.start() if following else len(data)
+            if at < end:
+                yield None, data[at:end], False
+            at = end
+            continue
+        line = found[0].decode("utf-8", "replace").rstrip("\r\n")
+        size, begin = int(line.rpartition(" ")[2]), found.end()
+        content = data[begin : begin + size]
+        at = begin + size
+        whole = len(content) == size
         if line.startswith("filedesc://"):
             version, _, rest = content.partition(b"\n")
             named = rest.partition(b"\n")[0].decode("utf-8", "replace").split()
             fields = named if named[-1:] == ["Archive-length"] else (_V2 if version.startswith(b"2") else _V1).split()
             continue
-        if fields is None:
-            return
         yield dict(zip(fields, line.rsplit(" ", len(fields) - 1), strict=False)), content, whole
 
 
@@ -172,8 +203,11 @@ def page_of(identifier: str) -> int | None:
 
 
 def converted(data: bytes) -> Iterator[tuple]:
-    """The records of an ARC archive as rows of _RECORD."""
-    for fields, content, whole in read_arc(data):
+    """The records of an ARC archive as rows of _RECORD; what is no record is one with an error and without an identifier."""
+    for fields, content, whole in read_arc(unzipped(data)):
+        if fields is None:
+            yield None, None, None, None, None, None, b"", content, len(content), hashlib.sha256(content).hexdigest(), False, f"{len(content)} bytes without a header line"
+            continue
         uri, date = fields.get("URL", "unknown:"), warc_date(fields.get("Archive-date", ""))
         head, payload = b"", content
         if content.startswith(b"HTTP/"):
@@ -181,12 +215,12 @@ def converted(data: bytes) -> Iterator[tuple]:
             head, payload = (content[: end + 4], content[end + 4 :]) if end >= 0 else (content, b"")
         number = header(head, "X-Page-Id")
         page_id = int(number) if number and re.fullmatch(r"-?\d+", number) else None
-        yield page_id, record_id(page_id, uri, date), uri, fields.get("IP-address", IP), date, fields.get("Content-type", "application/octet-stream"), head, payload, len(payload), hashlib.sha256(payload).hexdigest(), whole
+        yield page_id, record_id(page_id, uri, date), uri, fields.get("IP-address", IP), date, fields.get("Content-type", "application/octet-stream"), head, payload, len(payload), hashlib.sha256(payload).hexdigest(), whole, None
 
 
 def convert_arc(archives: DataFrame) -> DataFrame:
-    """ARC archives (name, data) -> their records with WARC identifiers, dates and digests."""
-    kinds = [pa.int64(), *[pa.string()] * 5, pa.binary(), pa.binary(), pa.int64(), pa.string(), pa.bool_()]
+    """ARC archives (name, data; gzip members or not) -> their records with WARC identifiers, dates and digests, and rows with an error."""
+    kinds = [pa.int64(), *[pa.string()] * 5, pa.binary(), pa.binary(), pa.int64(), pa.string(), pa.bool_(), pa.string()]
     names = [x.split()[0] for x in _RECORD.split(", ")]
 
     def make():
@@ -230,16 +264,18 @@ def write_warc(records: DataFrame) -> DataFrame:
     """Records with first and first_id (null: a payload of its own) -> WARC archives (name, data)."""
 
     def add(row, _):
-        page_id, identifier, uri, ip, date, mime, head, payload, digest, first, first_id = row
+        page_id, identifier, uri, ip, date, mime, head, payload, digest, whole, first, first_id = row
         kind = "revisit" if first is not None and first != page_id else "response" if head else "resource"
         block = head if kind == "revisit" else head + payload
         headers = [("WARC-Type", kind), ("WARC-Record-ID", f"<{identifier}>"), ("WARC-Date", date), ("WARC-Target-URI", uri), ("WARC-IP-Address", ip)]
         headers += [("Content-Type", "application/http; msgtype=response" if head else mime), ("WARC-Payload-Digest", f"sha256:{digest}"), ("WARC-Block-Digest", f"sha256:{hashlib.sha256(block).hexdigest()}")]
+        if not whole:
+            headers.append(("WARC-Truncated", "length"))
         if kind == "revisit":
             headers += [("WARC-Profile", PROFILE), ("WARC-Refers-To", f"<{first_id}>")]
         return warc_record(headers, block)
 
-    columns = ["page_id", "record_id", "uri", "ip", "date", "mime", "head", "payload", "payload_digest", "first", "first_id"]
+    columns = ["page_id", "record_id", "uri", "ip", "date", "mime", "head", "payload", "payload_digest", "whole", "first", "first_id"]
 
     def make():
         turn = [0]
@@ -286,7 +322,12 @@ def read_archives(archives: DataFrame) -> DataFrame:
 def archive(pages: DataFrame) -> DataFrame:
     """The WARC archives of pages, by way of ARC archives, as a table in the shared folder."""
     tune(pages.sparkSession)
-    records = convert_arc(write_arc(pages))
+    return archived(write_arc(pages))
+
+
+def archived(archives: DataFrame) -> DataFrame:
+    """ARC archives (name, data) as WARC archives, a table in the shared folder; rows with an error are left to ``convert_arc``."""
+    records = convert_arc(archives).filter("error is null")
     firsts = staged(first_of_equal(records.select("page_id", "record_id", "payload_bytes", "payload_digest")), "warc-firsts").withColumnRenamed("payload_digest", "digest")
     marked = records.join(small(firsts), (F.col("payload_digest") == F.col("digest")) & (F.col("payload_bytes") >= MIN_BYTES), "left")
     return staged(write_warc(marked), "warc")
