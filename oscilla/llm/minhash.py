@@ -13,7 +13,8 @@ of the chunk's variants that leave out one component. Every variant is a key.
 Documents with equal sets are one class from the start. Classes that share a key
 are not paired all with all: each is first paired with the hub of its key (a
 star), the member that shares most keys with most others, the pairs are confirmed
-on the full sets, and components are formed.
+on the full sets, and components are formed. Then the members outside their key's largest
+component are paired with HUBS of its members, which links most of those that belong to it.
 Only where a key still spans several components are its members paired across
 these: those outside its largest component with all. A key with more than SPLIT members
 outside is divided first: of a pair with at most ERRORS errors, some chunk other than
@@ -54,6 +55,8 @@ SKETCH = 16
 BLOCK_BYTES = 150_000
 #: Members outside its largest component from which a key is divided.
 SPLIT = 64
+#: Members of a key's largest component with which those outside it are paired first.
+HUBS = 8
 #: Ids that may be broadcast to filter texts before they are shuffled.
 FILTER_ROWS = 2_000_000
 
@@ -278,6 +281,24 @@ def outside(members: DataFrame) -> DataFrame:
     return members.join(staged(keys, "minhash-torn-keys"), "key")
 
 
+def opened(members: DataFrame, components: DataFrame) -> DataFrame:
+    """The members (key, id) of keys that span several components (id, component), as ``outside`` gives them; staged."""
+    placed = members.select("key", "id").join(small(components), "id", "left").select("key", "id", F.coalesce("component", "id").alias("component"))
+    torn = staged(placed.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).filter("x < y").select("key"), "minhash-torn")
+    return staged(outside(placed.join(torn, "key")), "minhash-open")
+
+
+def near_main(open_: DataFrame, hubs: int = HUBS) -> DataFrame:
+    """Pairs (a, b) of the members outside their key's largest component and a few of that component's members.
+
+    These have the least of as many hashes of their ids, so the keys of a group choose the same ones mostly.
+    """
+    least = [F.min(F.struct(F.xxhash64(F.lit(k), "id").alias("h"), "id"))["id"] for k in range(hubs)]
+    chosen = open_.filter("component = main").groupBy("key").agg(F.array_distinct(F.array(*least)).alias("hubs"))
+    pairs = open_.filter("component <> main").join(staged(chosen, "minhash-main-hubs"), "key").select("id", F.explode("hubs").alias("hub"))
+    return pairs.select(F.least("id", "hub").alias("a"), F.greatest("id", "hub").alias("b")).distinct()
+
+
 def across_components(open_: DataFrame, sets: DataFrame, percent: int, second: bool = False) -> DataFrame:
     """(a, b, ca, cb): pairs of a key in different components that their sketches don't rule out; a < b, each once.
 
@@ -345,11 +366,16 @@ def linked_classes(docs: DataFrame, width: int, percent: int, split: int) -> tup
     sets = staged(sets_of(docs, wanted, width), "minhash-sets")
     links = staged(confirmed(pairs, sets, percent), "minhash-links")
     links = links.union(classes_of_names(named, classes, "doc_id", ["high", "low"]))
-    first = final = connected_components(links)
-    # keys that span several components: pairs across them
-    placed = members.select("key", "id").join(small(first), "id", "left").select("key", "id", F.coalesce("component", "id").alias("component"))
-    torn = staged(placed.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).filter("x < y").select("key"), "minhash-torn")
-    open_ = staged(outside(placed.join(torn, "key")), "minhash-open")
+    links = staged(links, "minhash-first-links")
+    first = connected_components(links)
+    # a second star: members outside their key's largest component with a few others of that
+    again = staged(near_main(opened(members, first)).join(pairs, ["a", "b"], "left_anti"), "minhash-second-pairs")
+    if not again.isEmpty():
+        pairs = pairs.union(again)
+        first = connected_components(links.union(confirmed(again, sets, percent)))
+    final = first
+    # keys that still span several components: pairs across them
+    open_ = opened(members, first)
     hot = open_.filter(F.col("rest") > split).drop("main", "rest").join(classes.select("id", "signature"), "id")
     apart = across_components(open_.filter(F.col("rest") <= split), sets, percent)
     if not hot.isEmpty():
