@@ -54,7 +54,7 @@ ERRORS = 17
 SKETCH = 16
 BLOCK_BYTES = 150_000
 #: Members outside its largest component from which a key is divided.
-SPLIT = 64
+SPLIT = 512
 #: Members of a key's largest component with which those outside it are paired first.
 HUBS = 8
 #: Ids that may be broadcast to filter texts before they are shuffled.
