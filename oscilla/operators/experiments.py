@@ -9,14 +9,11 @@ from __future__ import annotations
 from collections.abc import Callable, Iterable, Iterator
 from functools import reduce
 
-from pyspark.ml.classification import RandomForestClassifier
-from pyspark.ml.feature import StringIndexer, VectorAssembler
-from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..staging import staged
-from . import networks, splits
+from . import forests, networks, splits
 
 RESULT = "stage string, name string, features string, acc double, f1 double, n_train bigint, n_test bigint"
 
@@ -43,32 +40,25 @@ def scaled(df: DataFrame, known: dict[str, tuple[float, float]]) -> DataFrame:
     return df.withColumns({c: (F.col(f"`{c}`") - m) / s for c, (m, s) in known.items()})
 
 
-def _vectors(df: DataFrame, columns: list[str]) -> DataFrame:
-    safe = [f"_f{k}" for k in range(len(columns))]
-    plain = df.select("*", *(F.col(f"`{c}`").cast("double").alias(s) for c, s in zip(columns, safe, strict=True)))
-    return VectorAssembler(inputCols=safe, outputCol="_features", handleInvalid="skip").transform(plain).drop(*safe)
-
-
-def forest(train: DataFrame, columns: list[str], label: str, seed: int = 42, trees: int = 100, depth: int = 20):
-    return RandomForestClassifier(labelCol=label, featuresCol="_features", numTrees=trees, maxDepth=depth, seed=seed, cacheNodeIds=True).fit(_vectors(train, columns))
+def forest(train: DataFrame, columns: list[str], label: str, seed: int = 42, trees: int = 100, depth: int = 20) -> forests.Forest:
+    return forests.fit(train, columns, label, seed, trees, depth)
 
 
 def importances(spark: SparkSession, model, columns: list[str], k: int | None = None) -> DataFrame:
     """(feature, importance), the largest first."""
-    rows = spark.createDataFrame([(c, float(v)) for c, v in zip(columns, model.featureImportances.toArray(), strict=True)], "feature string, importance double")
+    rows = spark.createDataFrame([(c, float(v)) for c, v in zip(columns, model.importances, strict=True)], "feature string, importance double")
     ordered = rows.orderBy(F.desc("importance"), "feature")
     return ordered.limit(k) if k else ordered
 
 
 def score(model, test: DataFrame, columns: list[str], label: str) -> DataFrame:
     """accuracy_macro_f1 of the model on test."""
-    return accuracy_macro_f1(model.transform(_vectors(test, columns)).select(F.col(label).cast("double").alias("y"), "prediction"), "y", "prediction")
+    return accuracy_macro_f1(forests.predicted(model, test, columns).select(F.col(label).cast("double").alias("y"), "prediction"), "y", "prediction")
 
 
 def class_scores(model, df: DataFrame, columns: list[str]) -> DataFrame:
     """df with the class of the largest score, the first of equal ones."""
-    p = vector_to_array("probability")
-    return model.transform(_vectors(df, columns)).withColumn("argmax", F.array_position(p, F.array_max(p)) - 1)
+    return forests.predicted(model, df, columns).withColumn("argmax", F.array_position("probability", F.array_max("probability")) - 1)
 
 
 def scaled_by_run(rows: DataFrame, learned_from: Column) -> DataFrame:
@@ -193,5 +183,5 @@ def standard_experiments(hilbert: DataFrame, square_law: DataFrame, columns: lis
 
 def save(model, path: str, columns: list[str]) -> None:
     """The model, and beside it the list of its features."""
-    model.write().overwrite().save(path)
+    model.save(path)
     SparkSession.active().createDataFrame([(k, c) for k, c in enumerate(columns)], "place int, feature string").coalesce(1).write.mode("overwrite").json(f"{path}-features")
