@@ -86,3 +86,15 @@ def test_the_driver_holds_no_grown_nodes(spark):
     model = forests.fit(rows, ["a", "b"], "y", trees=10)
     assert sum(len(u.feature) for u in model.uppers) == 10
     assert model.parts.agg(F.sum(F.size("feature"))).first()[0] > 10_000
+
+
+def test_jobs_do_not_follow_the_depth(spark):
+    """A node that a group holds is grown there to its end; no level of it is a job of its own."""
+    rows = spark.range(2000).select("id", F.rand(1).alias("a"), F.rand(2).alias("b"), (F.rand(3) * 4).cast("int").alias("y")).localCheckpoint()
+    jobs = []
+    for depth in (2, 20):
+        spark.sparkContext.setJobGroup(f"forest-{depth}", "")
+        experiments.importances(spark, experiments.forest(rows, ["a", "b"], "y", trees=5, depth=depth), ["a", "b"]).collect()
+        jobs.append(len(spark.sparkContext.statusTracker().getJobIdsForGroup(f"forest-{depth}")))
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert jobs[0] == jobs[1] > 0
