@@ -2,14 +2,17 @@
 
 A document's features are shares and rates of its whole text (symbols, letters,
 repeats, line shapes ...), each spread over quantile bins so that the score can
-bend. Pairs of a document labelled 1 and one labelled 0 are preferences; the
-weights minimise the logistic loss of their feature differences. The raw score
-of the training documents' quantile at the share of label 0 is the threshold:
+bend. Every pair of a document labelled 1 and one labelled 0 is a preference; the
+weights minimise the mean logistic loss of the differences of all these pairs' features. The raw
+score of the training documents' quantile at the share of label 0 is the threshold:
 scores are scaled to (0, 1) with the threshold at THRESHOLD.
 
-The model is fit on at most FIT_ROWS labelled rows, taken in the order of a hash
-of doc_id, and every document is scored by its whole text. Only numbers computed
-from the text enter a score.
+All labelled rows that aren't held out teach, none is drawn. The sum over all pairs is never
+written out: what a document adds to the slope depends on its raw score and on the other
+label's raw scores only, so a Newton step is two passes, one that counts the raw scores in
+cells of CELL, one that adds up the features with the weights found from these counts. The
+mean of a cell stands for its scores, which leaves an error of CELL squared. Quantiles are
+exact (``selection``). The driver gets sums whose size follows the features, not the rows.
 
 Nulls: a null text counts as empty and gets the score of its (empty) features;
 labels with null quality or doc_id teach nothing; a null doc_id isn't held out.
@@ -19,22 +22,28 @@ Repeated rows get equal scores. Extra columns are kept by ``accepted``.
 
 from __future__ import annotations
 
+import pickle
 from collections import Counter
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from itertools import islice
 from operator import eq
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from .common import arrow_map, table, texts, tune
+from ..operators import selection
+from .common import arrow_map, staged, table, texts, tune
 
-FIT_ROWS = 20_000
 PAIRS = 60_000
 BINS = 8
+#: Widths of the cells of raw scores: for the slope, and for a term of the curvature, which only sets the pace.
+CELL, WIDE = 1 / 64, 1 / 8
+RIDGE = 1e-3
 THRESHOLD = 0.7
 SEED = 20
 
@@ -103,7 +112,7 @@ def expanded(x: np.ndarray, edges: np.ndarray, mean: np.ndarray, scale: np.ndarr
 
 
 def fit(x: np.ndarray, y: np.ndarray, pairs: int = PAIRS, seed: int = SEED, ridge: float = 1e-3) -> Model | None:
-    """Weights of the pairwise logistic loss by Newton steps; None without both labels."""
+    """Weights for rows in memory, of drawn pairs; None without both labels. The queries learn of all pairs, by ``fit_all``."""
     good, bad = np.flatnonzero(y == 1), np.flatnonzero(y == 0)
     if not len(good) or not len(bad):
         return None
@@ -134,40 +143,176 @@ def remainder(doc_id: Column, by: int) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit(""))) % by
 
 
-def labelled_features(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> tuple[np.ndarray, np.ndarray]:
-    """Features and labels of at most fit_rows labelled documents that aren't held out."""
-    known = labels.filter(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull() & (remainder(F.col("doc_id"), 4) != 2))
-    chosen = known.select(F.col("doc_id").alias("of"), F.col("quality").cast("int").alias("y")).orderBy(F.xxhash64("of"), "of", "y").limit(fit_rows)
-    texts_ = docs.select("doc_id", "text").join(F.broadcast(chosen), F.col("doc_id") == F.col("of")).select("doc_id", "text", "y")
+def featured(docs: DataFrame) -> DataFrame:
+    """doc_id and features (x) of every document."""
 
     def make():
         def each(batch: pa.RecordBatch) -> pa.RecordBatch:
             x = [features(t) for t in texts(batch)]
-            return pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("y"), pa.array(x, pa.list_(pa.float64()))], names=["doc_id", "y", "x"])
+            return pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(x, pa.list_(pa.float64()))], names=["doc_id", "x"])
 
         return each
 
-    made = arrow_map(texts_, make, "doc_id bigint, y int, x array<double>")
-    # repeated documents may outnumber the chosen labels, so the bound holds here again
-    rows = made.orderBy("doc_id", "y", F.xxhash64("x")).limit(fit_rows).toArrow()
-    if not rows.num_rows:
-        return np.zeros((0, len(FEATURES))), np.zeros(0)
-    flat = rows["x"].combine_chunks()
-    return flat.flatten().to_numpy(zero_copy_only=False).reshape(-1, len(FEATURES)), rows["y"].to_numpy()
+    return arrow_map(docs.select("doc_id", "text"), make, "doc_id bigint, x array<double>")
 
 
-def learn(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> Model | None:
-    tune(docs.sparkSession)
-    return fit(*labelled_features(docs, labels, fit_rows))
+def labelled_features(known: DataFrame, labels: DataFrame) -> DataFrame:
+    """y and x of all labelled documents that aren't held out, a row for each label and document; known: ``featured``. In a fixed order, so that sums are the same again."""
+    chosen = labels.filter(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull() & (remainder(F.col("doc_id"), 4) != 2))
+    rows = known.join(chosen.select("doc_id", F.col("quality").cast("int").alias("y")), "doc_id")
+    return rows.repartition("doc_id").sortWithinPartitions("doc_id", "y", F.xxhash64("x")).select("y", "x")
+
+
+def _matrix(batch: pa.RecordBatch) -> np.ndarray:
+    return batch.column("x").flatten().to_numpy(zero_copy_only=False).reshape(-1, len(FEATURES))
+
+
+def _folded(rows: DataFrame, each: Callable[[np.ndarray, np.ndarray], list], joined: Callable[[list, list], list]) -> list | None:
+    """each(x, y) of all batches, joined in the order of the tasks."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = None
+        for batch in batches:
+            if batch.num_rows:
+                now = each(_matrix(batch), batch.column("y").to_numpy())
+                held = now if held is None else joined(held, now)
+        if held is not None:
+            yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId()]), pa.array([pickle.dumps(held)], pa.binary())], names=["task", "held"])
+
+    out = None
+    for r in sorted(rows.mapInArrow(run, "task bigint, held binary").collect()):
+        now = pickle.loads(r.held)
+        out = now if out is None else joined(out, now)
+    return out
+
+
+def _added(a: list, b: list) -> list:
+    return [x + y for x, y in zip(a, b, strict=True)]
+
+
+def _celled(s: np.ndarray, *values: np.ndarray, width: float) -> tuple[np.ndarray, ...]:
+    """The cells of s that hold any, with the sums of values in them."""
+    cells, at = np.unique(np.floor(s / width).astype(np.int64), return_inverse=True)
+    sums = []
+    for v in values:
+        out = np.zeros((len(cells), *v.shape[1:]))
+        np.add.at(out, at, v)
+        sums.append(out)
+    return cells, *sums
+
+
+def _cells_joined(a: tuple, b: tuple) -> tuple:
+    """Cells of both with added sums."""
+    cells, at = np.unique(np.concatenate([a[0], b[0]]), return_inverse=True)
+    sums = []
+    for x, y in zip(a[1:], b[1:], strict=True):
+        out = np.zeros((len(cells), *x.shape[1:]))
+        np.add.at(out, at, np.concatenate([x, y]))
+        sums.append(out)
+    return cells, *sums
+
+
+def _chance(z: np.ndarray) -> np.ndarray:
+    """That the loser of a pair wins, at the difference z of the raw scores."""
+    return 1 / (1 + np.exp(np.clip(z, -30, 30)))
+
+
+def _over(at: np.ndarray, s: np.ndarray, n: np.ndarray, f: Callable[[np.ndarray], np.ndarray]) -> np.ndarray:
+    """The sum of n f(at - s) over s, for each of at; some rows of the matrix at a time."""
+    few = max(1, 2_000_000 // max(1, len(s)))
+    return np.concatenate([f(at[k : k + few, None] - s) @ n for k in range(0, len(at), few)]) if len(at) else np.zeros(0)
+
+
+def fit_all(rows: DataFrame, ridge: float = RIDGE) -> Model | None:
+    """The weights with the least mean logistic loss over all pairs of rows (y, x) of label 1 and 0; None without both labels.
+
+    rows are read about thirty times: pass a written table.
+    """
+    begun = _folded(
+        rows, lambda x, y: [np.array([(y == 0).sum(), (y == 1).sum()]), x.sum(0), x.min(0), x.max(0)],
+        lambda a, b: [a[0] + b[0], a[1] + b[1], np.minimum(a[2], b[2]), np.maximum(a[3], b[3])],
+    )
+    if begun is None or not begun[0].all():
+        return None
+    (bad, good), total, low, high = begun
+    n = bad + good
+    mean = total / n
+    scale = np.sqrt(_folded(rows, lambda x, y: [((x - mean) ** 2).sum(0)], _added)[0] / n)
+    scale[scale == 0] = 1
+    shares = [k / BINS for k in range(1, BINS)]
+    found = selection.quantiles(rows.select(F.posexplode("x").alias("k", "v")), "k", "v", shares).collect()
+    edges = np.array([r.q for r in sorted(found, key=lambda r: r.k)])
+    made = lambda x: expanded(x, edges, mean, scale)
+    centre = _folded(rows, lambda x, y: [made(x).sum(0)], _added)[0] / n  # differences don't change with it
+
+    def counted(w: np.ndarray) -> list:
+        """Cells, rows and sums of the raw scores of each label."""
+        each = lambda x, y: [_celled(s, np.ones(len(s)), s, width=CELL) for s in ((made(x) - centre) @ w,) for s in (s[y == 0], s[y == 1])]
+        return _folded(rows, each, lambda a, b: [_cells_joined(*both) for both in zip(a, b, strict=True)])
+
+    def loss(w: np.ndarray, cells: list) -> float:
+        (_, n0, s0), (_, n1, s1) = cells
+        return _over(s1 / n1, s0 / n0, n0, lambda z: np.logaddexp(0, -z)) @ n1 / (good * bad) + ridge / 2 * w @ w
+
+    def sums(w: np.ndarray, cells: list) -> tuple[np.ndarray, np.ndarray]:
+        """Slope and curvature."""
+        (_, n0, s0), (_, n1, s1) = cells
+        s0, s1 = s0 / n0, s1 / n1
+        ends = min(s0.min(), s1.min()) - CELL, max(s0.max(), s1.max()) + CELL
+        grid = np.linspace(*ends, int(min((ends[1] - ends[0]) / CELL + 2, 20_000)))
+        bend = lambda z: _chance(z) * _chance(-z)
+        wins = _over(grid, s0, n0, _chance), _over(-grid, -s1, n1, _chance)  # of a row labelled 1 and 0 at each score
+        bends = _over(grid, s0, n0, bend), _over(grid, s1, n1, bend)
+
+        def each(x: np.ndarray, y: np.ndarray) -> list:
+            z = made(x) - centre
+            s = z @ w
+            p = np.where(y == 1, np.interp(s, grid, wins[0]), -np.interp(s, grid, wins[1]))
+            d = np.where(y == 1, np.interp(s, grid, bends[0]), np.interp(s, grid, bends[1]))
+            return [p @ z, (z * d[:, None]).T @ z, *(_celled(s[y == k], z[y == k], width=WIDE) for k in (0, 1))]
+
+        p, d, (c0, z0), (c1, z1) = _folded(rows, each, lambda a, b: [a[0] + b[0], a[1] + b[1], _cells_joined(a[2], b[2]), _cells_joined(a[3], b[3])])
+        across = z1.T @ bend((c1[:, None] - c0) * WIDE) @ z0
+        return p / (good * bad) - ridge * w, (d - across - across.T) / (good * bad) + ridge * np.eye(len(w))
+
+    w = np.zeros(len(centre))
+    cells = counted(w)
+    for _ in range(20):
+        slope, bend = sums(w, cells)
+        values, axes = np.linalg.eigh(bend)
+        step = axes @ (axes.T @ slope / np.maximum(values, ridge))  # the term in wide cells may bring a value below the ridge
+        now, rate = loss(w, cells), 1.0
+        after = counted(w + step)
+        while loss(w + rate * step, after) > now + 1e-9 and rate > 1e-3:
+            rate /= 2
+            after = counted(w + rate * step)
+        w, cells = w + rate * step, after
+        if np.abs(rate * step).max() < 1e-5:
+            break
+    model = Model(low, high, edges, mean, scale, w, 0.0, 1.0)
+    raw = staged(arrow_map(rows, lambda: lambda batch: pa.RecordBatch.from_arrays([pa.array(np.zeros(batch.num_rows, np.int32)), pa.array(made(_matrix(batch)) @ w)], names=["k", "v"]), "k int, v double"), "raw-scores")
+    model.threshold = float(selection.quantiles(raw, "k", "v", [float(bad / n)]).first().q[0])
+    middle = sum(s.sum() for _, _, s in cells) / n
+    model.spread = max(float(np.sqrt(_folded(rows, lambda x, y: [np.array([(((made(x) - centre) @ w - middle) ** 2).sum()])], _added)[0][0] / n)) / 4, 1e-9)
+    return model
+
+
+def learn(docs: DataFrame, labels: DataFrame) -> Model | None:
+    return learn_from(featured(docs), labels)
+
+
+def learn_from(known: DataFrame, labels: DataFrame) -> Model | None:
+    tune(known.sparkSession)
+    return fit_all(staged(labelled_features(known, labels), "labelled-features"))
 
 
 def scored(docs: DataFrame, model: Model | None) -> DataFrame:
-    """docs with a column score; docs has a column text, or a struct row with it, and none named score."""
+    """docs with a column score; docs has a column x of features, or a column text, or a struct row with it, and none named score."""
     schema = StructType([*docs.schema.fields, StructField("score", DoubleType())])
 
     def make():
         def each(batch: pa.RecordBatch) -> pa.RecordBatch:
-            x = np.array([features(t) for t in texts(batch)], float).reshape(-1, len(FEATURES))
+            x = _matrix(batch) if "x" in batch.schema.names else np.array([features(t) for t in texts(batch)], float).reshape(-1, len(FEATURES))
             score = model.score(x) if model is not None else np.ones(len(x))
             return pa.RecordBatch.from_arrays([*batch.columns, pa.array(score, pa.float64())], names=[*batch.schema.names, "score"])
 
@@ -176,15 +321,17 @@ def scored(docs: DataFrame, model: Model | None) -> DataFrame:
     return arrow_map(docs, make, schema)
 
 
-def accepted(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> DataFrame:
+def accepted(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The documents scored THRESHOLD or more, with their own columns."""
     rows = docs.select(F.struct("*").alias("row"))
-    return scored(rows, learn(docs, labels, fit_rows)).filter(F.col("score") >= THRESHOLD).select("row.*")
+    return scored(rows, learn(docs, labels)).filter(F.col("score") >= THRESHOLD).select("row.*")
 
 
 def op10(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """doc_id, held_out, score, predicted of every document."""
-    out = scored(docs.select("doc_id", "text"), learn(docs, labels))
+    tune(docs.sparkSession)
+    known = staged(featured(docs), "features")  # read by the fit and to score
+    out = scored(known, learn_from(known, labels))
     return out.select("doc_id", (remainder(F.col("doc_id"), 4) == 2).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
 
 

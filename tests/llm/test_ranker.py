@@ -1,5 +1,6 @@
 import numpy as np
 from conftest_llm import rows_of
+from pyspark.sql import functions as F
 
 from oscilla.llm import ranker
 
@@ -91,3 +92,32 @@ def test_scores_of_a_query_by_hand(spark):
         raw += sum(model.weights[len(x) + k * (ranker.BINS - 1) + j] for k in range(len(x)) for j in range(ranker.BINS - 1) if x[k] > model.edges[k][j])
         z = np.clip((raw - model.threshold) / model.spread + np.log(0.7 / 0.3), -30, 30)
         assert abs(got[r.doc_id][1] - 1 / (1 + np.exp(-z))) < 1e-9
+
+
+def test_all_rows_and_all_pairs_teach(spark):
+    """The weights are those of plain descent on the loss of every pair of every row."""
+    rng = np.random.default_rng(4)
+    x = np.zeros((90, len(ranker.FEATURES)))
+    x[:, :3] = rng.normal(size=(90, 3))
+    y = (x[:, 0] - 0.5 * x[:, 1] + 0.8 * rng.normal(size=90) > 0).astype(int)
+    rows = spark.createDataFrame([(int(k), v.tolist()) for k, v in zip(y, x, strict=True)], "y int, x array<double>").repartition(3).localCheckpoint()
+    made = ranker.fit_all(rows, ridge=0.05)
+    assert np.allclose(made.edges[:3], [np.quantile(x[:, f], [k / 8 for k in range(1, 8)]) for f in range(3)])
+    z = ranker.expanded(x, made.edges, x.mean(0), np.where(x.std(0) == 0, 1, x.std(0)))
+    d = (z[y == 1][:, None] - z[y == 0][None]).reshape(-1, z.shape[1])
+    assert len(d) == (y == 1).sum() * (y == 0).sum()
+    w = np.zeros(z.shape[1])
+    for _ in range(4000):
+        w -= 0.2 * (-(d * (1 / (1 + np.exp(d @ w)))[:, None]).mean(0) + 0.05 * w)
+    np.testing.assert_allclose(made.weights, w, atol=1e-4)
+    raw = z @ made.weights
+    assert abs(made.threshold - np.quantile(raw, (y == 0).mean())) < 1e-9 and abs(made.spread - raw.std() / 4) < 1e-9
+    assert (made.low == x.min(0)).all() and (made.high == x.max(0)).all()
+
+
+def test_no_labelled_row_is_left_out(spark, docs):
+    """More labels than the 20,000 that a fit used to take; each label and document is a row."""
+    known = spark.range(30_000).select(F.col("id").alias("doc_id"), F.array(*[F.lit(0.0)] * len(ranker.FEATURES)).alias("x"))
+    marks = spark.range(30_000).select(F.col("id").alias("doc_id"), (F.col("id") % 2).cast("int").alias("quality"))
+    rows = ranker.labelled_features(known, marks)
+    assert rows.count() == marks.filter(ranker.remainder(F.col("doc_id"), 4) != 2).count() > 20_000
