@@ -307,9 +307,12 @@ def _bandpassed_oracle() -> str:
 def fir_impulse(spark, sf_dir):
     """Energy and peak of the 128 samples, without noise, of an outer-race fault at the speed of every row of the manifest."""
     rpm, i = F.col("rpm"), F.col("i").cast("double")
-    rows = speeds(spark, sf_dir).select("k", "rpm", F.explode(F.sequence(F.lit(0), F.lit(127))).alias("i"))
+    rows = speeds(spark, sf_dir).select("k", "rpm")
+    # the samples follow from the speed alone; dealt by speed once, they are added up where they are made
+    made = rows.select("rpm").distinct().select("rpm", F.explode(F.sequence(F.lit(0), F.lit(127))).alias("i"))
     x = synthetic.sample(i, FS, rpm, fault_frequencies(rpm)["BPFO"])
-    return rows.select("k", x.alias("x")).groupBy("k").agg(rounded(F.sum(F.col("x") * F.col("x"))).alias("energy"), rounded(F.max(F.abs("x"))).alias("peak"))
+    of_speed = made.select("rpm", x.alias("x")).groupBy("rpm").agg(F.sum(F.col("x") * F.col("x")).alias("e"), F.max(F.abs("x")).alias("p")).withColumnRenamed("rpm", "_rpm")
+    return rows.join(of_speed, rpm.eqNullSafe(F.col("_rpm"))).groupBy("k").agg(rounded(F.sum("e")).alias("energy"), rounded(F.max("p")).alias("peak"))
 
 
 _BPFO = f"rpm / 60.0::DOUBLE * (4.5 * (1 - {0.3126 / 1.537!r}::DOUBLE))"

@@ -163,3 +163,20 @@ def test_kinematics(spark):
     assert [round(v, 3) for v in row] == [29.95, 107.364, 162.186, 70.584, 11.929]
     with pytest.raises(Exception, match="no nominal speed"):
         spark.range(1).select(kinematics.strict_rpm_of(F.lit(7))).collect()
+
+
+def test_an_impulse_is_made_once_a_speed(spark, monkeypatch):
+    """fir_impulse makes its samples for every speed that occurs, not for every row."""
+    from oscilla.plans import signals, standins
+
+    sf, made = "/root/testdata/sf0.01", spark.sparkContext.accumulator(0)
+
+    def counted(i, fs, rpm, hz):
+        return F.udf(lambda k, v: (made.add(1), k + v)[1], "double")(i, rpm)
+
+    monkeypatch.setattr(signals.synthetic, "sample", counted)
+    rows = standins.speeds(spark, sf)
+    got = {r.k: r.peak for r in signals.QUERIES["fir_impulse"](spark, sf).collect()}
+    assert got == {r.k: r.rpm + 127 for r in rows.collect()}
+    speeds = rows.select("rpm").distinct().count()
+    assert 0 < made.value <= 3 * 128 * speeds < 128 * rows.count()
