@@ -13,7 +13,7 @@ teach nothing; those with such a feature get no prediction. Labels are 0, 1, ...
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Collection, Iterator
 from dataclasses import dataclass, field
 from math import ceil, sqrt
 
@@ -27,6 +27,8 @@ from ..staging import staged
 BINS = 32
 #: Rows of a node that a group takes.
 GROUP_ROWS = 20_000
+#: Bins of a level's nodes, for each row in them, up to which a group adds up all of them instead of sorting its rows.
+CELLS_A_ROW = 8
 LEAF, BELOW = -1, -2  # in the place of a feature
 
 #: Share of bags with up to k copies of a row: Poisson's distribution of mean 1.
@@ -90,14 +92,30 @@ def copies(ids: np.ndarray, tree: int, seed: int) -> np.ndarray:
 def reached(b: np.ndarray, feature: np.ndarray, edge: np.ndarray, left: np.ndarray) -> np.ndarray:
     """The node without children that each row of b ends in."""
     at = np.zeros(len(b), np.int64)
-    open_ = np.arange(len(b)) if len(feature) and feature[0] >= 0 else np.zeros(0, np.int64)
+    if not len(feature) or feature[0] < 0:
+        return at
+    flat, first, open_ = b.ravel(), np.arange(len(b)) * b.shape[1], np.arange(len(b))
+    here = at
     while len(open_):
-        here = at[open_]
-        at[open_] = left[here] + (b[open_, feature[here]] > edge[here])
-        open_ = open_[feature[at[open_]] >= 0]
+        here = left[here] + (flat[first + feature[here]] > edge[here])
+        further = feature[here] >= 0
+        if not further.all():
+            at[open_[~further]] = here[~further]
+            open_, first, here = open_[further], first[further], here[further]
     return at
 
 
+def towards(upper: Upper, nodes: Collection[int]) -> tuple[np.ndarray, ...]:
+    """The upper nodes' arrays with all ways cut that don't lead to nodes: rows on them end where they leave the others."""
+    feature, edge, left = upper.arrays()
+    leads = np.zeros(len(feature), bool)
+    leads[list(nodes)] = True
+    for k in range(len(feature) - 1, -1, -1):  # children come after their node
+        if feature[k] >= 0:
+            leads[k] = leads[left[k]] or leads[left[k] + 1]
+    return np.where(leads, feature, LEAF), edge, left
+
+
 def grown(b: np.ndarray, y: np.ndarray, w: np.ndarray, classes: int, looked: int, depth: int, rng: np.random.Generator) -> tuple[np.ndarray, ...]:
     """feature, edge, left, share by class of the nodes of a tree over rows b (bins), level by level; the gain of each feature."""
     features, gain = b.shape[1], np.zeros(b.shape[1])
@@ -121,15 +139,24 @@ def grown(b: np.ndarray, y: np.ndarray, w: np.ndarray, classes: int, looked: int
         whole = weights[mixed]
         none = (whole * whole).sum(1) / whole.sum(1)
         best, which, where = none + 1e-9 * whole.sum(1), np.full(len(mixed), LEAF), np.zeros(len(mixed), np.int64)
-        each = np.zeros((len(rows), classes))
-        each[np.arange(len(rows)), y[rows]] = w[rows]
+        labels, weight = y[rows], w[rows].astype(float)
+        cells = len(mixed) * BINS
+        dense = cells <= CELLS_A_ROW * len(rows)
+        if not dense:
+            each = np.zeros((len(rows), classes))
+            each[np.arange(len(rows)), labels] = weight
         for f in chosen.T:
             key = node * BINS + b[rows, f[node]]
-            order = np.argsort(key, kind="stable")
-            key = key[order]
-            last = np.flatnonzero(np.append(key[1:] != key[:-1], True))  # of a node's rows in a bin
-            sums = np.cumsum(each[order], axis=0)[last]
-            of, bin_ = np.divmod(key[last], BINS)
+            if dense:
+                held = np.bincount(key * classes + labels, weight, cells * classes).reshape(cells, classes)
+                key = np.flatnonzero(np.bincount(key, minlength=cells))
+                sums = np.cumsum(held[key], axis=0)
+            else:
+                order = np.argsort(key)
+                key = key[order]
+                last = np.flatnonzero(np.append(key[1:] != key[:-1], True))  # of a node's rows in a bin
+                sums, key = np.cumsum(each[order], axis=0)[last], key[last]
+            of, bin_ = np.divmod(key, BINS)
             first = np.flatnonzero(np.append(True, of[1:] != of[:-1]))
             before = np.vstack([np.zeros(classes), sums[first[1:] - 1]])
             low = sums - before[of]
@@ -201,30 +228,35 @@ def _ints(x: np.ndarray) -> pa.Array:
 
 def _split_level(rows: DataFrame, uppers: list[Upper], wanted: dict[int, dict[int, int]], features: int, classes: int, looked: int, seed: int) -> list:
     """tree, node, feature, edge, gain, the weights by class and the number of rows on the left of the best split of each wanted node (tree: {node: place})."""
-    known = [u.arrays() for u in uppers]
+    known = {tree: towards(uppers[tree], nodes) for tree, nodes in wanted.items()}
     shape = (looked, BINS, classes + 1)
 
     def looked_at(tree: int, node: int) -> np.ndarray:
         return np.random.default_rng([seed, tree, node]).permutation(features)[:looked] if looked < features else np.arange(features)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums: dict[tuple[int, int], np.ndarray] = {}
+        sums = {tree: np.zeros((len(nodes), *shape)) for tree, nodes in wanted.items()}
+        looks = {tree: np.array([looked_at(tree, node) for node in nodes]) for tree, nodes in wanted.items()}
+        places = {}
+        for tree, nodes in wanted.items():
+            places[tree] = np.full(len(known[tree][0]), -1)
+            places[tree][list(nodes)] = np.arange(len(nodes))
         for batch in batches:
             b, y, ids = _bins(batch, features), batch.column("y").to_numpy(), batch.column("_row").to_numpy()
-            for tree, nodes in wanted.items():
-                at = reached(b, *known[tree])
+            for tree, held in sums.items():
                 w = copies(ids, tree, seed)
-                keep = np.flatnonzero((w > 0) & np.isin(at, list(nodes)))
-                keep = keep[np.argsort(at[keep], kind="stable")]
-                for part in np.split(keep, np.flatnonzero(np.diff(at[keep])) + 1) if len(keep) else ():
-                    node = int(at[part[0]])
-                    held = sums.setdefault((tree, node), np.zeros(shape))
-                    for s, f in enumerate(looked_at(tree, node)):
-                        v = b[part, f].astype(np.int64)
-                        held[s, :, :classes] += np.bincount(v * classes + y[part], w[part], BINS * classes).reshape(BINS, classes)
-                        held[s, :, classes] += np.bincount(v, minlength=BINS)
-        for (tree, node), held in sums.items():
-            yield pa.RecordBatch.from_arrays([_ints(np.array([tree])), _ints(np.array([node])), pa.array([held.tobytes()], pa.binary())], names=["tree", "node", "sums"])
+                bag = np.flatnonzero(w)
+                place = places[tree][reached(b[bag], *known[tree])]
+                bag, place = bag[place >= 0], place[place >= 0]
+                cells = len(held) * BINS
+                for s, f in enumerate(looks[tree].T):
+                    v = place * BINS + b[bag, f[place]]
+                    held[:, s, :, :classes] += np.bincount(v * classes + y[bag], w[bag], cells * classes).reshape(-1, BINS, classes)
+                    held[:, s, :, classes] += np.bincount(v, minlength=cells).reshape(-1, BINS)
+        for tree, held in sums.items():
+            met = held[:, 0, :, classes].any(1)
+            found = [x.tobytes() for x in held[met]]
+            yield pa.RecordBatch.from_arrays([_ints(np.full(len(found), tree)), _ints(np.array(list(wanted[tree]))[met]), pa.array(found, pa.binary())], names=["tree", "node", "sums"])
 
     def best(key: tuple, found: pa.Table) -> pa.Table:
         sums = sum(np.frombuffer(x, float).reshape(shape) for x in found["sums"].to_pylist())
@@ -292,7 +324,8 @@ def _parts(rows: DataFrame, uppers: list[Upper], features: int, classes: int, lo
             b, y, ids = _bins(batch, features), batch.column("y").to_numpy(), batch.column("_row").to_numpy()
             for tree, upper in enumerate(known):
                 w = copies(ids, tree, seed)
-                yield from _chunks(tree, reached(b, *upper), upper[0], w > 0, {"b": b, "y": y.astype(np.int32), "w": w.astype(np.uint8)})
+                bag = np.flatnonzero(w)
+                yield from _chunks(tree, reached(b[bag], *upper), upper[0], {"b": b[bag], "y": y[bag].astype(np.int32), "w": w[bag].astype(np.uint8)})
 
     def grow(key: tuple, found: pa.Table) -> pa.Table:
         tree, node = (k.as_py() for k in key)
@@ -313,9 +346,9 @@ def _lists(values: pa.Array) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), values)
 
 
-def _chunks(tree: int, at: np.ndarray, feature: np.ndarray, of: np.ndarray | bool, columns: dict[str, np.ndarray]) -> Iterator[pa.RecordBatch]:
+def _chunks(tree: int, at: np.ndarray, feature: np.ndarray, columns: dict[str, np.ndarray]) -> Iterator[pa.RecordBatch]:
     """The rows at open ends, a row of bytes for each such node."""
-    keep = np.flatnonzero(of & (feature[at] == BELOW))
+    keep = np.flatnonzero(feature[at] == BELOW)
     if not len(keep):
         return
     keep = keep[np.argsort(at[keep], kind="stable")]
@@ -353,7 +386,7 @@ def predicted(model: Forest, df: DataFrame, columns: list[str]) -> DataFrame:
         for batch in batches:
             b, ids = _bins(batch, features), batch.column("_row").to_numpy()
             for tree, upper in enumerate(known):
-                yield from _chunks(tree, reached(b, *upper), upper[0], True, {"b": b, "ids": ids})
+                yield from _chunks(tree, reached(b, *upper), upper[0], {"b": b, "ids": ids})
 
     def below(chunks: pa.Table, parts: pa.Table) -> pa.Table:
         """The votes of a grown part; a node's rows to be scored are about as many as those it was grown from."""

@@ -98,3 +98,35 @@ def test_jobs_do_not_follow_the_depth(spark):
         jobs.append(len(spark.sparkContext.statusTracker().getJobIdsForGroup(f"forest-{depth}")))
     spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
     assert jobs[0] == jobs[1] > 0
+
+
+def test_sums_of_all_bins_and_of_sorted_rows_agree(monkeypatch):
+    """However a level's bins are added up, the tree is the same to the last bit; levels of large nodes aren't sorted."""
+    rng = np.random.default_rng(3)
+    b, y, w = rng.integers(0, 32, (3000, 6)).astype(np.uint8), rng.integers(0, 4, 3000), rng.integers(1, 4, 3000)
+    plain, made, rows_sorted = np.argsort, [], []
+
+    def counted(x, **kw):
+        rows_sorted[-1] += len(x)
+        return plain(x, **kw)
+
+    monkeypatch.setattr(np, "argsort", counted)
+    for cells in (0, forests.CELLS_A_ROW, 10_000):
+        monkeypatch.setattr(forests, "CELLS_A_ROW", cells)
+        rows_sorted.append(0)
+        made.append(forests.grown(b, y, w, 4, 3, 12, np.random.default_rng(7)))
+    assert all(np.array_equal(x, z) for other in made[1:] for x, z in zip(made[0], other, strict=True))
+    assert rows_sorted[0] > 2 * rows_sorted[1] and rows_sorted[2] == 0
+
+
+def test_a_pass_follows_only_ways_to_the_nodes_it_splits():
+    """A row that leaves them goes no further, so that late passes, for few nodes, don't walk every tree to its ends."""
+    upper = forests.Upper()
+    upper.add(0, [])
+    for k in range(7):  # three full levels, each by a feature of its own
+        upper.feature[k], upper.edge[k], upper.left[k] = upper.depth[k], 1, len(upper.feature)
+        for _ in range(2):
+            upper.add(upper.depth[k] + 1, [])
+    b = np.array([[x, y, z] for x in (0, 3) for y in (0, 3) for z in (0, 3)], np.uint8)
+    assert forests.reached(b, *upper.arrays()).tolist() == [7, 8, 9, 10, 11, 12, 13, 14]
+    assert forests.reached(b, *forests.towards(upper, {8: 0})).tolist() == [7, 8, 4, 4, 2, 2, 2, 2]
