@@ -16,13 +16,15 @@ star), the member that shares most keys with most others, the pairs are confirme
 on the full sets, and components are formed. Then the members outside their key's largest
 component are paired with HUBS of its members, which links most of those that belong to it.
 Only where a key still spans several components are its members paired across
-these: those outside its largest component with all. A key with more than SPLIT members
-outside is divided first: of a pair with at most ERRORS errors, some chunk other than
-the key's own has at most ERRORS // (CHUNKS - 1) = 2, so the pair agrees in one of the
-variants of another chunk that leave out two components, which together with the key is
-a key again. A key's low bits say which variant it is, so a pair is given out under the
-first of the keys it shares only. Sketches of the sets' parities then rule out for certain most pairs that
-are not similar, and the others are confirmed. Pairs within a component can't change
+these: those outside its largest component with all. A key's low bits say which variant
+it is, so a pair is given out under the first of the keys it shares only. Of keys with more than
+SPLIT members outside, these pairs would grow with the square of the members; there, pairs are those
+that share one of their rarest shingles, which all similar sets do (``by_rarest``). Texts of more
+than LONG shingles have many of these, so their keys are divided instead: of a pair with at most ERRORS
+errors, some chunk other than the key's own has at most ERRORS // (CHUNKS - 1) = 2, so the pair agrees in
+one of the variants of another chunk that leave out two components, which together with the
+key is a key again. Sketches of the sets' parities rule out for certain most pairs that
+are not similar, before the others are confirmed. Pairs within a component can't change
 it, so no link between components is lost.
 Sets are only made for classes that are in a pair.
 
@@ -53,8 +55,10 @@ CHUNKS = 9
 ERRORS = 17
 SKETCH = 16
 BLOCK_BYTES = 150_000
-#: Members outside its largest component from which a key is divided.
-SPLIT = 512
+#: Members outside its largest component from which a key's pairs are found by their rarest shingles.
+SPLIT = 16
+#: Shingles from which texts of such a key are found by a second chunk instead.
+LONG = 20_000
 #: Members of a key's largest component with which those outside it are paired first.
 HUBS = 8
 #: Ids that may be broadcast to filter texts before they are shuffled.
@@ -78,6 +82,12 @@ def blocks(raw: list[bytes], limit: int = BLOCK_BYTES) -> Iterator[tuple[int, in
         yield first, len(raw)
 
 
+def distinct(x: np.ndarray) -> np.ndarray:
+    """The sorted distinct numbers; by a sort, as np.unique's hash table is slower."""
+    x = np.sort(x)
+    return x[np.concatenate([[True], x[1:] != x[:-1]])]
+
+
 def shingle_sets(raw: list[bytes], width: int) -> Iterator[np.ndarray]:
     """The sorted distinct shingle hashes of each text (lower-case bytes)."""
     for first, last in blocks(raw):
@@ -94,7 +104,7 @@ def shingle_sets(raw: list[bytes], width: int) -> Iterator[np.ndarray]:
         runs = mixed(runs)
         for a, b in zip(bounds[:-1], bounds[1:], strict=True):
             if b - a >= width:
-                yield np.unique(runs[a : b - width + 1])
+                yield distinct(runs[a : b - width + 1])
             elif b > a:
                 yield mixed(np.array([(words[a:b] * _PLACES[: b - a]).sum(dtype=np.uint64)], np.uint64) + np.uint64(b - a))
             else:
@@ -299,28 +309,82 @@ def near_main(open_: DataFrame, hubs: int = HUBS) -> DataFrame:
     return pairs.select(F.least("id", "hub").alias("a"), F.greatest("id", "hub").alias("b")).distinct()
 
 
+def sketches_allow(percent: int) -> Column:
+    """Whether sets of na and nb elements with sketches x0 ... and y0 ... may be similar.
+
+    Of similar sets, at most (100 - percent) / (100 + percent) of the elements that both
+    have in sum are in one of them only.
+    """
+    apart = sum(F.bit_count(F.col(f"x{k}").bitwiseXOR(F.col(f"y{k}"))) for k in range(SKETCH))
+    return apart * (100 + percent) <= (F.col("na") + F.col("nb")) * (100 - percent)
+
+
+def possible(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b, ...) that their sketches don't rule out."""
+    left = sets.select(F.col("id").alias("a"), F.col("n").alias("na"), *(f"x{k}" for k in range(SKETCH)))
+    right = sets.select(F.col("id").alias("b"), F.col("n").alias("nb"), *(F.col(f"x{k}").alias(f"y{k}") for k in range(SKETCH)))
+    return pairs.join(left, "a").join(right, "b").filter(sketches_allow(percent)).select(*pairs.columns)
+
+
+def rarest(ids: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """(key, id, component, n, least, most): each id's (id, component) rarest shingles by which it may be found.
+
+    A set's shingles are put in order: those of one component only, which no pair across
+    components shares, then by how many of the sets have them. The first one that
+    two sets share can't stand later in either than leaves enough for similar sets: from a
+    place on there is none, and before it only sets of least to most elements come into question.
+    """
+    held = staged(ids.join(sets.select("id", "n", "shingles"), "id"), "minhash-hot-sets")
+    each = held.select("id", "component", "n", F.explode("shingles").alias("key"))
+    counted = each.groupBy("key").agg(F.count(F.lit(1)).alias("sets"), F.min("component").alias("x"), F.max("component").alias("y"))
+    counted = staged(counted.filter("x < y").select("key", "sets"), "minhash-shared-shingles")
+    ordered = each.join(counted, "key").groupBy("id", "component", "n").agg(F.sort_array(F.collect_list(F.struct("sets", "key"))).alias("order"))
+    ordered = ordered.withColumn("least", F.expr(f"(n * {percent} + 99) div 100")).withColumn("before", F.col("n") - F.size("order"))
+    enough = F.expr(f"({percent} * (n + least) + {99 + percent}) div {100 + percent}")
+    taken = F.greatest(F.col("n") - enough + 1 - F.col("before"), F.lit(0)).cast("int")
+    rows = ordered.select("id", "component", "n", "least", "before", F.posexplode(F.slice("order", F.lit(1), taken)).alias("at", "shingle"))
+    most = F.expr(f"least(n * 100 div {percent}, (n - before - at) * {100 + percent} div {percent} - n)")
+    return rows.select("shingle.key", "id", "component", "n", "least", most.alias("most"))
+
+
+def by_rarest(ids: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """(a, b, ca, cb): pairs of ids (id, component) in different components that share one of their rarest shingles and aren't ruled out by size; a < b, each once.
+
+    Only members outside a shingle's largest component are paired, with those of fitting sizes.
+    """
+    rows = staged(outside(staged(rarest(ids, sets, percent), "minhash-rarest")), "minhash-rarest-open")
+    step = lambda x: F.floor(F.log(x) * 20)
+    left = rows.filter("component <> main").select("key", F.col("id").alias("a"), F.col("component").alias("ca"), F.col("n").alias("na"), F.col("least").alias("la"), F.col("most").alias("ma"), F.explode(F.sequence(step("least"), step("most"))).alias("step"))
+    right = rows.select("key", F.col("id").alias("b"), F.col("component").alias("cb"), (F.col("component") == F.col("main")).alias("in_main"), F.col("n").alias("nb"), F.col("least").alias("lb"), F.col("most").alias("mb"), step("n").alias("step"))
+    fit = F.col("nb").between(F.col("la"), F.col("ma")) & F.col("na").between(F.col("lb"), F.col("mb"))
+    found = left.join(right, ["key", "step"]).filter((F.col("ca") != F.col("cb")) & fit & (F.col("in_main") | (F.col("a") < F.col("b"))))
+    return ascending(found).distinct()
+
+
+def ascending(pairs: DataFrame, *more: str | Column) -> DataFrame:
+    """Pairs (a, b, ca, cb) turned so that a < b."""
+    turn = F.col("a") > F.col("b")
+    pick = lambda x, y, name: F.when(turn, F.col(y)).otherwise(F.col(x)).alias(name)
+    return pairs.select(pick("a", "b", "a"), pick("b", "a", "b"), pick("ca", "cb", "ca"), pick("cb", "ca", "cb"), *more)
+
+
 def across_components(open_: DataFrame, sets: DataFrame, percent: int, second: bool = False) -> DataFrame:
     """(a, b, ca, cb): pairs of a key in different components that their sketches don't rule out; a < b, each once.
 
     open_: key (divided ones: second), id, component, main. Only members outside the key's
     main component are paired, with all, so a large component costs a row a member for
-    each of them. Of similar sets, at most (100 - percent) / (100 + percent) of the elements
-    that both have in sum are in one of them only.
+    each of them.
     """
     names, signs = [f"x{k}" for k in range(SKETCH)], [f"s{k}" for k in range(CHUNKS)]
     rows = staged(open_.join(sets.select("id", "n", *names, *signs), "id"), "minhash-sketched")
     left = rows.filter("component <> main").select("key", F.col("id").alias("a"), F.col("component").alias("ca"), F.col("n").alias("na"), *names, *signs)
     other = [F.col(x).alias(f"{'y' if x[0] == 'x' else 't'}{x[1:]}") for x in (*names, *signs)]
     right = rows.select(F.col("key").alias("k"), F.col("id").alias("b"), F.col("component").alias("cb"), (F.col("component") == F.col("main")).alias("in_main"), F.col("n").alias("nb"), *other)
-    apart = sum(F.bit_count(F.col(x).bitwiseXOR(F.col(f"y{x[1:]}"))) for x in names)
-    near = apart * (100 + percent) <= (F.col("na") + F.col("nb")) * (100 - percent)
     apart_ = [F.col(x).bitwiseXOR(F.col(f"t{x[1:]}")) for x in signs]
     differ = [x.alias(f"d{k}") for k, x in enumerate(apart_)]
     once = (F.col("in_main") | (F.col("a") < F.col("b"))) & early_chunks(F.col("key"), apart_[:3], second)
-    found = left.join(right, (F.col("key") == F.col("k")) & (F.col("ca") != F.col("cb")) & near & once)
-    turn = F.col("a") > F.col("b")
-    pick = lambda x, y, name: F.when(turn, F.col(y)).otherwise(F.col(x)).alias(name)
-    found = found.select("key", pick("a", "b", "a"), pick("b", "a", "b"), pick("ca", "cb", "ca"), pick("cb", "ca", "cb"), *differ)
+    found = left.join(right, (F.col("key") == F.col("k")) & (F.col("ca") != F.col("cb")) & sketches_allow(percent) & once)
+    found = ascending(found, "key", *differ)
     return found.filter(first_shared(F.col("key"), [F.col(f"d{k}") for k in range(CHUNKS)], second)).select("a", "b", "ca", "cb")
 
 
@@ -334,17 +398,17 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return pairs.join(right, "b").join(left, "a").filter(close).filter(both * 100 >= union * percent).select("a", "b")
 
 
-def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, split: int = SPLIT) -> DataFrame:
+def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, split: int = SPLIT, long: int = LONG) -> DataFrame:
     """doc_id, n_shingles, component_id of every row of docs (doc_id, text)."""
     with scratch(docs.sparkSession) as kept:
-        rows, found = linked_classes(docs, width, percent, split)
+        rows, found = linked_classes(docs, width, percent, split, long)
         kept += [rows, found]
     by = small(found.df.withColumnsRenamed({"high": "h", "low": "l"}))
     out = rows.df.join(by, (F.col("high") == F.col("h")) & (F.col("low") == F.col("l")) & F.col("doc_id").isNotNull() & (F.col("n_shingles") > 0), "left")
     return out.select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
 
 
-def linked_classes(docs: DataFrame, width: int, percent: int, split: int) -> tuple[Staged, Staged]:
+def linked_classes(docs: DataFrame, width: int, percent: int, split: int, long: int) -> tuple[Staged, Staged]:
     """The rows as described, and (high, low, component) of the classes with more than one row or a link."""
     described_ = Staged(described(docs, width), "minhash-rows")
     rows = described_.df
@@ -364,7 +428,7 @@ def linked_classes(docs: DataFrame, width: int, percent: int, split: int) -> tup
     named_classes = classes.select("id", "name", "high", "low", "signature")
     wanted = staged(members.select("id").distinct().join(named_classes, "id"), "minhash-wanted")
     sets = staged(sets_of(docs, wanted, width), "minhash-sets")
-    links = staged(confirmed(pairs, sets, percent), "minhash-links")
+    links = staged(confirmed(staged(possible(pairs, sets, percent), "minhash-possible"), sets, percent), "minhash-links")
     links = links.union(classes_of_names(named, classes, "doc_id", ["high", "low"]))
     links = staged(links, "minhash-first-links")
     first = connected_components(links)
@@ -372,14 +436,20 @@ def linked_classes(docs: DataFrame, width: int, percent: int, split: int) -> tup
     again = staged(near_main(opened(members, first)).join(pairs, ["a", "b"], "left_anti"), "minhash-second-pairs")
     if not again.isEmpty():
         pairs = pairs.union(again)
-        first = connected_components(links.union(confirmed(again, sets, percent)))
+        first = connected_components(links.union(confirmed(staged(possible(again, sets, percent), "minhash-possible"), sets, percent)))
     final = first
     # keys that still span several components: pairs across them
     open_ = opened(members, first)
-    hot = open_.filter(F.col("rest") > split).drop("main", "rest").join(classes.select("id", "signature"), "id")
+    hot = open_.filter(F.col("rest") > split).select("key", "id", "component").join(sets.select("id", F.col("n").alias("size")), "id")
+    hot = staged(hot, "minhash-hot")
     apart = across_components(open_.filter(F.col("rest") <= split), sets, percent)
     if not hot.isEmpty():
-        apart = apart.union(across_components(outside(staged(divided(hot), "minhash-divided")), sets, percent, second=True))
+        # two similar sets are both in the one part or both in the other, or in both
+        short = hot.filter(F.col("size") * percent <= long * 100).select("id", "component").distinct()
+        apart = apart.union(possible(staged(by_rarest(short, sets, percent), "minhash-rare-pairs"), sets, percent))
+        large = hot.filter(F.col("size") > long).drop("size").join(classes.select("id", "signature"), "id")
+        if not large.isEmpty():
+            apart = apart.union(across_components(outside(staged(divided(large), "minhash-divided")), sets, percent, second=True))
     across = staged(apart.join(pairs, ["a", "b"], "left_anti"), "minhash-across")
     if not across.isEmpty():
         more = confirmed(across.select("a", "b"), sets, percent).join(across, ["a", "b"]).select(F.col("ca").alias("a"), F.col("cb").alias("b"))

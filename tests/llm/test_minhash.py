@@ -103,6 +103,62 @@ def test_divided_keys_lose_no_link(docs, seed):
         assert got == root
 
 
+def test_long_texts_of_divided_keys_lose_no_link(docs):
+    """Texts of keys that are divided by a second chunk as they are long, or some of them."""
+    rows, rng = corpus(31, groups=10), random.Random(5)
+    base = [f"v{k}" for k in range(80)]
+    rows += [(1000 + k, " ".join(w if rng.random() < rng.choice((0.8, 0.97)) else f"r{rng.randrange(10**6)}" for w in base)) for k in range(40)]
+    root = want(rows)
+    for long in (0, 70):
+        assert {r.doc_id: r.component_id for r in minhash.near_duplicates(docs(rows), 4, 80, split=0, long=long).collect()} == root
+
+
+def test_texts_that_share_keys_but_are_not_similar_are_not_all_paired(docs, monkeypatch):
+    """300 texts share 60 of 71 shingles, others a line: pairs grow with the texts, not with their square, and links among them are found."""
+    from pyspark.sql import functions as F
+
+    rng, compared = random.Random(2), []
+    own = lambda n: [f"o{rng.randrange(10**7)}" for _ in range(n)]
+    core, line = [f"c{k}" for k in range(63)], [f"l{k}" for k in range(12)]
+    rows = [(k, " ".join([*core, *own(11)])) for k in range(300)] + [(300 + k, " ".join([*line, *own(20)])) for k in range(100)]
+    rows += [(1000 + k, rows[k][1] + " more") for k in (7, 150, 299, 310, 399)]
+
+    def across(open_, *rest, known=minhash.across_components, **named):
+        compared.extend(tuple(r) for r in open_.groupBy("key").agg(F.count(F.lit(1)), F.count_if(F.col("component") != F.col("main"))).collect())
+        return known(open_, *rest, **named)
+
+    def rarest(*given, known=getattr(minhash, "by_rarest", None)):
+        found = known(*given)
+        few.append(found.count())
+        return found
+
+    few = []
+    monkeypatch.setattr(minhash, "across_components", across)
+    monkeypatch.setattr(minhash, "by_rarest", rarest, raising=False)
+    got = {r.doc_id: r.component_id for r in minhash.near_duplicates(docs(rows), 4, 80).collect()}
+    assert got == {k: k - 1000 if k >= 1000 else k for k, _ in rows}
+    assert sum(n * outside for _, n, outside in compared) + sum(few) < 36 * 16 * len(rows)
+
+
+def test_rarest_shingles_find_all_similar_pairs(spark):
+    rng = random.Random(8)
+    sets, component = [], {}
+    for group in range(12):
+        base = [rng.randrange(-(2**62), 2**62) for _ in range(rng.choice((1, 3, 5, 20, 21, 60)))]
+        for _ in range(15):
+            x = {v if rng.random() < rng.choice((0.85, 0.95, 1)) else rng.choice((group, rng.randrange(2**62))) for v in base} | set(range(rng.randrange(3)))
+            component[len(sets)] = rng.choice((group, len(sets) + 100, len(sets) + 100))
+            sets.append(x)
+    ids = spark.createDataFrame(list(component.items()), "id bigint, component bigint")
+    table = spark.createDataFrame([(k, list(x), len(x)) for k, x in enumerate(sets)], "id bigint, shingles array<bigint>, n bigint")
+    for percent in (80, 65):
+        pairs = [(a, b) for a in component for b in component if a < b and component[a] != component[b]]
+        similar = {(a, b) for a, b in pairs if 100 * len(sets[a] & sets[b]) >= percent * len(sets[a] | sets[b])}
+        got = [tuple(r) for r in minhash.by_rarest(ids, table, percent).collect()]
+        assert len(similar) > 100 and similar <= {r[:2] for r in got} and len(got) == len(set(got)) < len(pairs) / 3
+        assert all(a < b and (component[a], component[b]) == (x, y) and x != y for a, b, x, y in got)
+
+
 def test_second_chunks_keep_all_pairs_within_the_errors():
     """By pigeonhole: signatures with at most ERRORS errors that share a key share one of its divided keys."""
     import pyarrow as pa
